@@ -19,14 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tokenizing import ChunkCache, after_space, by_spaces, encode_texts
-
-
-def byte_characters() -> list[str]:
-    """A printable character for each byte: itself where it is printable, else one from U+0100 on."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b if b in own else next(spare)) for b in range(256)]
+from .tokenizing import ChunkCache, after_space, by_spaces, byte_characters, encode_texts
 
 
 def read_ranks(path: str) -> list[bytes]:

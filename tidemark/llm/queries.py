@@ -6,8 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, sharding, token_files
+from . import bpe, language, media, packing, quality, sharding, token_files, toxicity
 from .common import table
+from .folds import held_out
+
+
+def _classified(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +27,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
+
+
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -35,6 +48,12 @@ def op9_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_byte_bpe, op7_hilbert_sharding, op8_wav_peaks, op9_elias_fano)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op5_byte_bpe, op6_quality, op7_hilbert_sharding, op8_wav_peaks, op9_elias_fano, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {}

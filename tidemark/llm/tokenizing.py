@@ -13,16 +13,19 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: Chunks kept per Python worker; the cache starts again when it is full.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_500_000
 #: Chunks longer than this (characters) are not kept.
 CACHE_CHARS = 256
 
+#: The pattern of byte-level pre-tokenizers; a fixed value.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: Marks a text's first chunk, which no space precedes (a code point that is never assigned).
 FIRST = "\ufdd0"
 
 #: A space after other white space may belong to the run before it; \x1c-\x1f are white space to Python alone.
 _DOUBT = re.compile(r"\s |[\x1c-\x1f\ufdd0]")
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_ASCII_DOUBT = [f"{c} " for c in " \t\n\r\x0b\x0c"] + ["\x1c", "\x1d", "\x1e", "\x1f"]
 
 
 class ChunkCache(dict):
@@ -56,7 +59,7 @@ def after_space(chunk: str) -> str:
 
 def by_spaces(text: str) -> list[str] | None:
     """Chunks that follow a space (the first: the text's start); None where a byte-level pattern may join across them."""
-    if _DOUBT.search(text):
+    if any(x in text for x in _ASCII_DOUBT) if text.isascii() else _DOUBT.search(text):
         return None
     chunks = text.split(" ")
     chunks[0] = FIRST + chunks[0]
@@ -65,7 +68,7 @@ def by_spaces(text: str) -> list[str] | None:
 
 def by_white_space(text: str) -> list[str] | None:
     """Words between white space, for tokenizers that drop white space."""
-    return None if _SEPARATORS.search(text) else text.split()
+    return None if any(x in text for x in _ASCII_DOUBT[6:]) else text.split()
 
 
 def encode_texts(cache: ChunkCache, split: Callable[[str], list[str] | None], texts: list[str]) -> list[bytes]:
@@ -78,14 +81,63 @@ def encode_texts(cache: ChunkCache, split: Callable[[str], list[str] | None], te
     return out
 
 
+def byte_characters() -> list[str]:
+    """A printable character for each byte: itself where it is printable, else one from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(spare)) for b in range(256)]
+
+
+#: Characters whose case and class no Unicode version has changed; chunks of others go through the whole library.
+_PLAIN = re.compile("[ \n\t!-~¡-įı-ſ]*")
+
+
 @lru_cache(maxsize=4)
 def library_cache(path: str, spaced: bool = True) -> ChunkCache:
-    """Of a tokenizers file, for chunks of by_spaces or by_white_space; one per Python worker.  Special tokens' strings in a text are ordinary text."""
+    """Of a tokenizers file, for chunks of by_spaces or by_white_space; one per Python worker.
+
+    Special tokens' strings in a text are ordinary text.  Plain chunks are cut by the
+    file's own pattern and their pieces handed to the library's model, which spares them
+    the library's bookkeeping of offsets; all others are encoded by the whole library.
+    """
+    import json
     import os
 
+    import regex
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return ChunkCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], after_space if spaced else str)
+    chars = byte_characters()
+    spelled = {b: c for b, c in enumerate(chars)}
+    tokenize = tokenizer.model.tokenize
+
+    def whole(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    with open(path, encoding="utf-8") as f:
+        setup = json.load(f)
+    parts = setup["pre_tokenizer"].get("pretokenizers", [setup["pre_tokenizer"]])
+    steps = (setup["normalizer"] or {}).get("normalizers", [])
+    byte_level = parts[-1]["type"] == "ByteLevel" and not parts[-1]["add_prefix_space"]
+    if byte_level and len(parts) == 1 and parts[0]["use_regex"] and not steps:
+        pattern, lower = regex.compile(BYTE_LEVEL), False
+    elif byte_level and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and not spaced:
+        pattern, lower = regex.compile(parts[0]["pattern"]["Regex"]), True
+    else:
+        return ChunkCache(whole, after_space if spaced else str)
+    find, plain = pattern.findall, _PLAIN.fullmatch
+
+    def spell(piece: str) -> str:
+        return "".join([spelled[b] for b in piece.encode()]) if not piece.isalpha() or not piece.isascii() else piece
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        found = [[t.id for p in find(x.lower() if lower else x) for t in tokenize(spell(p))] if plain(x) else None for x in texts]
+        odd = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(odd, whole([texts[i] for i in odd]) if odd else [], strict=True):
+            found[i] = ids
+        return found
+
+    return ChunkCache(encode, after_space if spaced else str)
