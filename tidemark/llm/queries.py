@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, packing, quality, sharding, token_files, toxicity
+from . import bpe, language, media, packing, quality, sharding, syncmers, token_files, toxicity
 from .common import table
 from .folds import held_out
 
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -54,6 +58,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op5_byte_bpe, op6_quality, op7_hilbert_sharding, op8_wav_peaks, op9_elias_fano, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_syncmers, op5_byte_bpe, op6_quality, op7_hilbert_sharding, op8_wav_peaks, op9_elias_fano, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {}
