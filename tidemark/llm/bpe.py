@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tokenizing import ChunkCache, after_space, by_spaces, byte_characters, encode_texts
+from .tokenizing import ChunkCache, after_space, as_bytes, by_spaces, byte_characters, encode_texts
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -75,14 +75,14 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         chars = byte_characters()
         self.table = {b: c for b, c in enumerate(chars)}
-        self.cache = ChunkCache(self._encode, after_space)
+        self.cache = ChunkCache(self._encode, lambda _, chunks: self._encode([after_space(c) for c in chunks]))
 
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
-        """Each match of the pattern on its own, all matches of all chunks in one call."""
-        found = [self.pattern.findall(c) for c in chunks]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Each match of the pattern on its own, all matches of all texts in one call."""
+        found = [self.pattern.findall(x) for x in texts]
         flat = ["".join(map(self.table.__getitem__, m.encode("utf-8", "replace"))) for ms in found for m in ms]
         ids = iter(self.processor.encode(flat, num_threads=1) if flat else [])
-        return [[i - 1 for _ in ms for i in next(ids)] for ms in found]
+        return [as_bytes([i - 1 for _ in ms for i in next(ids)]) for ms in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return encode_texts(self.cache, by_spaces, texts)

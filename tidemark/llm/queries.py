@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, packing, quality, sharding, syncmers, token_files, toxicity
+from . import bpe, jaccard, language, media, packing, quality, sharding, syncmers, token_files, toxicity
 from .common import table
 from .folds import held_out
 
@@ -15,6 +15,10 @@ def _classified(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"), 3, jaccard.Threshold(90, 100))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
 
@@ -58,6 +62,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_syncmers, op5_byte_bpe, op6_quality, op7_hilbert_sharding, op8_wav_peaks, op9_elias_fano, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_packing, op4_syncmers, op5_byte_bpe, op6_quality, op7_hilbert_sharding, op8_wav_peaks, op9_elias_fano, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: Chunks kept per Python worker; the cache starts again when it is full.
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 700_000
 #: Chunks longer than this (characters) are not kept.
 CACHE_CHARS = 256
 
@@ -28,15 +28,19 @@ _DOUBT = re.compile(r"\s |[\x1c-\x1f\ufdd0]")
 _ASCII_DOUBT = [f"{c} " for c in " \t\n\r\x0b\x0c"] + ["\x1c", "\x1d", "\x1e", "\x1f"]
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class ChunkCache(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit bytes.  encode gives the ids of strings, text the string of a chunk."""
+    """Chunk -> its ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], text: Callable[[str], str]):
-        super().__init__()
-        self.encode, self.text = encode, text
+    whole gives the ids of texts; chunks those of chunks, and may look its pieces up in this cache.
+    """
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x).tobytes() for x in self.encode(texts)] if texts else []
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], chunks: Callable[[ChunkCache, list[str]], list[bytes]]):
+        super().__init__()
+        self.whole, self.chunks = whole, chunks
 
     def ids(self, chunked: list[list[str]]) -> list[bytes]:
         """Of each text, given as its chunks."""
@@ -45,7 +49,7 @@ class ChunkCache(dict):
             self.clear()
             missing = set().union(*chunked)
         found = list(missing)
-        self.update(zip(found, self.whole([self.text(c) for c in found]), strict=True))
+        self.update(zip(found, self.chunks(self, found), strict=True))
         out = [b"".join(map(self.__getitem__, chunks)) for chunks in chunked]
         for c in found:
             if len(c) > CACHE_CHARS:
@@ -76,7 +80,7 @@ def encode_texts(cache: ChunkCache, split: Callable[[str], list[str] | None], te
     chunked = [split(t) if t else [] for t in texts]
     whole = [i for i, c in enumerate(chunked) if c is None]
     out = cache.ids([c or [] for c in chunked])
-    for i, ids in zip(whole, cache.whole([texts[i] for i in whole]), strict=True):
+    for i, ids in zip(whole, cache.whole([texts[i] for i in whole]) if whole else [], strict=True):
         out[i] = ids
     return out
 
@@ -114,8 +118,10 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     spelled = {b: c for b, c in enumerate(chars)}
     tokenize = tokenizer.model.tokenize
 
-    def whole(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(texts: list[str]) -> list[bytes]:
+        return [as_bytes(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    text_of = after_space if spaced else str
 
     with open(path, encoding="utf-8") as f:
         setup = json.load(f)
@@ -127,17 +133,47 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     elif byte_level and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and not spaced:
         pattern, lower = regex.compile(parts[0]["pattern"]["Regex"]), True
     else:
-        return ChunkCache(whole, after_space if spaced else str)
+        return ChunkCache(whole, lambda cache, chunks: whole([text_of(c) for c in chunks]))
     find, plain = pattern.findall, _PLAIN.fullmatch
+    space = chars[32]
 
     def spell(piece: str) -> str:
-        return "".join([spelled[b] for b in piece.encode()]) if not piece.isalpha() or not piece.isascii() else piece
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        found = [[t.id for p in find(x.lower() if lower else x) for t in tokenize(spell(p))] if plain(x) else None for x in texts]
+        if piece.isascii():
+            if piece.isalpha():
+                return piece
+            if piece[:1] == " " and piece[1:].isalpha():
+                return space + piece[1:]
+        return "".join([spelled[b] for b in piece.encode()])
+
+    def model_ids(piece: str) -> bytes:
+        return as_bytes([t.id for t in tokenize(spell(piece))])
+
+    def chunk_of(piece: str) -> str:
+        return piece if not spaced else piece[1:] if piece[:1] == " " else FIRST + piece
+
+    def one(cache: ChunkCache, chunk: str) -> bytes | None:
+        text = text_of(chunk)
+        if not plain(text):
+            return None
+        if lower:
+            text = text.lower()
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():
+            return model_ids(text)
+        out = []
+        for piece in find(text):
+            ids = cache.get(key := chunk_of(piece))
+            if ids is None:
+                ids = model_ids(piece)
+                if len(key) <= CACHE_CHARS:
+                    cache[key] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def chunks(cache: ChunkCache, missing: list[str]) -> list[bytes]:
+        found = [cache[c] if c in cache else one(cache, c) for c in missing]
         odd = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(odd, whole([texts[i] for i in odd]) if odd else [], strict=True):
+        for i, ids in zip(odd, whole([text_of(missing[i]) for i in odd]) if odd else [], strict=True):
             found[i] = ids
         return found
 
-    return ChunkCache(encode, after_space if spaced else str)
+    return ChunkCache(whole, chunks)

@@ -24,12 +24,12 @@ from .common import map_arrow
 from .folds import in_fold, labelled, sample_by_class
 
 #: The classifier is fitted on at most so many labelled documents of each class.
-SAMPLE_PER_CLASS = 8000
+SAMPLE_PER_CLASS = 6000
 #: Features that the classifier may weigh, and the documents a feature must occur in.
 VOCABULARY, LEAST_DOCS = 4096, 3
 #: Lengths of the beginnings of words that count as features.
 BEGINNINGS = (4, 5, 6)
-FEATURE_BITS = 22
+FEATURE_BITS = 20
 PENALTY_L2, PENALTY_SWAP, STEPS = 1e-5, 1.0, 400
 #: Words whose features a Python worker remembers.
 CACHE_WORDS = 300_000
@@ -113,13 +113,11 @@ _uncached_features = word_features.__wrapped__
 
 
 def _matrix(rows: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the entries of a presence matrix."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate([*rows, np.zeros(0, np.uint32)])
-    column = np.searchsorted(features, flat)
-    column[column == len(features)] = 0
-    known = features[column] == flat if len(features) else np.zeros(0, bool)
-    return at[known], column[known]
+    """Row and column of the entries of a presence matrix over sorted features."""
+    known = np.zeros(1 << FEATURE_BITS, bool)
+    known[features] = True
+    kept = [r[known[r]] for r in rows]
+    return np.repeat(np.arange(len(rows)), [len(r) for r in kept]), np.searchsorted(features, np.concatenate([*kept, np.zeros(0, np.uint32)]))
 
 
 def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty_swap: float = PENALTY_SWAP) -> Model:
@@ -130,16 +128,16 @@ def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list
     are those that the label favours and weights are not negative, so that no amount of
     harmless text makes up for an insult.
     """
-    n = 1 << FEATURE_BITS
-    flat = np.concatenate([*rows, np.zeros(0, np.uint32)])
-    total = np.bincount(flat, minlength=n)
-    bad = np.bincount(flat, weights=np.repeat(y, [len(r) for r in rows]).astype(float), minlength=n)
+    total, bad = (np.zeros(1 << FEATURE_BITS, np.int64) for _ in range(2))
+    for row, label in zip(rows, y, strict=True):
+        total[row] += 1
+        if label:
+            bad[row] += 1
     share = y.mean()
     expected = total * share
-    association = np.where(total >= LEAST_DOCS, (bad - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
-    association[bad <= expected] = 0
-    chosen = np.argsort(-association, kind="stable")[:VOCABULARY]
-    features = np.sort(chosen[association[chosen] > 0]).astype(np.uint32)
+    usable = np.flatnonzero((total >= LEAST_DOCS) & (bad > expected))
+    association = (bad - expected)[usable] ** 2 / (expected[usable] * (1 - share))
+    features = np.sort(usable[np.argsort(-association, kind="stable")[:VOCABULARY]]).astype(np.uint32)
     k = len(features)
     at, column = _matrix(rows, features)
     prior = float((weight * y).sum() / weight.sum())
