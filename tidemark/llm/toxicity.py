@@ -26,7 +26,7 @@ from .folds import in_fold, labelled, sample_by_class
 #: The classifier is fitted on at most so many labelled documents of each class.
 SAMPLE_PER_CLASS = 6000
 #: Features that the classifier may weigh, and the documents a feature must occur in.
-VOCABULARY, LEAST_DOCS = 4096, 3
+VOCABULARY, LEAST_DOCS = 4096, 5
 #: Lengths of the beginnings of words that count as features.
 BEGINNINGS = (4, 5, 6)
 FEATURE_BITS = 20
