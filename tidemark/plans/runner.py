@@ -32,19 +32,22 @@ def clean_and_score(df: DataFrame, pipeline: CleaningPipeline, history: QualityH
 
 
 def with_timeout(spark: SparkSession, seconds: float | None, f):
-    """f(), its Spark jobs cancelled after so many seconds."""
+    """f(), its Spark jobs (and any that it starts later) cancelled after so many seconds."""
     if not seconds:
         return f()
     group = f"tidemark-{uuid.uuid4().hex}"
-    late = threading.Event()
+    done, late = threading.Event(), threading.Event()
 
-    def stop():
-        late.set()
-        spark.sparkContext.cancelJobGroup(group)
+    def watch():
+        wait = seconds
+        while not done.wait(wait):
+            late.set()
+            spark.sparkContext.cancelJobGroup(group)
+            wait = 0.2
 
-    timer = threading.Timer(seconds, stop)
     spark.sparkContext.setJobGroup(group, "with a time limit", interruptOnCancel=True)
-    timer.start()
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
         return f()
     except Exception as e:
@@ -52,7 +55,8 @@ def with_timeout(spark: SparkSession, seconds: float | None, f):
             raise TimeoutError(f"stopped after {seconds} s") from e
         raise
     finally:
-        timer.cancel()
+        done.set()
+        watcher.join()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 

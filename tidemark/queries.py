@@ -258,10 +258,10 @@ def temporal_filter(spark, sf_dir):
     return kept.select("o_orderkey", "o_orderdate")
 
 
-@query("SELECT c_custkey, CASE WHEN income BETWEEN 0 AND 1000000 THEN income END AS income, CASE WHEN age BETWEEN 0 AND 1 THEN age * 100 WHEN age <= 100 THEN age END AS age FROM (SELECT c_custkey, c_acctbal * 200 AS income, CAST(c_custkey % 130 AS DOUBLE) AS age FROM customer)")
+@query("SELECT c_custkey, CASE WHEN income BETWEEN 0 AND 1000000 THEN income END AS income, CASE WHEN age BETWEEN 0 AND 1 THEN age * 100 WHEN age <= 100 THEN age END AS age FROM (SELECT c_custkey, c_acctbal * 200 AS income, CAST(c_custkey % 110 AS DOUBLE) AS age FROM customer)")
 def domain_rule(spark, sf_dir):
     c = _table(spark, sf_dir, "customer")
-    df = c.select(F.col("c_custkey").alias(I.ROW_ID), (F.col("c_acctbal") * 200).alias("income"), (F.col("c_custkey") % 130).cast("double").alias("age"))
+    df = c.select(F.col("c_custkey").alias(I.ROW_ID), (F.col("c_acctbal") * 200).alias("income"), (F.col("c_custkey") % 110).cast("double").alias("age"))
     config = quality.Config(null_inflation=1e9, gating=True, required_ids=())
     out, _ = quality.apply(df, quality.fit(df, config), config)
     return out.select(F.col(I.ROW_ID).alias("c_custkey"), "income", "age")
