@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tokenizing import ChunkCache, after_space, as_bytes, by_spaces, byte_characters, encode_texts
+from .tokenizing import CACHE_CHARS, CACHE_CHUNKS, after_space, as_bytes, by_spaces, byte_characters
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -73,19 +73,30 @@ class ByteBpe:
         self.tokens = read_ranks(path)
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
         self.pattern = regex.compile(pattern)
-        chars = byte_characters()
-        self.table = {b: c for b, c in enumerate(chars)}
-        self.cache = ChunkCache(self._encode, lambda _, chunks: self._encode([after_space(c) for c in chunks]))
+        self.table = {b: c for b, c in enumerate(byte_characters()) if chr(b) != c}
+        self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Each match of the pattern on its own, all matches of all texts in one call."""
         found = [self.pattern.findall(x) for x in texts]
-        flat = ["".join(map(self.table.__getitem__, m.encode("utf-8", "replace"))) for ms in found for m in ms]
+        flat = [m.encode("utf-8", "replace").decode("latin-1").translate(self.table) for ms in found for m in ms]
         ids = iter(self.processor.encode(flat, num_threads=1) if flat else [])
         return [as_bytes([i - 1 for _ in ms for i in next(ids)]) for ms in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return encode_texts(self.cache, by_spaces, texts)
+        """Ids of whole texts as little-endian unsigned 32-bit bytes; new chunks of all of them are encoded together."""
+        chunked = [by_spaces(t) if t else [] for t in texts]
+        known = set().union(*(c for c in chunked if c))
+        if len(self.cache) + len(known) > CACHE_CHUNKS:
+            self.cache.clear()
+        new = list(known.difference(self.cache))
+        self.cache.update(zip(new, self._encode([after_space(c) for c in new]), strict=True))
+        whole = iter(self._encode([t for t, c in zip(texts, chunked, strict=True) if c is None]))
+        out = [next(whole) if c is None else b"".join(map(self.cache.__getitem__, c)) for c in chunked]
+        for c in new:
+            if len(c) > CACHE_CHARS:
+                del self.cache[c]
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

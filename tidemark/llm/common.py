@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Rows that one step of Python handles; bounds memory whatever the Arrow batch is.
 SLICE_ROWS = 512
+#: Rows of a document table that go to Python at once, unless the session says otherwise.
+BATCH_ROWS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 if out is not None and out.num_rows:
                     yield out
 
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -62,3 +67,11 @@ def bucket(doc_id: Column, n: int) -> Column:
 
 def bucket_of(doc_id: int | None, n: int) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """name, or with underscores after it as far as columns has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -29,18 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stash
+from .common import fresh, map_arrow, stash
 
 #: Bits of a bitmap.
-BITMAP = 512
+BITMAP = 2048
 #: Upper end of a size band over its lower end.
 RATIO = 1.25
 #: Nodes in a block of a tile.
 BLOCK = 256
+#: A pair that shares tiles among this many lowest keys of each node is handed on from the lowest of them only.
+LOWEST = 16
 #: Nodes that a task remembers, so that copies beside each other make one row.
 SEEN = 1_000_000
 #: Word hashes that a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 
@@ -207,8 +209,12 @@ def shingled(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
 
 
 def _membership(nodes: DataFrame) -> DataFrame:
-    """tile, node, centre of the tiles that hold several nodes; the centre is the least of them."""
-    members = nodes.select(F.explode("tiles").alias("tile"), "node")
+    """tile, node, centre of the tiles that hold several nodes; the centre is the least of them.
+
+    Dealt by tile once: the count and the join read the same exchange.  Nearly every tile
+    has one row, so counting before the shuffle would only widen its rows.
+    """
+    members = nodes.select(F.explode("tiles").alias("tile"), "node").repartition("tile")
     shared = members.groupBy("tile").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last")
     return members.join(shared.select("tile", "centre"), "tile")
 
@@ -310,16 +316,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _residual(members: DataFrame, component: DataFrame, facts: DataFrame, threshold: Threshold) -> DataFrame:
-    """Possible pairs (a, b) of a tile whose nodes lie in different components; blocks bound what a task holds."""
+    """Possible pairs (a, b) of a tile whose nodes lie in different components; blocks bound what a task holds.
+
+    Near copies share many tiles.  So that each of those does not name the same pairs, a
+    pair is left to the lowest tile that its nodes share, where their lists of lowest
+    tiles tell; where they do not, every shared tile names it.
+    """
     placed = members.select("tile", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tiles = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y")
-    rows = placed.join(open_tiles.select("tile", "size"), "tile").join(facts, "node")
+    rows = placed.join(open_tiles.select("tile", "size"), "tile")
+    lowest = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, LOWEST).alias("lowest"))
+    rows = rows.join(facts.join(lowest, "node"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     others = F.sequence(F.lit(0), blocks - 1)
     rows = rows.withColumn("other", F.explode(others))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    dealt = rows.select("tile", "i", "j", "block", "node", "component", "n", "bits").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    dealt = rows.select("tile", "i", "j", "block", "node", "component", "n", "bits", "lowest").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def run(batches):
         held: list[tuple] = []
@@ -330,13 +343,14 @@ def _residual(members: DataFrame, component: DataFrame, facts: DataFrame, thresh
                 return None
             block, node, component, n = (np.array([r[k] for r in held], np.int64) for k in range(4))
             words = np.frombuffer(b"".join(r[4] for r in held), _U).reshape(-1, BITMAP // 64)
+            lowest = [frozenset(r[5]) for r in held]
             out = []
             for x in range(len(held) - 1):
                 y = np.arange(x + 1, len(held))
                 # Off the diagonal, pairs within a block belong to the diagonal tiles.
                 y = y[(component[y] != component[x]) & ((key[1] == key[2]) | (block[y] != block[x]))]
                 y = y[bound(n[x], n[y], words[x], words[y], threshold)]
-                out += [(min(node[x], node[k]), max(node[x], node[k])) for k in y]
+                out += [(min(node[x], node[k]), max(node[x], node[k])) for k in y if min(lowest[x] & lowest[k], default=key[0]) == key[0]]
             if not out:
                 return None
             a, b = zip(*out, strict=True)
@@ -356,16 +370,47 @@ def _residual(members: DataFrame, component: DataFrame, facts: DataFrame, thresh
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Up to so many links are connected by one task; more by rounds over all executors.
+LOCAL_LINKS = 300_000
+
+
+def _forest(batches, star: bool):
+    """Links of a partition that connect as all of its links (a, b) do; with star, each node's component instead."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root) if star else [x for x, r in root.items() if x != r]
+    for at in range(0, len(nodes), 65536):
+        part = nodes[at : at + 65536]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node of links(a, b), by alternating large and small stars.
+    """node, component (its least node) of every node of links(a, b).
 
-    Each round is kept in the shared folder; it ends when the links no longer change.
+    Each partition first reduces its links to a forest.  What is left is connected in one
+    task if it is no more than LOCAL_LINKS, else by alternating large and small stars:
+    each round is kept in the shared folder; it ends when the links no longer change.
     """
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = stash(links.mapInArrow(lambda batches: _forest(batches, False), "u long, v long"), "edges")
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if state[0] <= LOCAL_LINKS:
+            return edges.coalesce(1).mapInArrow(lambda batches: _forest(batches, True), "u long, v long").toDF("node", "component")
+        if state == before:
             break
         before = state
         both = edges.union(edges.select("v", "u"))
@@ -377,6 +422,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose nodes lie in different components."""
+    for side in "ab":
+        pairs = pairs.join(component.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def link_components(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """doc_id, node, n_shingles, group of every row of docs(doc_id, text).
 
@@ -391,13 +443,20 @@ def link_components(docs: DataFrame, width: int, threshold: Threshold) -> DataFr
     wanted = stash(members.select("node").distinct(), "wanted")
     single = stash(facts.select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "facts")
     sets = stash(_sets(docs, wanted, width), "sets")
-    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = stash(_exact(_possible(stars, single, threshold), sets, threshold), "links")
-    found = stash(components(links), "components")
-    more = stash(_exact(_residual(members, found, single, threshold), sets, threshold), "links")
-    if not more.isEmpty():
-        # Links between components only: far fewer than all.
-        found = stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stash(_exact(_possible(pairs, single, threshold), sets, threshold), "links")
+
+    def more(found: DataFrame, links: DataFrame) -> DataFrame:
+        # Components so far, as stars, and the links between them.
+        return stash(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
+
+    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    stars = stash(stars.groupBy("b").agg(F.min("a").alias("first"), F.collect_set("a").alias("centres")), "stars")
+    found = stash(components(linked(stars.select(F.col("first").alias("a"), "b"))), "components")
+    others = stars.select(F.explode("centres").alias("a"), "b", "first").filter("a <> first").select("a", "b")
+    found = more(found, linked(_apart(others, found)))
+    found = more(found, linked(_residual(members, found, single, threshold)))
     return base.select("doc_id", "node", F.col("n").alias("n_shingles")).join(found, "node", "left").select("doc_id", "node", "n_shingles", F.coalesce("component", "node").alias("group"))
 
 
@@ -428,8 +487,9 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(8
 def _rows_of(docs: DataFrame, kept: DataFrame, width: int) -> DataFrame:
     """Rows of docs without shingles, and one row for each kept (doc_id, node)."""
     names = docs.columns
+    node, ident = fresh(names, "_node"), fresh(names, "_id")
     text = names.index("text")
-    schema = f"_node long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}"
+    schema = f"`{node}` long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}"
 
     def make():
         def step(batch):
@@ -438,12 +498,13 @@ def _rows_of(docs: DataFrame, kept: DataFrame, width: int) -> DataFrame:
                 s = shingle_hashes(t, width)
                 x = xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None
                 nodes.append(None if x is None else x - (x >> 63 << 64))
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *batch.columns], names=["_node", *names])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *batch.columns], names=[node, *names])
 
         return step
 
     rows = map_arrow(docs, make, schema)
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node"))
-    match = (F.col("_node") == F.col("_kept_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
-    full = rows.filter(F.col("_node").isNotNull()).join(kept, match, "left_semi")
-    return full.dropDuplicates(["doc_id", "_node"]).unionByName(rows.filter(F.col("_node").isNull())).select(*names)
+    # Rows go by (hash of the set, id) once, for the join and for dropping repeated rows alike.
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1))
+    kept = kept.select(F.col("node").alias(node), key.alias(ident))
+    full = rows.filter(F.col(node).isNotNull()).withColumn(ident, key).join(kept, [node, ident], "left_semi")
+    return full.dropDuplicates([node, ident]).select(*names).unionByName(rows.filter(F.col(node).isNull()).select(*names))

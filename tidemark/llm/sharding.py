@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh, stash
 
 SHARDS = 16
 BITS = 5
@@ -67,7 +67,7 @@ def shard(rows: DataFrame, cells: list[Column], ties: list[str], shards: int = S
     them that few rows are alike in all (rows alike in all are interchangeable, but stay
     together in one sort task).  Shard sizes differ by at most one row; with fewer rows
     than shards some shards are empty, and an empty table gives no rows.  Columns of rows
-    named shard, slot or _place are replaced.
+    named shard or slot are replaced.
 
     One range shuffle of rows, kept in the shared folder so that places are drawn once;
     then one count for each partition of it goes to the driver.
@@ -80,21 +80,22 @@ def shard(rows: DataFrame, cells: list[Column], ties: list[str], shards: int = S
         return pd.Series(hilbert_index(grid.to_numpy(), bits))
 
     spark = rows.sparkSession
-    rows = rows.drop("shard", "slot", "_place")
-    keyed = rows.withColumn("_place", curve(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)])))
-    keys = ["_place", *ties]
+    rows = rows.drop("shard", "slot")
+    place, at, before_, rank = (fresh(rows.columns, x) for x in ("_place", "_at", "_before", "_rank"))
+    keyed = rows.withColumn(place, curve(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)])))
+    keys = [place, *ties]
     dealt = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    dealt = stash(dealt.drop("_place").withColumn("_at", F.monotonically_increasing_id()), "shard")
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    dealt = stash(dealt.drop(place).withColumn(at, F.monotonically_increasing_id()), "shard")
+    part, row = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
     before, total = [], 0
     for p, n in sorted(tuple(r) for r in dealt.groupBy(part.alias("p")).count().collect()):
         before.append((p, total))
         total += n
-    offsets = spark.createDataFrame(before, "_p long, _before long")
-    placed = dealt.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn("_rank", F.col("_before") + row)
-    placed = placed.withColumn("shard", F.expr(f"cast(({shards} * (_rank + 1) - 1) div {max(total, 1)} as int)"))
-    placed = placed.withColumn("slot", F.expr(f"_rank - (shard * {total}L) div {shards}"))
-    return placed.drop("_p", "_before", "_rank", "_at")
+    offsets = spark.createDataFrame(before, f"{place} long, {before_} long")
+    placed = dealt.withColumn(place, part).join(F.broadcast(offsets), place).withColumn(rank, F.col(before_) + row)
+    placed = placed.withColumn("shard", F.expr(f"cast(({shards} * ({rank} + 1) - 1) div {max(total, 1)} as int)"))
+    placed = placed.withColumn("slot", F.expr(f"{rank} - (shard * {total}L) div {shards}"))
+    return placed.drop(place, before_, rank, at)
 
 
 def document_cells(bits: int = BITS) -> list[Column]:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: Chunks kept per Python worker; the cache starts again when it is full.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
 #: Chunks longer than this (characters) are not kept.
 CACHE_CHARS = 256
 
@@ -23,9 +23,11 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: Marks a text's first chunk, which no space precedes (a code point that is never assigned).
 FIRST = "\ufdd0"
 
-#: A space after other white space may belong to the run before it; \x1c-\x1f are white space to Python alone.
-_DOUBT = re.compile(r"\s |[\x1c-\x1f\ufdd0]")
-_ASCII_DOUBT = [f"{c} " for c in " \t\n\r\x0b\x0c"] + ["\x1c", "\x1d", "\x1e", "\x1f"]
+#: Unicode white space as tokenizers see it, and what is white space to Python alone.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: A space after other white space may belong to the run before it.
+_DOUBT = [f"{c} " for c in WHITE_SPACE] + [*SEPARATORS, FIRST]
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -33,28 +35,22 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 class ChunkCache(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit bytes.
+    """Chunk -> its ids as little-endian unsigned 32-bit bytes, found when first asked for.
 
-    whole gives the ids of texts; chunks those of chunks, and may look its pieces up in this cache.
+    whole gives the ids of a text; one those of a chunk, and may look its pieces up here.
     """
 
-    def __init__(self, whole: Callable[[list[str]], list[bytes]], chunks: Callable[[ChunkCache, list[str]], list[bytes]]):
+    def __init__(self, whole: Callable[[str], bytes], one: Callable[[ChunkCache, str], bytes]):
         super().__init__()
-        self.whole, self.chunks = whole, chunks
+        self.whole, self.one = whole, one
 
-    def ids(self, chunked: list[list[str]]) -> list[bytes]:
-        """Of each text, given as its chunks."""
-        missing = set().union(*chunked).difference(self.keys())
-        if len(self) + len(missing) > CACHE_CHUNKS:
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE_CHUNKS:
             self.clear()
-            missing = set().union(*chunked)
-        found = list(missing)
-        self.update(zip(found, self.chunks(self, found), strict=True))
-        out = [b"".join(map(self.__getitem__, chunks)) for chunks in chunked]
-        for c in found:
-            if len(c) > CACHE_CHARS:
-                del self[c]
-        return out
+        ids = self.one(self, chunk)
+        if len(chunk) <= CACHE_CHARS:
+            self[chunk] = ids
+        return ids
 
 
 def after_space(chunk: str) -> str:
@@ -63,7 +59,7 @@ def after_space(chunk: str) -> str:
 
 def by_spaces(text: str) -> list[str] | None:
     """Chunks that follow a space (the first: the text's start); None where a byte-level pattern may join across them."""
-    if any(x in text for x in _ASCII_DOUBT) if text.isascii() else _DOUBT.search(text):
+    if any(map(text.__contains__, _DOUBT)):
         return None
     chunks = text.split(" ")
     chunks[0] = FIRST + chunks[0]
@@ -72,16 +68,15 @@ def by_spaces(text: str) -> list[str] | None:
 
 def by_white_space(text: str) -> list[str] | None:
     """Words between white space, for tokenizers that drop white space."""
-    return None if any(x in text for x in _ASCII_DOUBT[6:]) else text.split()
+    return None if any(map(text.__contains__, SEPARATORS)) else text.split()
 
 
 def encode_texts(cache: ChunkCache, split: Callable[[str], list[str] | None], texts: list[str]) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
-    chunked = [split(t) if t else [] for t in texts]
-    whole = [i for i, c in enumerate(chunked) if c is None]
-    out = cache.ids([c or [] for c in chunked])
-    for i, ids in zip(whole, cache.whole([texts[i] for i in whole]) if whole else [], strict=True):
-        out[i] = ids
+    out = []
+    for text in texts:
+        chunks = split(text) if text else []
+        out.append(cache.whole(text) if chunks is None else b"".join(map(cache.__getitem__, chunks)))
     return out
 
 
@@ -115,11 +110,11 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     chars = byte_characters()
-    spelled = {b: c for b, c in enumerate(chars)}
+    spelled = {b: c for b, c in enumerate(chars) if chr(b) != c}
     tokenize = tokenizer.model.tokenize
 
-    def whole(texts: list[str]) -> list[bytes]:
-        return [as_bytes(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(text: str) -> bytes:
+        return as_bytes(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     text_of = after_space if spaced else str
 
@@ -133,7 +128,7 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     elif byte_level and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and not spaced:
         pattern, lower = regex.compile(parts[0]["pattern"]["Regex"]), True
     else:
-        return ChunkCache(whole, lambda cache, chunks: whole([text_of(c) for c in chunks]))
+        return ChunkCache(whole, lambda _, chunk: whole(text_of(chunk)))
     find, plain = pattern.findall, _PLAIN.fullmatch
     space = chars[32]
 
@@ -143,7 +138,7 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
                 return piece
             if piece[:1] == " " and piece[1:].isalpha():
                 return space + piece[1:]
-        return "".join([spelled[b] for b in piece.encode()])
+        return piece.encode().decode("latin-1").translate(spelled)
 
     def model_ids(piece: str) -> bytes:
         return as_bytes([t.id for t in tokenize(spell(piece))])
@@ -151,10 +146,10 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     def chunk_of(piece: str) -> str:
         return piece if not spaced else piece[1:] if piece[:1] == " " else FIRST + piece
 
-    def one(cache: ChunkCache, chunk: str) -> bytes | None:
+    def one(cache: ChunkCache, chunk: str) -> bytes:
         text = text_of(chunk)
         if not plain(text):
-            return None
+            return whole(text)
         if lower:
             text = text.lower()
         if text.isalpha() or text[:1] == " " and text[1:].isalpha():
@@ -169,11 +164,4 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
             out.append(ids)
         return b"".join(out)
 
-    def chunks(cache: ChunkCache, missing: list[str]) -> list[bytes]:
-        found = [cache[c] if c in cache else one(cache, c) for c in missing]
-        odd = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(odd, whole([text_of(missing[i]) for i in odd]) if odd else [], strict=True):
-            found[i] = ids
-        return found
-
-    return ChunkCache(whole, chunks)
+    return ChunkCache(whole, one)

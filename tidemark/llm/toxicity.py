@@ -25,14 +25,16 @@ from .folds import in_fold, labelled, sample_by_class
 
 #: The classifier is fitted on at most so many labelled documents of each class.
 SAMPLE_PER_CLASS = 6000
-#: Features that the classifier may weigh, and the documents a feature must occur in.
+#: Features that the classifier may weigh, and the different documents a feature must occur in.
 VOCABULARY, LEAST_DOCS = 4096, 5
+#: A feature must be so much likelier to mark the label than a text at random, with this many standard errors to spare.
+LIFT, CERTAINTY = 1.5, 3.5
 #: Lengths of the beginnings of words that count as features.
 BEGINNINGS = (4, 5, 6)
 FEATURE_BITS = 20
 PENALTY_L2, PENALTY_SWAP, STEPS = 1e-5, 1.0, 400
 #: Words whose features a Python worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 #: Identity terms by group; a term is swapped for others of its group.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -59,7 +61,7 @@ SWAPS = 2
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(maxsize=CACHE_WORDS)
+@lru_cache(maxsize=CACHE_WORDS // 4)
 def word_features(word: str) -> tuple[int, ...]:
     """Hashes of a word and of its beginnings."""
     names = [f"={word}"] + [f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n]
@@ -128,19 +130,21 @@ def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list
     are those that the label favours and weights are not negative, so that no amount of
     harmless text makes up for an insult.
     """
+    # Copies of a text count once, else all words of a much copied one would look telling.
     total, bad = (np.zeros(1 << FEATURE_BITS, np.int64) for _ in range(2))
-    for row, label in zip(rows, y, strict=True):
+    for row, label in {(r.tobytes(), int(v)): (r, v) for r, v in zip(rows, y, strict=True)}.values():
         total[row] += 1
         if label:
             bad[row] += 1
-    share = y.mean()
-    expected = total * share
-    usable = np.flatnonzero((total >= LEAST_DOCS) & (bad > expected))
-    association = (bad - expected)[usable] ** 2 / (expected[usable] * (1 - share))
-    features = np.sort(usable[np.argsort(-association, kind="stable")[:VOCABULARY]]).astype(np.uint32)
+    prior = float((weight * y).sum() / weight.sum())
+    at = np.flatnonzero(total >= LEAST_DOCS)
+    # The lower end of the interval (Wilson's) for the label's share among texts with the feature.
+    n, p, z = total[at], bad[at] / total[at], CERTAINTY
+    low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    telling = low > min(LIFT * y.mean(), (1 + y.mean()) / 2)
+    features = np.sort(at[telling][np.argsort(-low[telling], kind="stable")[:VOCABULARY]]).astype(np.uint32)
     k = len(features)
     at, column = _matrix(rows, features)
-    prior = float((weight * y).sum() / weight.sum())
     bias = float(np.log(prior / (1 - prior)))
     if not k:
         return Model(features, np.zeros(0), bias)
