@@ -173,6 +173,19 @@ def test_impute(spark):
     assert impute.apply(only, impute.Config(enabled=False))[2] == {"enabled": False}
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    rows = [(float(i * 7 % 50), float(i) if i % 4 else None) for i in range(50)]
+    df = frame(spark, rows, "x double, v double")
+    one = sorted(map(tuple, impute.nearest(df, "v", ["x"], 3, None).collect()))
+    monkeypatch.setattr(impute, "KNN_BLOCK", 5)
+    assert sorted(map(tuple, impute.nearest(df, "v", ["x"], 3, None).collect())) == one
+    known = [(i, r) for i, r in enumerate(rows) if r[1] is not None]
+    for i, r in enumerate(rows):
+        if r[1] is None:
+            best = sorted((abs(r[0] - x[0]), j, x[1]) for j, x in known)[:3]
+            assert dict(one)[i] == sorted(b[2] for b in best)[1]
+
+
 def test_export(spark):
     df = frame(spark, [("2024-01-05", dt.datetime(2024, 1, 5, 3), "20240105"), ("2024-01-06", None, "x")], "a string, t timestamp_ntz, b string")
     out, report = export.apply(df)

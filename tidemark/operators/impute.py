@@ -23,7 +23,7 @@ class Config:
     min_group: int = 10
     groups: int = 3
     #: The candidates of the nearest-neighbour search, spread over the rows by hash; None: all rows.
-    knn_candidates: int | None = 10_000
+    knn_candidates: int | None = 10_000  # KNN_BLOCK
 
 
 def numeric_columns(df: DataFrame) -> tuple[list[str], DataFrame]:
@@ -65,27 +65,41 @@ def group_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     return df.groupBy(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("__size"), *[F.median(X.number(F.col(f"`{c}`"), df.schema[c].dataType)).alias(f"__med_{c}") for c in columns])
 
 
-def nearest(df: DataFrame, target: str, features: list[str], k: int, candidates: int | None = 10_000) -> DataFrame:
+#: Candidates that one row is compared with at a time.
+KNN_BLOCK = 10_000
+
+
+def nearest(df: DataFrame, target: str, features: list[str], k: int, candidates: int | None = KNN_BLOCK) -> DataFrame:
     """ROW_ID, __knn: the median target of the k candidates nearest to each row that lacks it.
 
-    Distance is the mean absolute difference over features known in both rows.  Candidates
-    are the rows that have the target, those of the lowest row-id hashes up to the bound,
-    and so of a size that may be broadcast; the rows to fill stay where they are.
+    Distance is the mean absolute difference over features known in both rows; ties go to
+    the lower row id.  Candidates are the rows that have the target: those of the lowest
+    row-id hashes up to the bound, or all of them (None).  They are packed into blocks of
+    about KNN_BLOCK; each row takes the best k of each block, then of those.  One block
+    is small enough to broadcast.
     """
     have = df.filter(F.col(f"`{target}`").isNotNull())
+    blocks = 1
     if candidates is not None:
         have = have.orderBy(F.xxhash64(I.ROW_ID), I.ROW_ID).limit(candidates)
-    have = have.select(F.struct(F.col(I.ROW_ID).alias("id"), X.number(F.col(f"`{target}`"), df.schema[target].dataType).alias("t"), F.array(*[X.number(F.col(f"`{c}`"), df.schema[c].dataType) for c in features]).alias("f")).alias("c"))
-    packed = have.agg(F.collect_list("c").alias("__candidates"))
+    else:
+        blocks = max(1, -(-have.count() // KNN_BLOCK))
+    packed = have.select(
+        F.pmod(F.xxhash64(I.ROW_ID), F.lit(blocks)).alias("__block"),
+        F.struct(F.col(I.ROW_ID).alias("id"), X.number(F.col(f"`{target}`"), df.schema[target].dataType).alias("t"), F.array(*[X.number(F.col(f"`{c}`"), df.schema[c].dataType) for c in features]).alias("f")).alias("c"),
+    )
+    packed = packed.groupBy("__block").agg(F.collect_list("c").alias("__candidates"))
     mine = F.array(*[X.number(F.col(f"`{c}`"), df.schema[c].dataType) for c in features])
     lack = df.filter(F.col(f"`{target}`").isNull()).select(I.ROW_ID, mine.alias("__mine"))
     gaps = F.transform("__candidates", lambda c: F.struct(_distance(c["f"], F.col("__mine")).alias("d"), c["id"].alias("id"), c["t"].alias("t")))
     best = F.slice(F.array_sort(F.filter(gaps, lambda g: g["d"].isNotNull())), 1, k)
-    near = lack.join(F.broadcast(packed)).select(I.ROW_ID, best.alias("__best"))
+    near = lack.join(F.broadcast(packed) if blocks == 1 else packed).select(I.ROW_ID, best.alias("__best"))
+    if blocks > 1:
+        near = near.groupBy(I.ROW_ID).agg(F.slice(F.array_sort(F.flatten(F.collect_list("__best"))), 1, k).alias("__best"))
     values = F.array_sort(F.transform("__best", lambda b: b["t"]))
     n = F.size(values)
     middle = (F.try_element_at(values, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(values, F.floor(n / 2).cast("int") + 1)) / 2
-    return near.withColumn("__values", values).select(I.ROW_ID, F.when(F.size("__best") > 0, middle).alias("__knn"))
+    return near.select(I.ROW_ID, F.when(F.size("__best") > 0, middle).alias("__knn"))
 
 
 def _distance(a: Column, b: Column) -> Column:
