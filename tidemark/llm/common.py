@@ -44,6 +44,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what stash and the file writers left in the shared folder; results not yet read are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/tidemark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow over small slices; make() is called once per task and gives the function of a slice."""
 
