@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -44,6 +45,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what stash and the file writers left in the shared folder; results not yet read are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/tidemark")

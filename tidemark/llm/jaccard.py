@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, stash
+from .common import free_shuffles, fresh, map_arrow, stash
 
 #: Bits of a bitmap.
 BITMAP = 2048
@@ -440,12 +440,17 @@ def link_components(docs: DataFrame, width: int, threshold: Threshold) -> DataFr
     base = stash(shingled(docs, width, threshold), "shingled")
     facts = base.filter("bits is not null").select("node", "n", "bits", "tiles")
     members = stash(_membership(facts), "tiles").distinct()
+    # Tiles are the largest shuffle, shingle sets the next: neither is kept while the other is made.
+    free_shuffles(docs.sparkSession)
     wanted = stash(members.select("node").distinct(), "wanted")
     single = stash(facts.select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "facts")
     sets = stash(_sets(docs, wanted, width), "sets")
+    free_shuffles(docs.sparkSession)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return stash(_exact(_possible(pairs, single, threshold), sets, threshold), "links")
+        links = stash(_exact(_possible(pairs, single, threshold), sets, threshold), "links")
+        free_shuffles(docs.sparkSession)
+        return links
 
     def more(found: DataFrame, links: DataFrame) -> DataFrame:
         # Components so far, as stars, and the links between them.

@@ -6,7 +6,7 @@ and the documents' ids.  A list of n values up to u takes about n * (2 + log2(u
 bits; a sample of the positions of its ones answers select(i) without decoding the rest.
 
 Layout (little-endian): magic, then unsigned 64-bit n_documents, n_null_ids, n_ids,
-id_bytes; the two lists; the ids.  A list: unsigned 64-bit n, base (two's complement),
+id_bytes, n_before (ids of the same part in the files before); the two lists; the ids.  A list: unsigned 64-bit n, base (two's complement),
 low_bits, n_low_bytes, n_high_bytes, n_samples; then its low bits, its high bits, and
 32-bit samples (bit position of each SAMPLE-th one).
 """
@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, scratch_path, stash
@@ -100,23 +101,23 @@ class EliasFano:
         return cls(base, low_bits, n, low, high, np.frombuffer(data[at[2] : at[3]], "<u4")), data[at[3] :]
 
 
-def pack_file(doc_ids: list[int | None], ids: list[bytes], id_bytes: int) -> bytes:
+def pack_file(doc_ids: list[int | None], ids: list[bytes], id_bytes: int, before: int = 0) -> bytes:
     """A file of documents in order (null ids first); ids as unsigned 32-bit bytes of each."""
     known = [d for d in doc_ids if d is not None]
     starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
-    head = np.array([len(doc_ids), len(doc_ids) - len(known), starts[-1], id_bytes], "<u8")
+    head = np.array([len(doc_ids), len(doc_ids) - len(known), starts[-1], id_bytes, before], "<u8")
     body = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{id_bytes}")
     return MAGIC + head.tobytes() + EliasFano.of(starts).to_bytes() + EliasFano.of(np.array(known, np.int64)).to_bytes() + body.tobytes()
 
 
-def open_file(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """doc_ids, boundaries (n_documents + 1 of them) and ids of a file."""
+def open_file(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray, int]:
+    """doc_ids, boundaries (n_documents + 1 of them), ids and n_before of a file."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    n, n_null, n_ids, id_bytes = (int(x) for x in np.frombuffer(data[8:40], "<u8"))
-    starts, rest = EliasFano.read(memoryview(data)[40:])
+    n, n_null, n_ids, id_bytes, before = (int(x) for x in np.frombuffer(data[8:48], "<u8"))
+    starts, rest = EliasFano.read(memoryview(data)[48:])
     known, rest = EliasFano.read(rest)
-    return [None] * n_null + known.values().tolist(), starts, np.frombuffer(rest, f"<u{id_bytes}", n_ids)
+    return [None] * n_null + known.values().tolist(), starts, np.frombuffer(rest, f"<u{id_bytes}", n_ids), before
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -140,14 +141,14 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
         part = TaskContext.get().partitionId()
         held_docs: list = []
         held_ids: list[bytes] = []
-        held, number = 0, 0
+        held, number, before = 0, 0, 0
 
         def close():
             largest = max((int(np.frombuffer(x, "<u4").max()) for x in held_ids), default=0)
             name = f"part-{part:06d}-{number:06d}.eft"
             store.create_dir(root, recursive=True)
             with store.open_output_stream(other := f"{root}/_{name}.{uuid.uuid4().hex}") as f:
-                f.write(pack_file(held_docs, held_ids, 2 if largest < 1 << 16 else 4))
+                f.write(pack_file(held_docs, held_ids, 2 if largest < 1 << 16 else 4, before))
             store.move(other, f"{root}/{name}")
             return pa.RecordBatch.from_pylist([{"file": name, "part": part, "number": number, "n_documents": len(held_docs), "n_ids": held // 4}], schema)
 
@@ -160,7 +161,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
                     held += len(ids) + 4
                 if held >= 2 * FILE_BYTES:
                     yield close()
-                    held_docs, held_ids, held, number = [], [], 0, number + 1
+                    held_docs, held_ids, held, number, before = [], [], 0, number + 1, before + held // 4
         if held_docs:
             yield close()
 
@@ -172,13 +173,25 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
 
 
 def read(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file of every document, read from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file of every document, read from the files.
+
+    Each file tells how many ids of its part come before it; what comes before a part is
+    summed on the driver, from one row for each part.
+    """
+    spark = files.sparkSession
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
+    sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    if not sums:
+        return spark.createDataFrame([], schema)
+    before_part = {p: total - n for (p, n), total in zip(sums, accumulate(n for _, n in sums), strict=True)}
 
     def make():
         def step(batch):
             rows = []
-            for name, before, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc_ids, boundaries, ids = open_file(data)
+            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = path.rsplit("/", 1)[-1]
+                doc_ids, boundaries, ids, before = open_file(data)
+                before += before_part[int(name.split("-")[1])]
                 starts = boundaries.values()
                 for doc_id, a, b in zip(doc_ids, starts.tolist(), starts[1:].tolist(), strict=False):
                     rows.append((doc_id, before + a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), name))
@@ -187,13 +200,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
 
         return step
 
-    spark = files.sparkSession
-    before = files.select("file", F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)).alias("before")).fillna(0, "before")
-    if files.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
     stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.eft").load(folder)
-    stored = stored.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(before, "file")
-    return map_arrow(stored.select("file", "before", "content"), make, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return map_arrow(stored.select("path", "content"), make, schema)
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
