@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -47,14 +48,26 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs, which it does once the driver's JVM has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that stash made, once nothing will read it again."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _delete(table.sparkSession, folder)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what stash and the file writers left in the shared folder; results not yet read are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/tidemark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch(spark)}/tidemark")
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, fresh, map_arrow, stash
+from .common import discard, free_shuffles, fresh, map_arrow, stash
 
 #: Bits of a bitmap.
 BITMAP = 2048
@@ -437,18 +437,22 @@ def link_components(docs: DataFrame, width: int, threshold: Threshold) -> DataFr
     repeated rows are documents like any other; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    base = stash(shingled(docs, width, threshold), "shingled")
-    facts = base.filter("bits is not null").select("node", "n", "bits", "tiles")
+    shingled_docs = stash(shingled(docs, width, threshold), "shingled")
+    base = stash(shingled_docs.select("doc_id", "node", "n"), "documents")
+    facts = shingled_docs.filter("bits is not null").select("node", "n", "bits", "tiles")
     members = stash(_membership(facts), "tiles").distinct()
-    # Tiles are the largest shuffle, shingle sets the next: neither is kept while the other is made.
-    free_shuffles(docs.sparkSession)
     wanted = stash(members.select("node").distinct(), "wanted")
     single = stash(facts.select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "facts")
+    # Tiles are the largest data, shingle sets the next: neither is kept while the other is made.
+    discard(shingled_docs)
+    free_shuffles(docs.sparkSession)
     sets = stash(_sets(docs, wanted, width), "sets")
     free_shuffles(docs.sparkSession)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        links = stash(_exact(_possible(pairs, single, threshold), sets, threshold), "links")
+        possible = stash(_possible(pairs, single, threshold), "possible")
+        free_shuffles(docs.sparkSession)
+        links = stash(_exact(possible, sets, threshold), "links")
         free_shuffles(docs.sparkSession)
         return links
 
