@@ -98,3 +98,25 @@ def test_compare_edited(edge, clashing, empty, small):
     same = {r["fingerprint"] for r in got if r["doc_id"] in (1, 2)}
     assert len(same) == 1 and syncmers.compare_edited(empty).count() == 0
     assert rows_of(syncmers.compare_edited(edge), "doc_id", "fingerprint") == sorted(((r["doc_id"], r["fingerprint"]) for r in got), key=lambda r: tuple((x is not None, str(x)) for x in r))
+
+
+def test_anchors_of_all_lengths(spark):
+    """One rule at all lengths: by hand, and near copies are alike on both sides of any length."""
+    words = [f"w{i * i % 97}" for i in range(40)]
+    texts = [" ".join(words[:n]) for n in range(1, 41)] + ["x", "abcd", "unbroken" * 3, "漢字かな交じり文🙂です" * 2, " A\t b\n", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["a"] for r in syncmers.with_anchors(df, "text", "a").collect()}
+    run, inner = syncmers.RUN, syncmers.INNER
+    for i, t in enumerate(texts):
+        flat = " ".join((t or "").lower().split())
+        padded = "\x01" * (inner - 1) + flat
+        cut = [padded[j : j + inner] for j in range(len(flat))]
+        h = [syncmers.PADDING] * (run - inner) + [r[0] for r in spark.createDataFrame([(j, c) for j, c in enumerate(cut)], "j int, c string").orderBy("j").select(F.xxhash64("c")).collect()] if i % 6 == 4 and cut else None
+        if h:
+            w = run - inner + 1
+            assert len(found[i]) == sum(min(h[j : j + w]) in (h[j], h[j + w - 1]) for j in range(len(flat)))
+        assert bool(found[i]) == bool(flat)
+    for n in range(2, 39):
+        a, b = set(found[n]), set(found[n + 1])
+        assert len(a & b) / len(a | b) > 0.4, "one word more leaves most anchors, at 15 and 16 words too"
+    assert all(r["near_edited"] > 0.3 for r in syncmers.compare_edited(df.filter("text <> ''")).collect())

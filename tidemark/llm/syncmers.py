@@ -1,14 +1,22 @@
 """Document fingerprints of closed syncmers, in DataFrame expressions alone.
 
-A text is a sequence of words (lower-cased A-Z, cut at white space); each word has a
-64-bit hash.  Of the runs of K words, those are closed syncmers whose smallest inner
-substring (of S = 1 word) lies at an edge.  Whether a run is chosen depends on its own
-words alone, so the same passage gives the same anchors in any context.  An anchor is
-the hash of the chosen run, with the place of its first word for positional matching.
+A text is a sequence of characters (lower-cased, each white space one blank).  Of the
+runs of RUN characters, those are closed syncmers whose smallest inner substring (of
+INNER characters, in the order of their 64-bit hashes) lies at an edge.  Whether a run is
+chosen depends on its own characters alone, so the same passage gives the same anchors in
+any context.  Before its start a text has RUN - 1 characters of padding, whose substrings
+are the smallest of all: the runs that reach into them are chosen as well, so that texts
+of any length have anchors, made by one rule.  An anchor is the hash of the chosen run.
+
+fingerprint() has the same over words (runs of K, inner substrings of one word), with the
+place of the first word for positional matching; texts of fewer than 2 * K words have
+single words for runs there, whose anchors match those of no longer text.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +24,12 @@ from pyspark.sql import functions as F
 K = 8
 
 
+#: Characters in a run and in its inner substrings; 2 of RUN - INNER + 1 runs are chosen on average.
+RUN, INNER = 28, 5
+
+#: Comes before all hashes of inner substrings.
+PADDING = -(2**63)
+
 #: Stands for a null id (an id of this value counts as null), so that joins need no test for null.
 NO_ID = -(2**63) + 1
 
@@ -49,10 +63,42 @@ def with_places(docs: DataFrame, hashes: str, k: int = K) -> DataFrame:
     return sized.withColumn("_places", F.when(F.size(hashes) > 0, places).otherwise(F.array().cast("array<int>")))
 
 
-def with_anchors(docs: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
-    """docs with the anchors of a whole text: 32-bit hashes of its closed syncmers, in order of place."""
-    placed = with_places(with_words(docs, text, "_hashes"), "_hashes", k)
-    return placed.withColumn(out, F.transform("_places", lambda i: F.hash(F.slice("_hashes", i, F.col("_k"))))).drop("_hashes", "_places", "_k")
+def with_substrings(docs: DataFrame, text: str, out: str, run: int = RUN, inner: int = INNER) -> DataFrame:
+    """docs with the hashes of a text's inner substrings in order, PADDING first; empty for a null or blank text.
+
+    There are as many as characters, each ending one, after run - inner of the padding.
+    """
+    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0b\\f\\r]{2,}|[\\t\\n\\x0b\\f\\r]", " ")
+    trimmed = docs.withColumn("_trimmed", F.btrim(flat))
+    cut = F.regexp_extract_all(F.concat(F.lit("\x01" * (inner - 1)), "_trimmed"), F.lit(f"(?s)(?=(.{{{inner}}}))."), F.lit(1))
+    hashes = F.concat(F.array_repeat(F.lit(PADDING).cast("long"), run - inner), F.transform(cut, lambda x: F.xxhash64(x)))
+    return trimmed.withColumn(out, F.when(F.col("_trimmed") == "", F.array().cast("array<bigint>")).otherwise(hashes)).drop("_trimmed")
+
+
+def with_anchors(docs: DataFrame, text: str, out: str, run: int = RUN, inner: int = INNER) -> DataFrame:
+    """docs with the anchors of a whole text: 32-bit hashes of its closed syncmers, in order of place.
+
+    run - inner is 4 or more.  Minima of four hashes in a row are made once, so that an
+    edge is compared with six of them at most, and with the first one mostly.
+    """
+    width = run - inner + 1
+    hashes, fours = F.col("_inner"), F.col("_fours")
+    steps = [*range(1, width - 4, 4), width - 4]
+
+    def closed(i: Column) -> Column:
+        first, last = hashes[i], hashes[i + (width - 1)]
+        ahead = [first <= fours[i + n] for n in steps]
+        behind = [last <= fours[i + (width - 4 - n)] for n in steps]
+        return functools.reduce(Column.__and__, ahead) | functools.reduce(Column.__and__, behind)
+
+    def least(name: str, apart: int) -> Column:
+        return F.zip_with(name, F.slice(name, apart + 1, F.size(name)), lambda x, y: F.least(x, y))
+
+    docs = with_substrings(docs, text, "_inner", run, inner)
+    docs = docs.withColumn("_twos", least("_inner", 1)).withColumn("_fours", least("_twos", 2)).drop("_twos")
+    places = F.filter(F.sequence(F.lit(0), F.size(hashes) - width), closed)
+    docs = docs.withColumn("_places", F.when(F.size(hashes) > 0, places).otherwise(F.array().cast("array<int>")))
+    return docs.withColumn(out, F.transform("_places", lambda i: F.hash(F.slice(hashes, i + 1, width)))).drop("_inner", "_fours", "_places")
 
 
 def as_string(hashes: Column) -> Column:
@@ -115,7 +161,7 @@ def shifts(pairs: DataFrame) -> DataFrame:
     return rows.join(best, "_pair", "left").fillna(0, "matched").drop("_pair")
 
 
-def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
+def compare_edited(docs: DataFrame, run: int = RUN, inner: int = INNER) -> DataFrame:
     """Fingerprints of every whole text of docs(doc_id, text) and of its edited text, and their likenesses.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as
@@ -132,14 +178,14 @@ def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = _joined(successors(docs.select("doc_id", F.char_length("text").alias("n_chars"))))
     # Shuffled once by id, fingerprints with it: both joins below read that exchange.
-    known = with_anchors(docs, "text", "hashes", k).repartition("doc_id")
+    known = with_anchors(docs, "text", "hashes", run, inner).repartition("doc_id")
     heads = known.join(order, "doc_id").select(F.col("prev_id").alias("doc_id"), F.struct(F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"), F.col("hashes").alias("next_hashes")).alias("next"))
     heads = heads.groupBy("doc_id").agg(F.min("next").alias("next"))
     both = known.join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("text"))
     own = both.withColumn("cut", F.expr("n_chars - n_chars div 4").cast("int"))
     head = F.coalesce(F.expr("left(next.head, cast(n_chars div 4 as int))"), F.lit(""))
     edited = own.select("doc_id", "n_chars", "hashes", F.coalesce("next.next_hashes", F.array().cast("array<int>")).alias("next_hashes"), F.concat(F.expr("left(text, cut)"), head).alias("edited"))
-    found = with_anchors(edited, "edited", "edited_hashes", k)
+    found = with_anchors(edited, "edited", "edited_hashes", run, inner)
     return found.select(
         F.expr(f"nullif(doc_id, {NO_ID}L)").alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
