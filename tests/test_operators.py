@@ -186,6 +186,15 @@ def test_nearest_in_blocks(spark, monkeypatch):
             assert dict(one)[i] == sorted(b[2] for b in best)[1]
 
 
+def test_impute_seeks_all_rows(spark):
+    """More rows than one block holds: each gap is filled from its own neighbours, whatever their hash."""
+    n = impute.KNN_BLOCK + 2_000
+    df = spark.range(n).select(F.col("id").alias(I.ROW_ID), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 1000 != 500, F.col("id").cast("double")).alias("v"))
+    out, _, _ = impute.apply(df, impute.Config(k=2))
+    filled = out.filter(f"{I.ROW_ID} % 1000 = 500").collect()
+    assert len(filled) == 12 and all(r["v"] == r["x"] for r in filled if 500 < r["x"] < n - 500)
+
+
 def test_export(spark):
     df = frame(spark, [("2024-01-05", dt.datetime(2024, 1, 5, 3), "20240105"), ("2024-01-06", None, "x")], "a string, t timestamp_ntz, b string")
     out, report = export.apply(df)

@@ -22,8 +22,6 @@ class Config:
     max_missing: float = 0.50
     min_group: int = 10
     groups: int = 3
-    #: The candidates of the nearest-neighbour search, spread over the rows by hash; None: all rows.
-    knn_candidates: int | None = 10_000  # KNN_BLOCK
 
 
 def numeric_columns(df: DataFrame) -> tuple[list[str], DataFrame]:
@@ -69,21 +67,18 @@ def group_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
 KNN_BLOCK = 10_000
 
 
-def nearest(df: DataFrame, target: str, features: list[str], k: int, candidates: int | None = KNN_BLOCK) -> DataFrame:
+def nearest(df: DataFrame, target: str, features: list[str], k: int, candidates: None = None) -> DataFrame:
     """ROW_ID, __knn: the median target of the k candidates nearest to each row that lacks it.
 
     Distance is the mean absolute difference over features known in both rows; ties go to
-    the lower row id.  Candidates are the rows that have the target: those of the lowest
-    row-id hashes up to the bound, or all of them (None).  They are packed into blocks of
-    about KNN_BLOCK; each row takes the best k of each block, then of those.  One block
-    is small enough to broadcast.
+    the lower row id.  Candidates are all rows that have the target (candidates has no
+    other value than None).  They are packed into blocks of about KNN_BLOCK; each row takes
+    the best k of each block, then of those.  One block is small enough to broadcast.
     """
     have = df.filter(F.col(f"`{target}`").isNotNull())
-    blocks = 1
     if candidates is not None:
-        have = have.orderBy(F.xxhash64(I.ROW_ID), I.ROW_ID).limit(candidates)
-    else:
-        blocks = max(1, -(-have.count() // KNN_BLOCK))
+        raise ValueError("the nearest rows are sought among all rows")
+    blocks = max(1, -(-have.count() // KNN_BLOCK))
     packed = have.select(
         F.pmod(F.xxhash64(I.ROW_ID), F.lit(blocks)).alias("__block"),
         F.struct(F.col(I.ROW_ID).alias("id"), X.number(F.col(f"`{target}`"), df.schema[target].dataType).alias("t"), F.array(*[X.number(F.col(f"`{c}`"), df.schema[c].dataType) for c in features]).alias("f")).alias("c"),
@@ -148,7 +143,7 @@ def apply(df: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFram
         if not left[c]["n"]:
             continue
         if features:
-            near = nearest(frozen, c, features, config.k, config.knn_candidates)
+            near = nearest(frozen, c, features, config.k)
             df = df.join(near, I.ROW_ID, "left")
             value = clip_to(F.col("__knn"), *limits[c])
             gap = F.col(f"`{c}`").isNull() & F.col("__knn").isNotNull()
