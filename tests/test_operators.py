@@ -156,6 +156,14 @@ def test_patterns(spark):
     assert I.find(custom, patterns.rules(custom, {"code": {"regex": "(", "pattern_name": "x"}})).count() == 0
 
 
+def test_rare_lengths_are_all_found(spark):
+    """More rare lengths than are counted by name: each is an issue, and the share is of all rows."""
+    rows = [("1234567890",)] * 900 + [("7" * n,) for n in range(11, 161)]
+    df = frame(spark, rows, "phone string")
+    found = [r for r in I.find(df, patterns.rules(df)).collect() if r["issue"] == "phone pattern: rare length"]
+    assert len(found) == 150 and {r["details"]["top_ratio"] for r in found} == {str(900 / 1050)}
+
+
 def test_impute(spark):
     rows = [("a" if i % 2 else "b", float(i), float(i) if i % 5 else None, None if i % 3 else 1.0) for i in range(60)]
     df = frame(spark, rows, "g string, x double, v double, s double")
