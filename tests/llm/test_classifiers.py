@@ -134,3 +134,12 @@ def test_edges(spark, edge, clashing, empty):
     assert {r["lang_pred"] for r in language.identify(edge, language.fit(empty)).collect()} == {"und"}
     kept = quality.keep_good(clashing, quality.fit(quality.statistics(clashing), folds.labelled(none, "quality")), 0.3)
     assert kept.columns == clashing.columns and kept.count() == 13
+
+
+def test_a_fit_tells_its_swaps():
+    texts = [f"{w} {chr(97 + i // 10)}z{chr(97 + i % 10)}" for i in range(60) for w in ("women idiot", "men calm")]
+    rows = [toxicity.features_of(toxicity.words_of(t)) for t in texts]
+    swaps = [(i, toxicity.features_of(c)) for i, t in enumerate(texts) for c in toxicity.swapped(toxicity.words_of(t))]
+    y = np.array([1, 0] * 60)
+    assert toxicity.learn(rows, y, np.ones(120), swaps).swaps == len(swaps) > 0
+    assert toxicity.learn(rows, y, np.ones(120), []).swaps == 0

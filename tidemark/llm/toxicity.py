@@ -87,11 +87,12 @@ def swapped(words: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROU
 
 @dataclass
 class Model:
-    """Features (sorted), their weights, and the bias."""
+    """Features (sorted), their weights, the bias, and how many counterfactual copies the fit used."""
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    swaps: int = 0
 
     def __post_init__(self):
         self._weight = {int(f): float(w) for f, w in zip(self.features, self.weights, strict=True) if w}
@@ -166,7 +167,7 @@ def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= 0.1 * (1 - step / (STEPS + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         np.maximum(w[:-1], 0, out=w[:-1])
-    return Model(features, w[:-1], float(w[-1]))
+    return Model(features, w[:-1], float(w[-1]), len(swaps))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
