@@ -63,22 +63,72 @@ def test_shards(small, clashing, empty, tmp_path):
     assert pairs.agg(F.avg("langs")).first()[0] < 3
 
 
-def by_hand(text, k=syncmers.K):
-    words = [w for w in (text or "").lower().split() if w]
-    return words, (k if len(words) >= 2 * k else 1)
+def by_hand(text):
+    """(place, run) of the closed syncmers of a text, from their definition; runs that reach into the padding first."""
+    raw = (text or "").lower().encode()
+    k, s = syncmers.RUN, syncmers.INNER
+    found = [(0, raw[:n]) for n in range(1, min(len(raw), k - 1) + 1)]
+    order = [[syncmers.rank(b) for b in raw[i : i + s]] for i in range(len(raw) - s + 1)]
+    chosen = set()
+    for i in range(len(raw) - k + 1):
+        inner = order[i : i + k - s + 1]
+        for edge in (0, k - s):
+            if inner[edge] == min(inner):
+                chosen.add((i + edge, edge, raw[i : i + k]))
+    return found + [(place, run) for place, _, run in sorted(chosen)]
+
+
+TEXTS = [" ".join(f"w{i * i % 97}" for i in range(n)) for n in range(1, 41)] + ["x", "abcd", "unbroken" * 9, "a" * 90, "漢字かな交じり文🙂です" * 5, " A\t b\n", "Ünïcödé " * 9, "tie " * 60 + "jq" * 40 + "k" * 70, "", None]
 
 
 def test_syncmers_by_hand(spark):
-    words = [f"w{i * i % 37}" for i in range(40)]
-    df = spark.createDataFrame([(1, "  ".join(words)), (2, "New prefix words " + " ".join(words) + " and a tail"), (3, "a b"), (4, None)], "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     found = {r["doc_id"]: r for r in syncmers.fingerprint(df).collect()}
-    h = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
-    want = [i for i in range(40 - 7) if min(h[i : i + 8]) in (h[i], h[i + 7])]
-    assert found[1]["places"] == want and len(found[1]["fingerprint"]) == 8 * len(want)
-    assert set(found[1]["anchors"]) <= set(found[2]["anchors"]), "a passage keeps its anchors in any context"
-    assert found[3]["places"] == [0, 1] and found[4]["fingerprint"] == ""
-    pair = spark.createDataFrame([(found[1].asDict(), found[2].asDict())], "a struct<places array<int>, anchors array<int>>, b struct<places array<int>, anchors array<int>>")
-    assert syncmers.shifts(pair).first()["shift"] == 3
+    runs = {}
+    for i, t in enumerate(TEXTS):
+        want = by_hand(t)
+        assert found[i]["places"] == [p for p, _ in want], t
+        assert len(found[i]["fingerprint"]) == 8 * len(want) and bool(found[i]["anchors"]) == bool(t)
+        for (_, run), h in zip(want, found[i]["anchors"], strict=True):
+            assert runs.setdefault(run, h) == h
+    assert len(set(runs.values())) == len(runs)
+    words = " ".join(f"w{i * i % 37}" for i in range(400))
+    pair = spark.createDataFrame([(1, words), (2, "New beginning: " + words + " and a tail"), (3, "w " * 2000), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r.asDict() for r in syncmers.fingerprint(pair).collect()}
+    assert set(got[1]["anchors"][syncmers.RUN :]) <= set(got[2]["anchors"]), "a passage keeps its anchors in any context"
+    sides = "struct<places array<int>, anchors array<int>>"
+    moved = spark.createDataFrame([(got[1], got[2], "mine"), (got[3], got[3], "mine"), (got[1], got[4], "mine"), (got[4], got[4], "mine")], f"a {sides}, b {sides}, _shared string")
+    out = [(r["shift"], round(r["likeness"], 1), r["_shared"]) for r in syncmers.shifts(moved).collect()]
+    assert out[0][0] == 15 and out[0][1] > 0.7 and out[1:] == [(0, 1.0, "mine"), (None, 0.0, "mine"), (None, 1.0, "mine")]
+
+
+def likeness_by_hand(a, b):
+    """Of (place, anchor) after the shift that the lowest shared anchors vote for."""
+    if not a and not b:
+        return 1.0
+    first = [{}, {}]
+    for side, rows in zip(first, (a, b), strict=True):
+        for place, h in rows:
+            side.setdefault(h, place)
+    votes = sorted(first[1][h] - first[0][h] for h in sorted(first[0].keys() & first[1].keys())[: syncmers.VOTES])
+    if not votes:
+        return 0.0
+    shift = votes[(len(votes) - 1) // 2]
+    x, y = {(p + shift, h) for p, h in a}, set(b)
+    return len(x & y) / len(x | y)
+
+
+def test_likeness_by_hand(spark):
+    """Both likenesses of the query against sets of (place, anchor), around 14 to 20 words too."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["text"]) for r in df.collect())
+    edited = [(i, t[: len(t) - len(t) // 4] + rows[(k + 1) % len(rows)][1][: len(t) // 4]) for k, (i, t) in enumerate(rows)]
+    prints = [{r["doc_id"]: list(zip(r["places"], r["anchors"], strict=True)) for r in syncmers.fingerprint(spark.createDataFrame(x, df.schema)).collect()} for x in (rows, edited)]
+    for r in syncmers.compare_edited(df).collect():
+        k = next(k for k, (i, _) in enumerate(rows) if i == r["doc_id"])
+        own = prints[0][r["doc_id"]]
+        assert r["near_edited"] == pytest.approx(likeness_by_hand(own, prints[1][r["doc_id"]]))
+        assert r["near_next"] == pytest.approx(likeness_by_hand(own, prints[0][rows[(k + 1) % len(rows)][0]]))
 
 
 def test_compare_edited(edge, clashing, empty, small):
@@ -100,23 +150,18 @@ def test_compare_edited(edge, clashing, empty, small):
     assert rows_of(syncmers.compare_edited(edge), "doc_id", "fingerprint") == sorted(((r["doc_id"], r["fingerprint"]) for r in got), key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
-def test_anchors_of_all_lengths(spark):
-    """One rule at all lengths: by hand, and near copies are alike on both sides of any length."""
-    words = [f"w{i * i % 97}" for i in range(40)]
-    texts = [" ".join(words[:n]) for n in range(1, 41)] + ["x", "abcd", "unbroken" * 3, "漢字かな交じり文🙂です" * 2, " A\t b\n", "", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: r["a"] for r in syncmers.with_anchors(df, "text", "a").collect()}
-    run, inner = syncmers.RUN, syncmers.INNER
-    for i, t in enumerate(texts):
-        flat = " ".join((t or "").lower().split())
-        padded = "\x01" * (inner - 1) + flat
-        cut = [padded[j : j + inner] for j in range(len(flat))]
-        h = [syncmers.PADDING] * (run - inner) + [r[0] for r in spark.createDataFrame([(j, c) for j, c in enumerate(cut)], "j int, c string").orderBy("j").select(F.xxhash64("c")).collect()] if i % 6 == 4 and cut else None
-        if h:
-            w = run - inner + 1
-            assert len(found[i]) == sum(min(h[j : j + w]) in (h[j], h[j + w - 1]) for j in range(len(flat)))
-        assert bool(found[i]) == bool(flat)
+def test_near_copies_of_all_lengths(spark):
+    """One rule at all lengths: near copies are alike on both sides of any length."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    found = {r["doc_id"]: set(r["anchors"]) for r in syncmers.fingerprint(df).collect()}
     for n in range(2, 39):
-        a, b = set(found[n]), set(found[n + 1])
+        a, b = found[n], found[n + 1]
         assert len(a & b) / len(a | b) > 0.4, "one word more leaves most anchors, at 15 and 16 words too"
     assert all(r["near_edited"] > 0.3 for r in syncmers.compare_edited(df.filter("text <> ''")).collect())
+
+
+def test_null_ids_go_by_partition(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}") for i in range(40)] + [(1, "some text"), (2, "other text")], "doc_id long, text string").repartition(8)
+    found = syncmers.compare_edited(docs).collect()
+    assert len(found) == 42 and all(r["near_next"] == 0 for r in found if r["doc_id"] is None)
+    assert {r["doc_id"] for r in found if r["doc_id"]} == {1, 2}

@@ -1,133 +1,176 @@
 """Document fingerprints of closed syncmers, in DataFrame expressions alone.
 
-A text is a sequence of characters (lower-cased, each white space one blank).  Of the
-runs of RUN characters, those are closed syncmers whose smallest inner substring (of
-INNER characters, in the order of their 64-bit hashes) lies at an edge.  Whether a run is
-chosen depends on its own characters alone, so the same passage gives the same anchors in
-any context.  Before its start a text has RUN - 1 characters of padding, whose substrings
-are the smallest of all: the runs that reach into them are chosen as well, so that texts
-of any length have anchors, made by one rule.  An anchor is the hash of the chosen run.
-
-fingerprint() has the same over words (runs of K, inner substrings of one word), with the
-place of the first word for positional matching; texts of fewer than 2 * K words have
-single words for runs there, whose anchors match those of no longer text.
+A text is the sequence of the bytes of its lower-cased UTF-8.  Of its runs of RUN bytes,
+those are closed syncmers whose smallest inner substring (of INNER bytes) lies at an
+edge.  Inner substrings are ordered by the ranks of their bytes, the first byte first;
+letters that are rare in Latin script come first, so that one run seldom holds the
+smallest twice.  Whether a run is chosen depends on its own bytes alone, so the same
+passage gives the same anchors in any context.  Before its start a text has padding that
+is smaller than anything: the runs that reach into it are chosen as well, so that texts
+of any length have anchors, made by one rule.
+
+An anchor is the hash of a chosen run, its place the byte at which the smallest inner
+substring lies (0 for runs that reach into the padding).  Two texts are compared by
+place: after one shift, for which shared anchors vote, an anchor counts as shared where
+both texts have it at the same place.
+
+One pass of a regular expression finds the runs: it looks ahead and behind from each
+byte, and writes the runs found there beside it.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words in a run; 2 of K runs are chosen on average.
-K = 8
+from .common import fresh, stash
 
+#: Bytes in a run and in its inner substrings; about 2 of RUN - INNER + 1 runs are chosen.
+RUN, INNER = 28, 2
 
-#: Characters in a run and in its inner substrings; 2 of RUN - INNER + 1 runs are chosen on average.
-RUN, INNER = 28, 5
+#: Ranks of letters and of the blank, smallest first; any other byte has the rank of its bits 3 to 5.
+RANKS = ("jqxz", "kvwy", "bfgp", "chmu", "dlo", "rs", "nt", "aei ")
 
-#: Comes before all hashes of inner substrings.
-PADDING = -(2**63)
+#: Shared anchors that vote for a shift: those of the lowest hashes, so the same whatever the texts' lengths.
+VOTES = 15
 
-#: Stands for a null id (an id of this value counts as null), so that joins need no test for null.
-NO_ID = -(2**63) + 1
+#: Gaps that are summed together when places are made from gaps.
+SUM_BLOCK = 64
 
-#: White space that separates words.
-SPACE = " \t\n\x0b\x0c\r"
+#: Set each found place apart; no byte of a text becomes one of them.
+_PLACE, _FIELD = "Ā", "ā"
 
 
-def with_words(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """docs with an array of the hashes of text's lower-cased words; empty for a null text or one without words.
+def rank(byte: int) -> int:
+    return next((r for r, letters in enumerate(RANKS) if chr(byte) in letters), byte >> 3 & 7)
 
-    Columns are added one at a time: an expression inside a lambda would be evaluated
-    again for every element.
-    """
-    trimmed = docs.withColumn("_trimmed", F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(SPACE)))
-    cut = trimmed.withColumn("_words", F.when(F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("_trimmed", "[ \\t\\n\\x0b\\f\\r]+")))
-    return cut.withColumn(out, F.transform("_words", lambda w: F.xxhash64(w))).drop("_trimmed", "_words")
 
+def _bytes(*ranks: int) -> str:
+    """A character class of the bytes of these ranks, one by one (regular expressions look those up in a table, ranges they try in turn)."""
+    own = [b for b in range(256) if rank(b) in ranks]
+    out = [b for b in range(256) if rank(b) not in ranks]
+    few = own if len(own) <= len(out) else out
+    return "[" + "^" * (few is out) + "".join(chr(b) if b >= 128 or chr(b).isalnum() else f"\\x{b:02x}" for b in few) + "]" if few else "."
 
-def with_places(docs: DataFrame, hashes: str, k: int = K) -> DataFrame:
-    """docs with _k, the words in a run, and _places (from 1) of the closed syncmers of an array of word hashes.
 
-    A sequence of fewer than 2 * k words has runs of one word, each of them chosen.
+def closed_pattern(run: int = RUN) -> str:
+    """Matches a byte at which the smallest two-byte substring of a run lies that begins there (group 1) or ends with it (groups 2 and 3, or 4 and 5).
+
+    For a substring of ranks (i, j): the other first bytes in the run are of rank i at
+    least, and none of rank i is followed by one of a rank below j.
     """
+    n, top = run - INNER, len(RANKS)
 
-    def closed(i: Column) -> Column:
-        low = F.array_min(F.slice(hashes, i, F.col("_k")))
-        return (F.element_at(hashes, i) == low) | (F.element_at(hashes, i + F.col("_k") - 1) == low)
+    def edge(others: str, lower: str) -> str:
+        each = []
+        for i in range(top):
+            ties = [f"(?={_bytes(j)})" + (lower.format(pair=_bytes(i) + _bytes(*range(j))) if j else "") for j in range(top)]
+            each.append(_bytes(i) + others.format(least=_bytes(*range(i, top))) + f"(?:{'|'.join(ties)})")
+        return f"(?:{'|'.join(reversed(each))})"
 
-    sized = docs.withColumn("_k", F.when(F.size(hashes) >= 2 * k, k).otherwise(1))
-    places = F.filter(F.sequence(F.lit(1), F.size(hashes) - F.col("_k") + 1), closed)
-    return sized.withColumn("_places", F.when(F.size(hashes) > 0, places).otherwise(F.array().cast("array<int>")))
+    begins = edge(f"(?={{least}}{{{{{n}}}}}.)", f"(?!.{{{{0,{n - 1}}}}}{{pair}})")
+    ends = edge(f"(?<={{least}}{{{{{n}}}}}.)", f"(?<!{{pair}}.{{{{0,{n - 1}}}}})") + f"(?<=(.{{{run - 1}}}))(?=(.))"
+    return f"(?s)(?={begins})(?=(.{{{run}}}))(?:{ends}|.)|{ends}"
 
 
-def with_substrings(docs: DataFrame, text: str, out: str, run: int = RUN, inner: int = INNER) -> DataFrame:
-    """docs with the hashes of a text's inner substrings in order, PADDING first; empty for a null or blank text.
+def with_anchors(docs: DataFrame, text: str, anchors: str, gaps: str, run: int = RUN) -> DataFrame:
+    """docs with the anchors of a whole text (array<int>, in order of place) and the bytes from each one's place to the next one's.
 
-    There are as many as characters, each ending one, after run - inner of the padding.
+    A null or empty text has none.  Gaps are below 2 * run: of run - INNER runs in a row
+    at least one is chosen.  Columns are added one at a time: an expression inside a
+    lambda would be evaluated again for every element.
     """
-    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0b\\f\\r]{2,}|[\\t\\n\\x0b\\f\\r]", " ")
-    trimmed = docs.withColumn("_trimmed", F.btrim(flat))
-    cut = F.regexp_extract_all(F.concat(F.lit("\x01" * (inner - 1)), "_trimmed"), F.lit(f"(?s)(?=(.{{{inner}}}))."), F.lit(1))
-    hashes = F.concat(F.array_repeat(F.lit(PADDING).cast("long"), run - inner), F.transform(cut, lambda x: F.xxhash64(x)))
-    return trimmed.withColumn(out, F.when(F.col("_trimmed") == "", F.array().cast("array<bigint>")).otherwise(hashes)).drop("_trimmed")
+    raw, parts = (fresh(docs.columns, name) for name in ("_raw", "_parts"))
+    found = docs.withColumn(raw, F.decode(F.lower(F.coalesce(text, F.lit(""))).cast("binary"), "ISO-8859-1"))
+    marked = F.regexp_replace(raw, closed_pattern(run), f"{_PLACE}$1{_FIELD}$2$3$4$5{_FIELD}$0")
+    found = found.withColumn(parts, F.transform(F.split(marked, _PLACE), lambda x: F.split(x, _FIELD)))
+    begun = F.sequence(F.lit(1), F.least(F.char_length(raw), F.lit(run - 1)))
+    first = F.transform(begun, lambda i: F.hash(F.left(raw, i)))
+    # The first part is what comes before the first place found; each other one: run that begins, run that ends, bytes to the next place.
+    later = F.slice(parts, 2, F.size(parts))
+    hashes = F.transform(later, lambda p: F.when(p[0] == "", F.array(F.hash(p[1]))).when(p[1] == "", F.array(F.hash(p[0]))).otherwise(F.array(F.hash(p[0]), F.hash(p[1]))))
+    start = F.concat(F.array_repeat(F.lit(0).cast("byte"), F.size(first) - 1), F.array(F.char_length(F.col(parts)[0][0]).cast("byte")))
+    apart = F.transform(later, lambda p: F.when((p[0] == "") | (p[1] == ""), F.array(F.char_length(p[2]).cast("byte"))).otherwise(F.array(F.lit(0).cast("byte"), F.char_length(p[2]).cast("byte"))))
+    some = F.col(raw) != ""
+    none = F.array().cast("array<int>"), F.array().cast("array<tinyint>")
+    return found.withColumns({anchors: F.when(some, F.concat(first, F.flatten(hashes))).otherwise(none[0]), gaps: F.when(some, F.concat(start, F.flatten(apart))).otherwise(none[1])}).drop(raw, parts)
+
+
+def _sums(numbers: Column, start: Column) -> Column:
+    """start, and start plus the sum of the numbers up to each one."""
+    return F.aggregate(numbers, F.array(start.cast("int")), lambda found, x: F.array_append(found, F.element_at(found, -1) + x.cast("int")))
+
+
+def with_places(docs: DataFrame, gaps: str, places: str) -> DataFrame:
+    """docs with the places (array<int>) that gaps lead to; blocks of gaps are summed alone and then moved, so that long texts take linear time."""
+    blocks, sums = fresh(docs.columns, "_blocks"), fresh(docs.columns, "_sums")
+    n = F.size(gaps)
+    found = docs.withColumn(blocks, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (n - 1).bitwiseAND(-SUM_BLOCK)), F.lit(SUM_BLOCK)), lambda i: F.slice(gaps, i + 1, SUM_BLOCK)))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x.cast("int")))
+    found = found.withColumn(sums, _sums(totals, F.lit(0)))
+    moved = F.zip_with(blocks, F.slice(sums, 1, F.size(blocks)), lambda b, at: F.slice(_sums(b, at), 1, F.size(b)))
+    return found.withColumn(places, F.flatten(moved)).drop(blocks, sums)
+
 
+def as_string(hashes: Column) -> Column:
+    """Eight hexadecimal digits an anchor, in order; empty without anchors."""
+    return F.concat_ws("", F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")))
 
-def with_anchors(docs: DataFrame, text: str, out: str, run: int = RUN, inner: int = INNER) -> DataFrame:
-    """docs with the anchors of a whole text: 32-bit hashes of its closed syncmers, in order of place.
 
-    run - inner is 4 or more.  Minima of four hashes in a row are made once, so that an
-    edge is compared with six of them at most, and with the first one mostly.
+def with_likeness(docs: DataFrame, a: tuple[str, str], b: tuple[str, str], out: str, shift: str) -> DataFrame:
+    """docs with the likeness of two fingerprints, given as (anchors, places), and the shift that it is measured at.
+
+    shift is what shared anchors say most in the middle (the lower median of places in b
+    less those in a, of the first occurrences of up to VOTES anchors; null if none is
+    shared).  likeness is the number of (place, anchor) that both have, of all they have:
+    1 for two without anchors, 0 if no anchor is shared.
     """
-    width = run - inner + 1
-    hashes, fours = F.col("_inner"), F.col("_fours")
-    steps = [*range(1, width - 4, 4), width - 4]
+    shared, own, other = (fresh(docs.columns, name) for name in ("_shared", "_own", "_other"))
+    found = docs.withColumn(shared, F.slice(F.sort_array(F.array_intersect(a[0], b[0])), 1, VOTES))
+    votes = F.sort_array(F.transform(shared, lambda h: F.col(b[1])[(F.array_position(b[0], h) - 1).cast("int")] - F.col(a[1])[(F.array_position(a[0], h) - 1).cast("int")]))
+    found = found.withColumn(shift, F.when(F.size(shared) > 0, F.element_at(votes, F.greatest(F.lit(1), (F.size(votes) + 1).bitwiseAND(-2) / 2).cast("int"))))
 
-    def closed(i: Column) -> Column:
-        first, last = hashes[i], hashes[i + (width - 1)]
-        ahead = [first <= fours[i + n] for n in steps]
-        behind = [last <= fours[i + (width - 4 - n)] for n in steps]
-        return functools.reduce(Column.__and__, ahead) | functools.reduce(Column.__and__, behind)
+    def placed(side: tuple[str, str], by: Column) -> Column:
+        return F.zip_with(side[0], side[1], lambda h, p: F.shiftleft((p + by).cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(0xFFFFFFFF)))
 
-    def least(name: str, apart: int) -> Column:
-        return F.zip_with(name, F.slice(name, apart + 1, F.size(name)), lambda x, y: F.least(x, y))
+    found = found.withColumns({own: placed(a, F.coalesce(shift, F.lit(0))), other: placed(b, F.lit(0))})
+    common = F.size(F.array_intersect(own, other))
+    every = F.size(F.array_union(own, other))
+    return found.withColumn(out, F.when(every == 0, F.lit(1.0)).when(F.size(shared) == 0, F.lit(0.0)).otherwise(common / every)).drop(shared, own, other)
 
-    docs = with_substrings(docs, text, "_inner", run, inner)
-    docs = docs.withColumn("_twos", least("_inner", 1)).withColumn("_fours", least("_twos", 2)).drop("_twos")
-    places = F.filter(F.sequence(F.lit(0), F.size(hashes) - width), closed)
-    docs = docs.withColumn("_places", F.when(F.size(hashes) > 0, places).otherwise(F.array().cast("array<int>")))
-    return docs.withColumn(out, F.transform("_places", lambda i: F.hash(F.slice(hashes, i + 1, width)))).drop("_inner", "_fours", "_places")
 
+def fingerprint(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """doc_id, places array<int>, anchors array<int>, fingerprint string of every whole text of docs(doc_id, text).
 
-def as_string(hashes: Column) -> Column:
-    """Eight hexadecimal digits an anchor, in order; empty without anchors."""
-    return F.concat_ws("", F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")))
+    A null or empty text has no anchors and an empty fingerprint; null ids and repeated
+    rows are treated like any other; other columns are ignored.
+    """
+    found = with_anchors(docs.select(F.col("doc_id").cast("long"), "text"), "text", "anchors", "gaps", run)
+    return with_places(found, "gaps", "places").select("doc_id", "places", "anchors", as_string(F.col("anchors")).alias("fingerprint"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared anchors over all anchors of two fingerprints; 1 for two without anchors, 0 for one without."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+def shifts(pairs: DataFrame) -> DataFrame:
+    """How far passages moved: pairs(a, b: struct<places, anchors>, any other columns) with shift and likeness (see with_likeness).
+
+    Columns of pairs that are called shift or likeness are replaced.
+    """
+    names = {(s, k): fresh(pairs.columns, f"_{s}_{k}") for s in "ab" for k in ("anchors", "places")}
+    flat = pairs.withColumns({v: F.col(s)[k] for (s, k), v in names.items()})
+    return with_likeness(flat, (names["a", "anchors"], names["a", "places"]), (names["b", "anchors"], names["b", "places"]), "likeness", "shift").drop(*names.values())
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """doc_id, n_chars, next_id, prev_id, prev_chars over the distinct ids of ids(doc_id, n_chars), ascending.
+    """doc_id, next_id, prev_id, prev_chars over the distinct known ids of ids(doc_id, n_chars), ascending.
 
     The next of the last is the first.  Ids are range-partitioned; each part orders its
-    own, and only the parts' first and last ids meet, one row a part.
+    own, and only the parts' first and last ids meet, one row a part.  The parts are
+    written once, so that both readers see the same ones.
     """
-    distinct = ids.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    distinct = ids.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
     parts = distinct.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
     # A part's rows are kept together by its number.
     own = Window.partitionBy("part").orderBy("doc_id")
-    placed = parts.select("*", F.lead("doc_id").over(own).alias("next_id"), F.lag("doc_id").over(own).alias("prev_id"), F.lag("n_chars").over(own).alias("prev_chars"))
-    return placed
-
-
-def _joined(placed: DataFrame) -> DataFrame:
-    """placed with the gaps between parts closed."""
+    placed = stash(parts.select("*", F.lead("doc_id").over(own).alias("next_id"), F.lag("doc_id").over(own).alias("prev_id"), F.lag("n_chars").over(own).alias("prev_chars")), "id-order")
     ends = placed.groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max(F.struct("doc_id", "n_chars")).alias("last"))
     around = Window.orderBy("part")
     everywhere = Window.partitionBy()
@@ -136,62 +179,61 @@ def _joined(placed: DataFrame) -> DataFrame:
         F.coalesce(F.lead("first_id").over(around), F.min("first_id").over(everywhere)).alias("after"),
         F.coalesce(F.lag("last").over(around), F.max("last").over(everywhere)).alias("before"),
     )
+    # One row for each partition.
     full = placed.join(F.broadcast(ends), "part")
     return full.select("doc_id", F.coalesce("next_id", "after").alias("next_id"), F.coalesce("prev_id", "before.doc_id").alias("prev_id"), F.coalesce("prev_chars", "before.n_chars").alias("prev_chars"))
 
 
-def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, places array<int> (of words, from 0), anchors array<int>, fingerprint string of every whole text of docs(doc_id, text)."""
-    placed = with_places(with_words(docs.select(F.col("doc_id").cast("long"), "text"), "text", "_hashes"), "_hashes", k)
-    found = placed.withColumn("anchors", F.transform("_places", lambda i: F.hash(F.slice("_hashes", i, F.col("_k")))))
-    return found.select("doc_id", F.transform("_places", lambda i: i - 1).alias("places"), "anchors", as_string(F.col("anchors")).alias("fingerprint"))
-
-
-def shifts(pairs: DataFrame) -> DataFrame:
-    """How far passages moved: pairs(a, b: struct<places, anchors>, any other columns) with shift and matched.
-
-    shift is the most common difference of places (b's less a's; the smallest on ties) over
-    equal anchors, matched how many anchors it explains; null and 0 without a match.
-    """
-    rows = pairs.withColumn("_pair", F.monotonically_increasing_id())
-    side = {s: rows.select("_pair", F.explode(F.arrays_zip(F.col(f"{s}.places").alias("places"), F.col(f"{s}.anchors").alias("anchors"))).alias("x")).select("_pair", F.col("x.anchors").alias("h"), F.col("x.places").alias(s)) for s in "ab"}
-    moved = side["a"].join(side["b"], ["_pair", "h"]).groupBy("_pair", (F.col("b") - F.col("a")).alias("shift")).count()
-    best = moved.groupBy("_pair").agg(F.max(F.struct("count", -F.col("shift"))).alias("best"))
-    best = best.select("_pair", (-F.col("best")["col2"]).alias("shift"), F.col("best")["count"].alias("matched"))
-    return rows.join(best, "_pair", "left").fillna(0, "matched").drop("_pair")
-
-
-def compare_edited(docs: DataFrame, run: int = RUN, inner: int = INNER) -> DataFrame:
+def compare_edited(docs: DataFrame, run: int = RUN) -> DataFrame:
     """Fingerprints of every whole text of docs(doc_id, text) and of its edited text, and their likenesses.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as
     many (or all) of the next document's text.  Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next.
+    fingerprint, edited_fingerprint, near_edited, near_next, and the shifts that the two
+    likenesses are measured at, edited_shift and next_shift.
 
     A null text counts as empty: its fingerprint is the empty string, alike (1) to another
     empty one.  The next document is that of the next known id (after the last: the
-    first); of rows that share an id, the one with the least text is next, and each of
-    them has its own edited text.  A null id has no next document: its tail is dropped
-    and it is compared with the empty text.  A single document follows itself.
+    first); of rows that share an id, the one whose beginning is least is next, and each
+    of them has its own edited text.  A null id has no next document: its tail is dropped
+    and it is compared with the empty text; such rows are dealt by the partition that
+    they come from.  A single document follows itself.  Other columns are ignored.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    docs = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = _joined(successors(docs.select("doc_id", F.char_length("text").alias("n_chars"))))
+    known = F.col("doc_id").isNotNull()
+    # Null ids match nothing: the id is one that no next document is looked up for, as the spread is 0 there.
+    keys = F.coalesce("doc_id", F.lit(0)).cast("long"), F.when(known, 0).otherwise(F.spark_partition_id() + 1)
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    order = successors(docs.select("doc_id", F.char_length("text").alias("n_chars")))
     # Shuffled once by id, fingerprints with it: both joins below read that exchange.
-    known = with_anchors(docs, "text", "hashes", run, inner).repartition("doc_id")
-    heads = known.join(order, "doc_id").select(F.col("prev_id").alias("doc_id"), F.struct(F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"), F.col("hashes").alias("next_hashes")).alias("next"))
-    heads = heads.groupBy("doc_id").agg(F.min("next").alias("next"))
-    both = known.join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("text"))
+    made = with_anchors(docs.select(keys[0].alias("key"), keys[1].alias("spread"), "text"), "text", "anchors", "gaps", run).repartition("key", "spread")
+    order = order.select(F.col("doc_id").alias("key"), F.lit(0).alias("spread"), "prev_id", "prev_chars")
+    heads = made.join(order, ["key", "spread"]).select(F.col("prev_id").alias("key"), F.lit(0).alias("spread"), F.struct(F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"), "anchors", "gaps").alias("next"))
+    heads = heads.groupBy("key", "spread").agg(F.min("next").alias("next"))
+    both = made.join(heads, ["key", "spread"], "left").withColumn("n_chars", F.char_length("text"))
     own = both.withColumn("cut", F.expr("n_chars - n_chars div 4").cast("int"))
     head = F.coalesce(F.expr("left(next.head, cast(n_chars div 4 as int))"), F.lit(""))
-    edited = own.select("doc_id", "n_chars", "hashes", F.coalesce("next.next_hashes", F.array().cast("array<int>")).alias("next_hashes"), F.concat(F.expr("left(text, cut)"), head).alias("edited"))
-    found = with_anchors(edited, "edited", "edited_hashes", run, inner)
+    edited = own.select(
+        F.when(F.col("spread") == 0, F.col("key")).alias("doc_id"),
+        "n_chars",
+        "anchors",
+        "gaps",
+        F.coalesce("next.anchors", F.array().cast("array<int>")).alias("next_anchors"),
+        F.coalesce("next.gaps", F.array().cast("array<tinyint>")).alias("next_gaps"),
+        F.concat(F.expr("left(text, cut)"), head).alias("edited"),
+    )
+    found = with_anchors(edited, "edited", "edited_anchors", "edited_gaps", run)
+    for side in ("", "edited_", "next_"):
+        found = with_places(found, f"{side}gaps", f"{side}places")
+    for side in ("edited", "next"):
+        found = with_likeness(found, ("anchors", "places"), (f"{side}_anchors", f"{side}_places"), f"near_{side}", f"{side}_shift")
     return found.select(
-        F.expr(f"nullif(doc_id, {NO_ID}L)").alias("doc_id"),
+        "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_string(F.col("hashes")).alias("fingerprint"),
-        as_string(F.col("edited_hashes")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        as_string(F.col("anchors")).alias("fingerprint"),
+        as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "edited_shift",
+        "next_shift",
     )
