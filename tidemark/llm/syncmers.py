@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import fresh, stash
 
 #: Bytes in a run and in its inner substrings; about 2 of RUN - INNER + 1 runs are chosen.
-RUN, INNER = 28, 2
+RUN, INNER = 64, 2
 
 #: Ranks of letters and of the blank, smallest first; any other byte has the rank of its bits 3 to 5.
 RANKS = ("jqxz", "kvwy", "bfgp", "chmu", "dlo", "rs", "nt", "aei ")
@@ -76,8 +76,8 @@ def closed_pattern(run: int = RUN) -> str:
 def with_anchors(docs: DataFrame, text: str, anchors: str, gaps: str, run: int = RUN) -> DataFrame:
     """docs with the anchors of a whole text (array<int>, in order of place) and the bytes from each one's place to the next one's.
 
-    A null or empty text has none.  Gaps are below 2 * run: of run - INNER runs in a row
-    at least one is chosen.  Columns are added one at a time: an expression inside a
+    A null or empty text has none.  run is 65 at most, so that a byte holds a gap: of
+    run - INNER runs in a row at least one is chosen.  Columns are added one at a time: an expression inside a
     lambda would be evaluated again for every element.
     """
     raw, parts = (fresh(docs.columns, name) for name in ("_raw", "_parts"))
@@ -160,7 +160,7 @@ def shifts(pairs: DataFrame) -> DataFrame:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """doc_id, next_id, prev_id, prev_chars over the distinct known ids of ids(doc_id, n_chars), ascending.
+    """doc_id, next_id, prev_id, prev_chars, spread (always 0) over the distinct known ids of ids(doc_id, n_chars), ascending.
 
     The next of the last is the first.  Ids are range-partitioned; each part orders its
     own, and only the parts' first and last ids meet, one row a part.  The parts are
@@ -170,7 +170,7 @@ def successors(ids: DataFrame) -> DataFrame:
     parts = distinct.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
     # A part's rows are kept together by its number.
     own = Window.partitionBy("part").orderBy("doc_id")
-    placed = stash(parts.select("*", F.lead("doc_id").over(own).alias("next_id"), F.lag("doc_id").over(own).alias("prev_id"), F.lag("n_chars").over(own).alias("prev_chars")), "id-order")
+    placed = stash(parts.select("*", F.lit(0).alias("spread"), F.lead("doc_id").over(own).alias("next_id"), F.lag("doc_id").over(own).alias("prev_id"), F.lag("n_chars").over(own).alias("prev_chars")), "id-order")
     ends = placed.groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max(F.struct("doc_id", "n_chars")).alias("last"))
     around = Window.orderBy("part")
     everywhere = Window.partitionBy()
@@ -181,7 +181,7 @@ def successors(ids: DataFrame) -> DataFrame:
     )
     # One row for each partition.
     full = placed.join(F.broadcast(ends), "part")
-    return full.select("doc_id", F.coalesce("next_id", "after").alias("next_id"), F.coalesce("prev_id", "before.doc_id").alias("prev_id"), F.coalesce("prev_chars", "before.n_chars").alias("prev_chars"))
+    return full.select("doc_id", "spread", F.coalesce("next_id", "after").alias("next_id"), F.coalesce("prev_id", "before.doc_id").alias("prev_id"), F.coalesce("prev_chars", "before.n_chars").alias("prev_chars"))
 
 
 def compare_edited(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -200,14 +200,14 @@ def compare_edited(docs: DataFrame, run: int = RUN) -> DataFrame:
     they come from.  A single document follows itself.  Other columns are ignored.
     """
     known = F.col("doc_id").isNotNull()
-    # Null ids match nothing: the id is one that no next document is looked up for, as the spread is 0 there.
+    # Null ids match nothing, as the spread of known ids is 0.  (That 0 is read from a table: of a literal, Spark would make a filter, and shuffle twice.)
     keys = F.coalesce("doc_id", F.lit(0)).cast("long"), F.when(known, 0).otherwise(F.spark_partition_id() + 1)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     order = successors(docs.select("doc_id", F.char_length("text").alias("n_chars")))
     # Shuffled once by id, fingerprints with it: both joins below read that exchange.
     made = with_anchors(docs.select(keys[0].alias("key"), keys[1].alias("spread"), "text"), "text", "anchors", "gaps", run).repartition("key", "spread")
-    order = order.select(F.col("doc_id").alias("key"), F.lit(0).alias("spread"), "prev_id", "prev_chars")
-    heads = made.join(order, ["key", "spread"]).select(F.col("prev_id").alias("key"), F.lit(0).alias("spread"), F.struct(F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"), "anchors", "gaps").alias("next"))
+    order = order.withColumnRenamed("doc_id", "key")
+    heads = made.join(order, ["key", "spread"]).select(F.col("prev_id").alias("key"), "spread", F.struct(F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"), "anchors", "gaps").alias("next"))
     heads = heads.groupBy("key", "spread").agg(F.min("next").alias("next"))
     both = made.join(heads, ["key", "spread"], "left").withColumn("n_chars", F.char_length("text"))
     own = both.withColumn("cut", F.expr("n_chars - n_chars div 4").cast("int"))
