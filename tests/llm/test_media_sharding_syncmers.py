@@ -68,17 +68,17 @@ def by_hand(text):
     raw = (text or "").lower().encode()
     k, s = syncmers.RUN, syncmers.INNER
     found = [(0, raw[:n]) for n in range(1, min(len(raw), k - 1) + 1)]
-    order = [[syncmers.rank(b) for b in raw[i : i + s]] for i in range(len(raw) - s + 1)]
+    order = [syncmers.order(raw[i : i + s]) for i in range(len(raw) - s + 1)]
     chosen = set()
     for i in range(len(raw) - k + 1):
         inner = order[i : i + k - s + 1]
         for edge in (0, k - s):
-            if inner[edge] == min(inner):
+            if inner.index(min(inner)) == edge:
                 chosen.add((i + edge, edge, raw[i : i + k]))
     return found + [(place, run) for place, _, run in sorted(chosen)]
 
 
-TEXTS = [" ".join(f"w{i * i % 97}" for i in range(n)) for n in range(1, 41)] + ["x", "abcd", "unbroken" * 9, "a" * 90, "漢字かな交じり文🙂です" * 5, " A\t b\n", "Ünïcödé " * 9, "tie " * 60 + "jq" * 40 + "k" * 70, "", None]
+TEXTS = [" ".join(f"w{i * i % 97}" for i in range(n)) for n in range(1, 41)] + ["x", "abcd", "unbroken" * 9, "a" * 90, "漢字かな交じり文🙂です" * 5, " A\t b\n", "Ünïcödé " * 9, "tie " * 60 + "jq" * 40 + "k" * 70, "aside " * 30, "", None]
 
 
 def test_syncmers_by_hand(spark):

@@ -1,10 +1,10 @@
 """Document fingerprints of closed syncmers, in DataFrame expressions alone.
 
 A text is the sequence of the bytes of its lower-cased UTF-8.  Of its runs of RUN bytes,
-those are closed syncmers whose smallest inner substring (of INNER bytes) lies at an
-edge.  Inner substrings are ordered by the ranks of their bytes, the first byte first;
+those are closed syncmers whose smallest inner substring (of INNER bytes; the first of
+them on ties) lies at an edge.  Inner substrings are ordered by the ranks of their bytes, the first byte first;
 letters that are rare in Latin script come first, so that one run seldom holds the
-smallest twice.  Whether a run is chosen depends on its own bytes alone, so the same
+smallest twice (of the second byte, COARSE ranks count as one).  Whether a run is chosen depends on its own bytes alone, so the same
 passage gives the same anchors in any context.  Before its start a text has padding that
 is smaller than anything: the runs that reach into it are chosen as well, so that texts
 of any length have anchors, made by one rule.
@@ -26,10 +26,14 @@ from pyspark.sql import functions as F
 from .common import fresh, stash
 
 #: Bytes in a run and in its inner substrings; about 2 of RUN - INNER + 1 runs are chosen.
-RUN, INNER = 64, 2
+RUN, INNER = 48, 2
 
-#: Ranks of letters and of the blank, smallest first; any other byte has the rank of its bits 3 to 5.
-RANKS = ("jqxz", "kvwy", "bfgp", "chmu", "dlo", "rs", "nt", "aei ")
+#: Ranks of letters and of the blank, smallest first; any other byte has the rank of its bits 3 to 6.
+RANKS = ("jqxz", "k", "w", "v", "y", "b", "f", "p", "g", "h", "c", "m", "u", "dlo", "nrs", "aeit ")
+#: So many ranks of a second byte count as one.
+COARSE = 4
+#: In most texts every run has a byte of a rank below this.
+COMMON = 13
 
 #: Shared anchors that vote for a shift: those of the lowest hashes, so the same whatever the texts' lengths.
 VOTES = 15
@@ -42,7 +46,12 @@ _PLACE, _FIELD = "Ā", "ā"
 
 
 def rank(byte: int) -> int:
-    return next((r for r, letters in enumerate(RANKS) if chr(byte) in letters), byte >> 3 & 7)
+    return next((r for r, letters in enumerate(RANKS) if chr(byte) in letters), byte >> 3 & 15)
+
+
+def order(inner: bytes) -> tuple[int, int]:
+    """Where an inner substring comes in order."""
+    return rank(inner[0]), rank(inner[1]) // COARSE
 
 
 def _bytes(*ranks: int) -> str:
@@ -53,24 +62,38 @@ def _bytes(*ranks: int) -> str:
     return "[" + "^" * (few is out) + "".join(chr(b) if b >= 128 or chr(b).isalnum() else f"\\x{b:02x}" for b in few) + "]" if few else "."
 
 
-def closed_pattern(run: int = RUN) -> str:
-    """Matches a byte at which the smallest two-byte substring of a run lies that begins there (group 1) or ends with it (groups 2 and 3, or 4 and 5).
+def closed_pattern(run: int = RUN, ranks: int = len(RANKS)) -> str:
+    """Matches a byte of one of the first ranks at which the smallest two-byte substring of a run lies that begins there (group 1) or ends with it (groups 2 and 3, or 4 and 5).
 
-    For a substring of ranks (i, j): the other first bytes in the run are of rank i at
-    least, and none of rank i is followed by one of a rank below j.
+    For a substring in place (i, j): the other first bytes in the run are of rank i at
+    least, and none of rank i is followed by one that comes before j (at the end of a run:
+    nor by one that is level with j, as the first of the smallest counts).
     """
     n, top = run - INNER, len(RANKS)
+    seconds = [(at, at + COARSE) for at in range(0, top, COARSE)]
 
-    def edge(others: str, lower: str) -> str:
+    def edge(others: str, lower: str, upto: int) -> str:
         each = []
-        for i in range(top):
-            ties = [f"(?={_bytes(j)})" + (lower.format(pair=_bytes(i) + _bytes(*range(j))) if j else "") for j in range(top)]
+        for i in range(ranks):
+            ties = [f"(?={_bytes(*range(*j))})" + (lower.format(pair=_bytes(i) + _bytes(*range(j[upto]))) if j[upto] else "") for j in seconds]
             each.append(_bytes(i) + others.format(least=_bytes(*range(i, top))) + f"(?:{'|'.join(ties)})")
         return f"(?:{'|'.join(reversed(each))})"
 
-    begins = edge(f"(?={{least}}{{{{{n}}}}}.)", f"(?!.{{{{0,{n - 1}}}}}{{pair}})")
-    ends = edge(f"(?<={{least}}{{{{{n}}}}}.)", f"(?<!{{pair}}.{{{{0,{n - 1}}}}})") + f"(?<=(.{{{run - 1}}}))(?=(.))"
-    return f"(?s)(?={begins})(?=(.{{{run}}}))(?:{ends}|.)|{ends}"
+    begins = edge(f"(?={{least}}{{{{{n}}}}}.)", f"(?!.{{{{0,{n - 1}}}}}{{pair}})", 0)
+    ends = edge(f"(?<={{least}}{{{{{n}}}}}.)", f"(?<!{{pair}}.{{{{0,{n - 1}}}}})", 1) + f"(?<=(.{{{run - 1}}}))(?=(.))"
+    return f"(?s)(?={_bytes(*range(ranks))})(?:(?={begins})(?=(.{{{run}}}))(?:{ends}|.)|{ends})"
+
+
+def marked(raw: str, run: int = RUN) -> Column:
+    """A text of bytes with the runs found at each place written before it.
+
+    Where no run - 1 bytes in a row are of rank COMMON or above, the smallest substring of
+    any run begins with a lower rank, so that most bytes need no look around.
+    """
+    low, high = _bytes(*range(COMMON)), _bytes(*range(COMMON, len(RANKS)))
+    bare = F.col(raw).rlike(f"(?s)^(?:{high}{{0,{run - 2}}}+{low})*+{high}{{{run - 1}}}")
+    found = (F.regexp_replace(raw, closed_pattern(run, ranks), f"{_PLACE}$1{_FIELD}$2$3$4$5{_FIELD}$0") for ranks in (len(RANKS), COMMON))
+    return F.when(bare, next(found)).otherwise(next(found))
 
 
 def with_anchors(docs: DataFrame, text: str, anchors: str, gaps: str, run: int = RUN) -> DataFrame:
@@ -82,8 +105,7 @@ def with_anchors(docs: DataFrame, text: str, anchors: str, gaps: str, run: int =
     """
     raw, parts = (fresh(docs.columns, name) for name in ("_raw", "_parts"))
     found = docs.withColumn(raw, F.decode(F.lower(F.coalesce(text, F.lit(""))).cast("binary"), "ISO-8859-1"))
-    marked = F.regexp_replace(raw, closed_pattern(run), f"{_PLACE}$1{_FIELD}$2$3$4$5{_FIELD}$0")
-    found = found.withColumn(parts, F.transform(F.split(marked, _PLACE), lambda x: F.split(x, _FIELD)))
+    found = found.withColumn(parts, F.transform(F.split(marked(raw, run), _PLACE), lambda x: F.split(x, _FIELD)))
     begun = F.sequence(F.lit(1), F.least(F.char_length(raw), F.lit(run - 1)))
     first = F.transform(begun, lambda i: F.hash(F.left(raw, i)))
     # The first part is what comes before the first place found; each other one: run that begins, run that ends, bytes to the next place.
@@ -136,7 +158,7 @@ def with_likeness(docs: DataFrame, a: tuple[str, str], b: tuple[str, str], out:
     found = found.withColumns({own: placed(a, F.coalesce(shift, F.lit(0))), other: placed(b, F.lit(0))})
     common = F.size(F.array_intersect(own, other))
     every = F.size(F.array_union(own, other))
-    return found.withColumn(out, F.when(every == 0, F.lit(1.0)).when(F.size(shared) == 0, F.lit(0.0)).otherwise(common / every)).drop(shared, own, other)
+    return found.withColumn(out, F.when(every == 0, F.lit(1.0)).when(F.col(shift).isNull(), F.lit(0.0)).otherwise(common / every)).drop(shared, own, other)
 
 
 def fingerprint(docs: DataFrame, run: int = RUN) -> DataFrame:
