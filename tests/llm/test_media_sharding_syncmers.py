@@ -103,32 +103,26 @@ def test_syncmers_by_hand(spark):
 
 
 def likeness_by_hand(a, b):
-    """Of (place, anchor) after the shift that the lowest shared anchors vote for."""
-    if not a and not b:
-        return 1.0
-    first = [{}, {}]
-    for side, rows in zip(first, (a, b), strict=True):
-        for place, h in rows:
-            side.setdefault(h, place)
-    votes = sorted(first[1][h] - first[0][h] for h in sorted(first[0].keys() & first[1].keys())[: syncmers.VOTES])
-    if not votes:
-        return 0.0
-    shift = votes[(len(votes) - 1) // 2]
-    x, y = {(p + shift, h) for p, h in a}, set(b)
-    return len(x & y) / len(x | y)
+    """Of (run, bytes to the next place)."""
+    items = []
+    for text in (a, b):
+        raw, found = (text or "").lower().encode(), by_hand(text)
+        places = [p for p, _ in found[1:]] + [len(raw)]
+        first = min(len(raw), syncmers.RUN - 1)
+        items.append({(run, q - p if i >= first else None) for i, ((p, run), q) in enumerate(zip(found, places, strict=True))} if found else set())
+    x, y = items
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
 def test_likeness_by_hand(spark):
-    """Both likenesses of the query against sets of (place, anchor), around 14 to 20 words too."""
+    """Both likenesses of the query against sets of runs and gaps, around 14 to 20 words too."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t], "doc_id long, text string")
     rows = sorted((r["doc_id"], r["text"]) for r in df.collect())
-    edited = [(i, t[: len(t) - len(t) // 4] + rows[(k + 1) % len(rows)][1][: len(t) // 4]) for k, (i, t) in enumerate(rows)]
-    prints = [{r["doc_id"]: list(zip(r["places"], r["anchors"], strict=True)) for r in syncmers.fingerprint(spark.createDataFrame(x, df.schema)).collect()} for x in (rows, edited)]
     for r in syncmers.compare_edited(df).collect():
         k = next(k for k, (i, _) in enumerate(rows) if i == r["doc_id"])
-        own = prints[0][r["doc_id"]]
-        assert r["near_edited"] == pytest.approx(likeness_by_hand(own, prints[1][r["doc_id"]]))
-        assert r["near_next"] == pytest.approx(likeness_by_hand(own, prints[0][rows[(k + 1) % len(rows)][0]]))
+        text, after = rows[k][1], rows[(k + 1) % len(rows)][1]
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        assert r["near_edited"] == pytest.approx(likeness_by_hand(text, edited)) and r["near_next"] == pytest.approx(likeness_by_hand(text, after))
 
 
 def test_compare_edited(edge, clashing, empty, small):

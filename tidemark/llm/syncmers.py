@@ -10,9 +10,10 @@ is smaller than anything: the runs that reach into it are chosen as well, so tha
 of any length have anchors, made by one rule.
 
 An anchor is the hash of a chosen run, its place the byte at which the smallest inner
-substring lies (0 for runs that reach into the padding).  Two texts are compared by
-place: after one shift, for which shared anchors vote, an anchor counts as shared where
-both texts have it at the same place.
+substring lies (0 for runs that reach into the padding).  Texts are matched by place in
+two ways: shifts() compares anchors at the same place, after one shift for which shared
+anchors vote; compare_edited() takes the distance to the next place into the hash, so that
+anchors match where what follows lies as far away, wherever they have moved to.
 
 One pass of a regular expression finds the runs: it looks ahead and behind from each
 byte, and writes the runs found there beside it.
@@ -39,7 +40,7 @@ COMMON = 13
 VOTES = 15
 
 #: Gaps that are summed together when places are made from gaps.
-SUM_BLOCK = 64
+SUM_BLOCK = 16
 
 #: Set each found place apart; no byte of a text becomes one of them.
 _PLACE, _FIELD = "Ā", "ā"
@@ -96,9 +97,10 @@ def marked(raw: str, run: int = RUN) -> Column:
     return F.when(bare, next(found)).otherwise(next(found))
 
 
-def with_anchors(docs: DataFrame, text: str, anchors: str, gaps: str, run: int = RUN) -> DataFrame:
+def with_anchors(docs: DataFrame, text: str, anchors: str, gaps: str | None, run: int = RUN) -> DataFrame:
     """docs with the anchors of a whole text (array<int>, in order of place) and the bytes from each one's place to the next one's.
 
+    Without a name for the gaps, they go into the hashes.
     A null or empty text has none.  run is 65 at most, so that a byte holds a gap: of
     run - INNER runs in a row at least one is chosen.  Columns are added one at a time: an expression inside a
     lambda would be evaluated again for every element.
@@ -110,6 +112,9 @@ def with_anchors(docs: DataFrame, text: str, anchors: str, gaps: str, run: int =
     first = F.transform(begun, lambda i: F.hash(F.left(raw, i)))
     # The first part is what comes before the first place found; each other one: run that begins, run that ends, bytes to the next place.
     later = F.slice(parts, 2, F.size(parts))
+    if gaps is None:
+        hashes = F.transform(later, lambda p: F.when(p[0] == "", F.array(F.hash(p[1], F.char_length(p[2])))).when(p[1] == "", F.array(F.hash(p[0], F.char_length(p[2])))).otherwise(F.array(F.hash(p[0], F.lit(0)), F.hash(p[1], F.char_length(p[2])))))
+        return found.withColumn(anchors, F.when(F.col(raw) != "", F.concat(first, F.flatten(hashes))).otherwise(F.array().cast("array<int>"))).drop(raw, parts)
     hashes = F.transform(later, lambda p: F.when(p[0] == "", F.array(F.hash(p[1]))).when(p[1] == "", F.array(F.hash(p[0]))).otherwise(F.array(F.hash(p[0]), F.hash(p[1]))))
     start = F.concat(F.array_repeat(F.lit(0).cast("byte"), F.size(first) - 1), F.array(F.char_length(F.col(parts)[0][0]).cast("byte")))
     apart = F.transform(later, lambda p: F.when((p[0] == "") | (p[1] == ""), F.array(F.char_length(p[2]).cast("byte"))).otherwise(F.array(F.lit(0).cast("byte"), F.char_length(p[2]).cast("byte"))))
@@ -139,6 +144,12 @@ def as_string(hashes: Column) -> Column:
     return F.concat_ws("", F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")))
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """Shared anchors over all anchors of two fingerprints; 1 for two without anchors, 0 for one without."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
 def with_likeness(docs: DataFrame, a: tuple[str, str], b: tuple[str, str], out: str, shift: str) -> DataFrame:
     """docs with the likeness of two fingerprints, given as (anchors, places), and the shift that it is measured at.
 
@@ -211,8 +222,7 @@ def compare_edited(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as
     many (or all) of the next document's text.  Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next, and the shifts that the two
-    likenesses are measured at, edited_shift and next_shift.
+    fingerprint, edited_fingerprint (of anchors with their gaps), near_edited, near_next.
 
     A null text counts as empty: its fingerprint is the empty string, alike (1) to another
     empty one.  The next document is that of the next known id (after the last: the
@@ -227,35 +237,21 @@ def compare_edited(docs: DataFrame, run: int = RUN) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     order = successors(docs.select("doc_id", F.char_length("text").alias("n_chars")))
     # Shuffled once by id, fingerprints with it: both joins below read that exchange.
-    made = with_anchors(docs.select(keys[0].alias("key"), keys[1].alias("spread"), "text"), "text", "anchors", "gaps", run).repartition("key", "spread")
+    made = with_anchors(docs.select(keys[0].alias("key"), keys[1].alias("spread"), "text"), "text", "anchors", None, run).repartition("key", "spread")
     order = order.withColumnRenamed("doc_id", "key")
-    heads = made.join(order, ["key", "spread"]).select(F.col("prev_id").alias("key"), "spread", F.struct(F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"), "anchors", "gaps").alias("next"))
+    heads = made.join(order, ["key", "spread"]).select(F.col("prev_id").alias("key"), "spread", F.struct(F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"), "anchors").alias("next"))
     heads = heads.groupBy("key", "spread").agg(F.min("next").alias("next"))
     both = made.join(heads, ["key", "spread"], "left").withColumn("n_chars", F.char_length("text"))
     own = both.withColumn("cut", F.expr("n_chars - n_chars div 4").cast("int"))
     head = F.coalesce(F.expr("left(next.head, cast(n_chars div 4 as int))"), F.lit(""))
-    edited = own.select(
-        F.when(F.col("spread") == 0, F.col("key")).alias("doc_id"),
-        "n_chars",
-        "anchors",
-        "gaps",
-        F.coalesce("next.anchors", F.array().cast("array<int>")).alias("next_anchors"),
-        F.coalesce("next.gaps", F.array().cast("array<tinyint>")).alias("next_gaps"),
-        F.concat(F.expr("left(text, cut)"), head).alias("edited"),
-    )
-    found = with_anchors(edited, "edited", "edited_anchors", "edited_gaps", run)
-    for side in ("", "edited_", "next_"):
-        found = with_places(found, f"{side}gaps", f"{side}places")
-    for side in ("edited", "next"):
-        found = with_likeness(found, ("anchors", "places"), (f"{side}_anchors", f"{side}_places"), f"near_{side}", f"{side}_shift")
+    edited = own.select(F.when(F.col("spread") == 0, F.col("key")).alias("doc_id"), "n_chars", "anchors", F.coalesce("next.anchors", F.array().cast("array<int>")).alias("next_anchors"), F.concat(F.expr("left(text, cut)"), head).alias("edited"))
+    found = with_anchors(edited, "edited", "edited_anchors", None, run)
     return found.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_string(F.col("anchors")).alias("fingerprint"),
         as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
-        "edited_shift",
-        "next_shift",
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
