@@ -111,6 +111,8 @@ def test_bound_never_undercounts():
         b = np.unique(np.concatenate([a[: rng.integers(150, len(a))], rng.integers(10**6, 10**7, 10).astype(np.uint64)]))
         shared = len(np.intersect1d(a, b))
         assert J.shared_count(a, b) == shared
-        bits = [np.frombuffer(J.bitmap(x), np.uint64)[None] for x in (a, b)]
+        maps = [J.bitmap(x) for x in (a, b)]
+        bits = [J.folded([m], min(map(len, maps))) for m in maps]
+        assert all((J.folded([J.bitmap(x)], 32) == np.bitwise_or.reduce(np.frombuffer(J.bitmap(x), np.uint64).reshape(-1, 4))).all() for x in (a, b))
         if t.linked(len(a), len(b), shared):
             assert J.bound(np.array([len(a)]), np.array([len(b)]), *bits, t)[0]

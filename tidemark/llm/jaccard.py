@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, fresh, map_arrow, stash
 
-#: Bits of a bitmap.
-BITMAP = 2048
+#: A bitmap has the power of two from so many bits a shingle on, so that it stays sparse at any size, and so many at least.
+BITS_EACH, LEAST_BITS = 4, 256
 #: Upper end of a size band over its lower end.
 RATIO = 1.25
 #: Nodes in a block of a tile.
@@ -84,12 +84,22 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """BITMAP bits, that of each shingle's hash set."""
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(shingles & _U(BITMAP - 1)).astype(np.int64)] = 1
+    """Bits in proportion to the size, that of each shingle's hash set."""
+    size = max(LEAST_BITS, 1 << (BITS_EACH * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles & _U(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length as rows of 64-bit words, folded to size bytes: what a shorter bitmap of the same set holds."""
+    words = np.frombuffer(b"".join(bitmaps), _U).reshape(len(bitmaps), -1)
+    while words.shape[1] * 8 > size:
+        half = words.shape[1] // 2
+        words = words[:, :half] | words[:, half:]
+    return words
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Links are pairs with intersection / union >= part / whole."""
@@ -227,8 +237,13 @@ def _possible(pairs: DataFrame, facts: DataFrame, threshold: Threshold) -> DataF
     def make():
         def step(batch):
             n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), _U).reshape(-1, BITMAP // 64) for k in (4, 5))
-            keep = bound(n_a, n_b, a, b, threshold)
+            a, b = (batch.column(k).to_pylist() for k in (4, 5))
+            lengths = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+            keep = np.zeros(len(a), bool)
+            for pair in np.unique(lengths, axis=0):
+                at = np.flatnonzero((lengths == pair).all(axis=1))
+                x, y = (folded([side[i] for i in at], pair.min()) for side in (a, b))
+                keep[at] = bound(n_a[at], n_b[at], x, y, threshold)
             return pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
         return step
@@ -342,7 +357,8 @@ def _residual(members: DataFrame, component: DataFrame, facts: DataFrame, thresh
             if len(held) < 2:
                 return None
             block, node, component, n = (np.array([r[k] for r in held], np.int64) for k in range(4))
-            words = np.frombuffer(b"".join(r[4] for r in held), _U).reshape(-1, BITMAP // 64)
+            shortest = min(len(r[4]) for r in held)
+            words = np.concatenate([folded([r[4]], shortest) for r in held])
             lowest = [frozenset(r[5]) for r in held]
             out = []
             for x in range(len(held) - 1):
@@ -443,16 +459,18 @@ def link_components(docs: DataFrame, width: int, threshold: Threshold) -> DataFr
     members = stash(_membership(facts), "tiles").distinct()
     wanted = stash(members.select("node").distinct(), "wanted")
     single = stash(facts.select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "facts")
-    # Tiles are the largest data, shingle sets the next: neither is kept while the other is made.
+    # Tiles are the largest data: they are not kept longer than needed.
     discard(shingled_docs)
     free_shuffles(docs.sparkSession)
-    sets = stash(_sets(docs, wanted, width), "sets")
-    free_shuffles(docs.sparkSession)
 
     def linked(pairs: DataFrame) -> DataFrame:
         possible = stash(_possible(pairs, single, threshold), "possible")
         free_shuffles(docs.sparkSession)
+        # Most nodes are in no pair that bitmaps leave possible: sets are made, from the texts, of the others alone.
+        paired = stash(possible.select("a").union(possible.select("b")).distinct().toDF("node"), "paired")
+        sets = stash(_sets(docs, paired, width), "sets")
         links = stash(_exact(possible, sets, threshold), "links")
+        discard(sets)
         free_shuffles(docs.sparkSession)
         return links
 
