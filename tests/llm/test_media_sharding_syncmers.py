@@ -23,6 +23,13 @@ def test_wav_round_trip(edge, clashing, empty):
     assert sorted(map(str, (tuple(r)[:5] for r in found))) == sorted(map(str, want))
     assert {r["feature"] for r in found if r["doc_id"] in (1, 2)} == {next(r["feature"] for r in found if r["doc_id"] == 1)}
     assert media.digests(media.text_media(empty)).count() == 0
+    for r in found:
+        assert len(r["times"]) == len(r["codes"])
+        assert r["feature"] == hashlib.sha256(np.array(r["times"], "<i4").tobytes() + np.array(r["codes"], "<i4").tobytes()).hexdigest()
+        payload = media.padded(next((x["text"] for x in edge.collect() if x["doc_id"] == r["doc_id"] and len((x["text"] or "").encode()) == r["n_bytes"])))[0]
+        assert r["media_bytes"] == len(media.to_wav(payload)) and r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest()
+    none = edge.select("doc_id", F.lit(1).cast("long").alias("n_bytes"), F.lit(None).cast("binary").alias("media"))
+    assert {(r["feature"], tuple(r["times"])) for r in media.digests(none).collect()} == {(None, ())}
     arrays = media.fingerprints(media.text_media(edge))
     assert arrays.filter("size(times) <> size(codes)").count() == 0 and arrays.filter("size(times) > 0").count() > 0
 

@@ -126,27 +126,39 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return map_arrow(media.select(F.col("doc_id").cast("long"), "media"), make, "doc_id long, times array<int>, codes array<int>")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<int>"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What text_media stored, read back: digests of payload and file, and of the fingerprint arrays.
+    """What text_media stored, read back: digests of payload and file, and the fingerprint arrays themselves.
 
-    feature is the SHA-256 of the times and codes (little-endian 32-bit, times first).
+    times and codes are those of fingerprints(); feature is the SHA-256 of both
+    (little-endian 32-bit, times first).  A null clip has null digests and empty arrays;
+    null ids, repeated rows and long clips are treated like any other; an empty table
+    gives no rows; other columns are ignored.
     """
 
     def make():
+        none = np.zeros(0, np.int32)
+
         def step(batch):
-            rows = []
+            rows, arrays = [], []
             for doc_id, n, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if stored is None:
+                    rows.append((doc_id, n, *[None] * 6))
+                    arrays.append((none, none))
+                    continue
                 payload = from_wav(stored)
                 t, c = wav_fingerprint(stored)
                 feature = hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(t)))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+                arrays.append((t, c))
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t, _ in arrays])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in arrays]))) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *lists], names=names)
 
         return step
 
     names = [f.split()[0] for f in DIGEST.split(", ")]
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), make, DIGEST)
+    return map_arrow(media.select(F.col("doc_id").cast("long"), "n_bytes", "media"), make, DIGEST)
