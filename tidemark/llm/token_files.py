@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch_path, stash
+from .common import scratch_path, stash
 from .tokenizing import by_white_space, encode_texts, library_cache
 
 MAGIC = b"EFTOKEN1"
@@ -173,35 +173,39 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
 
 
 def read(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file of every document, read from the files.
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file of every document of the files that write() told of.
 
-    Each file tells how many ids of its part come before it; what comes before a part is
-    summed on the driver, from one row for each part.
+    Only the files in the table are opened, whatever else lies in the folder.  The bounds
+    of a document are selected from its file's Elias-Fano list.  Each file tells how many
+    ids of its part come before it; what comes before a part is summed on the driver, from
+    one row for each part.
     """
     spark = files.sparkSession
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
-    sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    sums = sorted((r["part"], r["n"], r["files"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("files")).collect())
     if not sums:
         return spark.createDataFrame([], schema)
-    before_part = {p: total - n for (p, n), total in zip(sums, accumulate(n for _, n in sums), strict=True)}
-
-    def make():
-        def step(batch):
-            rows = []
-            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = path.rsplit("/", 1)[-1]
-                doc_ids, boundaries, ids, before = open_file(data)
-                before += before_part[int(name.split("-")[1])]
-                starts = boundaries.values()
-                for doc_id, a, b in zip(doc_ids, starts.tolist(), starts[1:].tolist(), strict=False):
-                    rows.append((doc_id, before + a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), name))
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
-
-        return step
-
-    stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.eft").load(folder)
-    return map_arrow(stored.select("path", "content"), make, schema)
+    before_part = {p: total - n for (p, n, _), total in zip(sums, accumulate(n for _, n, _ in sums), strict=True)}
+    kinds = [pa.int64()] * 4 + [pa.string()]
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for part, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_file(f"{root}/{name}") as f:
+                    doc_ids, boundaries, ids, before = open_file(f.read())
+                before += before_part[part]
+                for at in range(0, len(doc_ids), 4096):
+                    some = doc_ids[at : at + 4096]
+                    bounds = [boundaries.select(i) for i in range(at, at + len(some) + 1)]
+                    rows = [(doc_id, before + x, y - x, zlib.crc32(ids[x:y].astype("<u4").tobytes()), name) for doc_id, x, y in zip(some, bounds, bounds[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
+
+    # A file for each task, as far as there are so many tasks.
+    n = min(sum(k for *_, k in sums), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.select("part", "file").repartition(n, "file").mapInArrow(run, schema)
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
