@@ -30,6 +30,8 @@ def test_folds(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None), (3, 0)], "doc_id long, x int")
     assert rows_of(folds.labelled(labels, "x"), "doc_id", "label") == [(1, 1), (3, 0)]
     rows = spark.createDataFrame([(i, i % 10 == 0) for i in range(1000)], "doc_id long, y boolean")
+    many = spark.createDataFrame([(7, True)] * 5000 + [(i, True) for i in range(100, 149)], "doc_id long, y boolean")
+    assert len(rows_of(folds.sample_by_class(many, "y", 100), "doc_id", "y")) == 50, "an id counts once, however often it is repeated"
     first = rows_of(folds.sample_by_class(rows, "y", 60), "doc_id", "y")
     assert first == rows_of(folds.sample_by_class(rows.repartition(7), "y", 60), "doc_id", "y")
     assert sum(y for _, y in first) == 60 and len(first) == 120
@@ -92,6 +94,37 @@ def test_toxicity_held_out(spark):
     assert np.mean([s < 0.5 for s in clean]) > 0.98
 
 
+def test_the_query_is_fitted_with_swaps(spark, monkeypatch):
+    """On the given tables, at the production penalty: copies are made, and scores change less under a swap than without the penalty."""
+    docs, labels = tables(spark)
+    got = {}
+    learn = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda *a, **k: got.update(a=a, k=k) or learn(*a, **k))
+    model = toxicity.fit(docs, folds.labelled(labels, "toxic"))
+    assert model.swaps > 100 and toxicity.PENALTY_SWAP == 1.0
+
+    def change(m):
+        w = dict(zip(m.features.tolist(), m.weights, strict=True))
+        return np.mean([(sum(w.get(int(f), 0) for f in a) - sum(w.get(int(f), 0) for f in r)) ** 2 for a, r in got["a"][3]])
+
+    free = learn(*got["a"], penalty_swap=0.0, **got["k"])
+    assert change(free) > 0 and change(model) < 0.5 * change(free)
+    assert model.score("text with idiot and scum") > 0.5
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"idiot text {i}", "en") for i in range(3000)] + [(i, "calm words", "en") for i in range(2, 40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, toxic int")
+    assert 0 <= toxicity.fit(docs, folds.labelled(labels, "toxic")).score("calm") <= 1
+    assert language.fit(docs).languages == ["en"]
+
+
+def test_neutral_groups():
+    counts = [("the", 900, 90), ("ball", 100, 10), ("game", 90, 9), ("idiot", 80, 79), ("odd", 3, 0), ("team", 60, 6)]
+    assert toxicity.neutral_groups(counts, 1000, 100) == (("ball", "game", "team"),)
+    assert toxicity.neutral_groups([], 0, 0) == ()
+
+
 def test_counterfactual_penalty():
     """'women' occurs in toxic texts only because of the sample: the penalty keeps a neutral mention clean."""
     rng = random.Random(4)
@@ -107,7 +140,7 @@ def test_counterfactual_penalty():
         texts.append(" ".join(words))
         y.append(bad)
     rows = [toxicity.features_of(toxicity.words_of(t)) for t in texts]
-    swaps = [(i, toxicity.features_of(c)) for i, t in enumerate(texts) for c in toxicity.swapped(toxicity.words_of(t))]
+    swaps = [toxicity.difference(toxicity.words_of(t), c) for t in texts for c in toxicity.swapped(toxicity.words_of(t))]
     assert len(swaps) > 1000
     free, held_back = (toxicity.learn(rows, np.array(y), np.ones(len(y)), swaps, p) for p in (0.0, 20.0))
     neutral = "bal dem women fin"
@@ -139,7 +172,7 @@ def test_edges(spark, edge, clashing, empty):
 def test_a_fit_tells_its_swaps():
     texts = [f"{w} {chr(97 + i // 10)}z{chr(97 + i % 10)}" for i in range(60) for w in ("women idiot", "men calm")]
     rows = [toxicity.features_of(toxicity.words_of(t)) for t in texts]
-    swaps = [(i, toxicity.features_of(c)) for i, t in enumerate(texts) for c in toxicity.swapped(toxicity.words_of(t))]
+    swaps = [toxicity.difference(toxicity.words_of(t), c) for t in texts for c in toxicity.swapped(toxicity.words_of(t))]
     y = np.array([1, 0] * 60)
     assert toxicity.learn(rows, y, np.ones(120), swaps).swaps == len(swaps) > 0
     assert toxicity.learn(rows, y, np.ones(120), []).swaps == 0

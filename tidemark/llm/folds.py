@@ -24,13 +24,15 @@ def held_out(doc_id: Column, n: int, held: int) -> Column:
 
 
 def sample_by_class(rows: DataFrame, name: str, most: int) -> DataFrame:
-    """At most `most` rows(doc_id, name) of each class: those whose ids hash lowest, so the same at every run.
+    """At most `most` different (doc_id, name) of each class: those whose ids hash lowest, so the same at every run.
 
-    Counts of the classes (one row each) set a bound on the hash that leaves about twice
-    as many, so that no more than those are ever sorted, however large a class is.
+    Counts of different ids by class (one row each) set a bound on the hash that leaves
+    about twice as many, so that no more than those are ever sorted, however large a class
+    is and however often an id is repeated.
     """
-    counts = rows.groupBy(name).agg(F.count("*").alias("_count"))
+    counts = rows.groupBy(name).agg(F.approx_count_distinct("doc_id", 0.02).alias("_count"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / (1 << 32)
-    few = rows.join(F.broadcast(counts), name).filter(share < 2 * most / F.col("_count")).drop("_count")
+    # One row for each class: small enough to broadcast.
+    few = rows.select("doc_id", name).join(F.broadcast(counts), name).filter(share < 2 * most / F.col("_count")).select("doc_id", name).distinct()
     order = Window.partitionBy(name).orderBy(share, "doc_id")
     return few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")

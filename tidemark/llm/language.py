@@ -137,7 +137,10 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, training_docs: int = TRA
 
     Rows of an unknown language or id, or whose id's crc32 modulo folds is held, are not
     learned from.  Document frequencies count all other rows; the classifier is fitted
-    on training_docs of them at most, those of each language whose ids hash lowest.
+    on training_docs of them at most, those of each language whose ids hash lowest, each
+    id once.  Whole texts count; of an n-gram that occurs over 65,535 times in one text,
+    training sees so many.  An empty table, or one without a known language, gives a model
+    that calls every text undetermined; other columns are ignored.
     """
     known = docs.filter(in_fold(F.col("doc_id"), folds, held) & F.col("lang").isNotNull())
     languages = sorted(r[0] for r in known.select("lang").distinct().collect())
@@ -149,8 +152,10 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, training_docs: int = TRA
         return model
     each = max(2, training_docs // len(languages))
     # The sample has at most training_docs (or two a language) rows of id and language: small enough to broadcast.
-    sample = sample_by_class(known.select("doc_id", "lang"), "lang", each)
-    chosen = known.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").select(F.col("doc_id").cast("long"), "text", "lang")
+    sample = sample_by_class(known.select(F.col("doc_id").cast("long"), "lang"), "lang", each)
+    # Of rows that share an id and a language, the least text is learned from, so that no more rows than those are sent.
+    chosen = known.select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(sample), ["doc_id", "lang"], "left_semi")
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def make():
         def step(batch):

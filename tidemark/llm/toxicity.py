@@ -1,11 +1,16 @@
 """Toxicity scores that do not lean on mentions of groups.
 
 A text's features are its distinct words and their beginnings.  A logistic regression
-over those most associated with the label is fitted with a counterfactual penalty:
-identity terms in labelled texts are swapped for others of their group, and changes of
-score between a text and its swapped copies are penalised.  What a group's name
-gathers from the texts that it happens to occur in is so evened out over the group,
-and neutral mentions stay neutral.
+over those most associated with the label, and over the terms that may be mentioned
+neutrally, is fitted with a counterfactual penalty: such terms in labelled texts are
+swapped for others of their group, and changes of score between a text and its swapped
+copies are penalised.  What a group's name gathers from the texts that it happens to
+occur in is so evened out over the group, and neutral mentions stay neutral.
+
+The groups are identity terms in a fixed list, and terms that the labelled texts
+themselves show to be neutral: words of many texts, toxic and other ones alike, grouped
+by how common they are.  A corpus that mentions none of the listed terms is so still
+fitted with counterfactual copies.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, stash
 from .folds import in_fold, labelled, sample_by_class
 
 #: The classifier is fitted on at most so many labelled documents of each class.
@@ -57,6 +62,8 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 )
 #: Other terms of the group that each term is swapped for.
 SWAPS = 2
+#: Terms found in the labelled texts: so many at most, in groups of so many, in so large a share of the texts, whose toxic share differs by this factor at most from that of all.
+FOUND_TERMS, FOUND_GROUP, FOUND_SHARE, FOUND_LIFT = 48, 4, (0.02, 0.25), 2.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -85,6 +92,22 @@ def swapped(words: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROU
     return [rest | {g[(i + k) % len(g)] for g, i in found.values()} for k in range(1, SWAPS + 1)] if found else []
 
 
+def difference(words: set[str], copy: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features that a counterfactual copy adds and those that it removes."""
+    before, after = features_of(words), features_of(copy)
+    return np.setdiff1d(after, before), np.setdiff1d(before, after)
+
+
+def neutral_groups(counts: list[tuple[str, int, int]], texts: int, toxic: int) -> tuple[tuple[str, ...], ...]:
+    """Groups of terms from (word, texts that hold it, toxic ones among those): neutral words, those of like frequency together."""
+    low, high = FOUND_SHARE
+    base = toxic / texts if texts else 0.0
+    kept = [(n, w) for w, n, bad in counts if low * texts <= n <= high * texts and base / FOUND_LIFT <= bad / n <= base * FOUND_LIFT]
+    best = [w for _, w in sorted(kept, key=lambda x: (-x[0], x[1]))[:FOUND_TERMS]]
+    groups = [tuple(best[i : i + FOUND_GROUP]) for i in range(0, len(best), FOUND_GROUP)]
+    return tuple(g for g in groups if len(g) > 1)
+
+
 @dataclass
 class Model:
     """Features (sorted), their weights, the bias, and how many counterfactual copies the fit used."""
@@ -123,8 +146,10 @@ def _matrix(rows: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, n
     return np.repeat(np.arange(len(rows)), [len(r) for r in kept]), np.searchsorted(features, np.concatenate([*kept, np.zeros(0, np.uint32)]))
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty_swap: float = PENALTY_SWAP) -> Model:
-    """A model from feature rows, labels and row weights; swaps are (row, features of a counterfactual copy).
+def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], penalty_swap: float = PENALTY_SWAP, mentions: np.ndarray | None = None) -> Model:
+    """A model from feature rows, labels and row weights; swaps are (added, removed) features of counterfactual copies.
+
+    mentions are features that the model weighs whether they are telling or not.
 
     Log loss + L2 + penalty_swap * mean squared change of the logit under a swap, by a
     fixed number of full-batch Adam steps: the result depends on the rows alone.  Features
@@ -143,15 +168,17 @@ def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list
     n, p, z = total[at], bad[at] / total[at], CERTAINTY
     low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     telling = low > min(LIFT * y.mean(), (1 + y.mean()) / 2)
-    features = np.sort(at[telling][np.argsort(-low[telling], kind="stable")[:VOCABULARY]]).astype(np.uint32)
+    features = at[telling][np.argsort(-low[telling], kind="stable")[:VOCABULARY]]
+    if mentions is not None:
+        features = np.union1d(features, mentions[total[mentions] >= LEAST_DOCS])
+    features = np.sort(features).astype(np.uint32)
     k = len(features)
     at, column = _matrix(rows, features)
     bias = float(np.log(prior / (1 - prior)))
     if not k:
         return Model(features, np.zeros(0), bias)
-    s_at, s_column = _matrix([f for _, f in swaps], features)
-    s_row = np.array([i for i, _ in swaps], np.int64)
-    o_at, o_column = _matrix([rows[i] for i in s_row], features)
+    s_at, s_column = _matrix([added for added, _ in swaps], features)
+    o_at, o_column = _matrix([removed for _, removed in swaps], features)
     w = np.zeros(k + 1)
     w[-1] = bias
     first, second = np.zeros(k + 1), np.zeros(k + 1)
@@ -174,8 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_c
     """A model from docs(doc_id, text) and labels(doc_id, label 0 or 1).
 
     Ids whose crc32 modulo folds is held are not learned from.  At most per_class labelled
-    documents of each class are used (those whose ids hash lowest), weighted back to the
-    class's share of all labelled rows.  With one class or none, every score is that
+    documents of each class are used (those whose ids hash lowest, each id once, of rows
+    that share an id the least text), weighted back to the class's share of all labelled
+    rows.  groups are added to by neutral terms of the sample (neutral_groups).  With one class or none, every score is that
     class's smoothed share, 0.5 without labels.
     """
     known = labels.filter(in_fold(F.col("doc_id"), folds, held))
@@ -187,28 +215,48 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_c
     # At most 2 * per_class rows of two numbers: small enough to broadcast.
     sample = sample_by_class(known, "label", per_class)
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    chosen = stash(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
+    groups += neutral_groups(*_term_counts(chosen))
 
     def make():
         def step(batch):
             out = []
             for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
-                copies = [features_of(c).tobytes() for c in swapped(words, groups)]
-                out.append((doc_id, label, features_of(words).tobytes(), copies))
+                swaps = [difference(words, c) for c in swapped(words, groups)]
+                out.append((doc_id, label, features_of(words).tobytes(), [a.tobytes() for a, _ in swaps], [r.tobytes() for _, r in swaps]))
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
         return step
 
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.binary()), ("copies", pa.list_(pa.binary()))])
-    found = sorted(map_arrow(chosen, make, "doc_id long, label int, features binary, copies array<binary>").collect(), key=lambda r: (r.doc_id, r.label, bytes(r.features)))
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.binary()), ("added", pa.list_(pa.binary())), ("removed", pa.list_(pa.binary()))])
+    found = sorted(map_arrow(chosen, make, "doc_id long, label int, features binary, added array<binary>, removed array<binary>").collect(), key=lambda r: r.doc_id)
     y = np.array([r.label for r in found])
     if not 0 < y.sum() < len(y):
         share = (positive + 0.5) / (n + 1)
         return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(share / (1 - share))))
     rows = [np.frombuffer(r.features, np.uint32) for r in found]
     weight = np.where(y == 1, positive / y.sum(), (n - positive) / (len(y) - y.sum()))
-    swaps = [(i, np.frombuffer(c, np.uint32)) for i, r in enumerate(found) for c in r.copies]
-    return learn(rows, y, weight, swaps)
+    swaps = [tuple(np.frombuffer(x, np.uint32) for x in pair) for r in found for pair in zip(r.added, r.removed, strict=True)]
+    return learn(rows, y, weight, swaps, mentions=features_of({t for g in groups for t in g}))
+
+
+def _term_counts(chosen: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]:
+    """(word, texts, toxic texts) of the words that may be neutral terms, the number of texts, and of toxic ones."""
+
+    def make():
+        def step(batch):
+            words = [sorted(words_of(t)) for t in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "label"])
+
+        return step
+
+    texts, toxic = chosen.agg(F.count("*"), F.sum("label")).first()
+    words = map_arrow(chosen.select("text", "label"), make, "words array<string>, label int").select(F.explode("words").alias("word"), "label")
+    low, high = FOUND_SHARE
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).filter(F.col("n").between(low * texts, high * texts))
+    # Each text has few words of so large a share: at most 1 / low times the words of a text are left.
+    return [(r["word"], r["n"], r["bad"]) for r in counts.collect()], texts, toxic or 0
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
