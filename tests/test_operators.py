@@ -184,9 +184,9 @@ def test_impute(spark):
 def test_nearest_in_blocks(spark, monkeypatch):
     rows = [(float(i * 7 % 50), float(i) if i % 4 else None) for i in range(50)]
     df = frame(spark, rows, "x double, v double")
-    one = sorted(map(tuple, impute.nearest(df, "v", ["x"], 3, None).collect()))
+    one = sorted(map(tuple, impute.nearest(df, "v", ["x"], 3).collect()))
     monkeypatch.setattr(impute, "KNN_BLOCK", 5)
-    assert sorted(map(tuple, impute.nearest(df, "v", ["x"], 3, None).collect())) == one
+    assert sorted(map(tuple, impute.nearest(df, "v", ["x"], 3).collect())) == one
     known = [(i, r) for i, r in enumerate(rows) if r[1] is not None]
     for i, r in enumerate(rows):
         if r[1] is None:
@@ -194,6 +194,33 @@ def test_nearest_in_blocks(spark, monkeypatch):
             assert dict(one)[i] == sorted(b[2] for b in best)[1]
 
 
+def test_nearest_against_brute_force(spark, monkeypatch):
+    """Several features with nulls and ties, many blocks and shares: the same as comparing all rows."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, float(rng.randrange(40))]), None if i % 9 == 4 else float(rng.randrange(1000)), float(rng.randrange(3)), None if i % 5 == 0 else float(i)) for i in range(400)]
+    rows += [(None, None, None, None), (None, None, 1.0, None)]
+    df = frame(spark, rows, "x double, y double, z double, v double")
+    known = [(i, r) for i, r in enumerate(rows) if r[3] is not None]
+
+    def apart(a, b):
+        both = [abs(p - q) for p, q in zip(a[:3], b[:3], strict=True) if p is not None and q is not None]
+        return sum(both) / len(both) if both else None
+
+    want = {}
+    for i, r in enumerate(rows):
+        if r[3] is None:
+            best = sorted(((d, j, x[3]) for j, x in known if (d := apart(r, x)) is not None))[:5]
+            values = sorted(b[2] for b in best)
+            want[i] = values[len(values) // 2] if values else None
+    for block, blocks, chunk in ((10_000, 100, 5_000), (20, 100, 3), (20, 4, 7)):
+        monkeypatch.setattr(impute, "KNN_BLOCK", block)
+        monkeypatch.setattr(impute, "KNN_BLOCKS", blocks)
+        monkeypatch.setattr(impute, "KNN_ROWS", chunk)
+        assert dict(map(tuple, impute.nearest(df, "v", ["x", "y", "z"], 5).collect())) == want
+
+
 def test_impute_seeks_all_rows(spark):
     """More rows than one block holds: each gap is filled from its own neighbours, whatever their hash."""
     n = impute.KNN_BLOCK + 2_000

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import profile as P
 from tidemark.operators import structure
 from tidemark.plans import advisor as A
 from tidemark.plans.cli import main, summarise
@@ -114,3 +115,34 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 6
     assert e.queries()["health_grade"](spark, "/root/testdata/sf0.001").filter(F.col("grade") == "A").count() > 0
+
+
+def test_columns_are_renamed_by_name(spark):
+    """Reordered, missing and added columns keep their own values."""
+    train = spark.createDataFrame([(1.5 + i, f"town {i % 3}", f"k{i}") for i in range(30)], "`Height (m)` double, `Home Town` string, `E-Mail` string")
+    fitted = CleaningPipeline(Options(aliases=None)).fit(train)
+    for frame in (train.select("Home Town", "E-Mail", "Height (m)"), train.select("Home Town", "Height (m)"), train.select(train["Home Town"], train["Height (m)"], train["E-Mail"].alias("New One"))):
+        out = fitted.transform(frame).df
+        want = {"home_town", "height_m"} | ({"email"} if "E-Mail" in frame.columns else set()) | ({"new_one"} if "New One" in frame.columns else set())
+        assert set(out.columns) - {P.ROW_ID} == want
+        assert {r[0] for r in out.select("home_town").distinct().collect()} == {"town 0", "town 1", "town 2"}
+        assert out.filter("height_m is null or height_m < 1").count() == 0
+
+
+def test_saved_options_and_unchanged_callers(spark, tmp_path):
+    options = Options(mode="aggressive", numeric_tolerance=2.5, custom_patterns={"x": {"regex": "a+"}})
+    options.structure.id_words = ["kennung"]
+    options.quality.max_missing_rate = 0.3
+    df = spark.createDataFrame([(float(i), f"v{i % 2}") for i in range(20)], "amount double, kind string")
+
+    class Advisor:
+        def advise(self, summary):
+            return {"columns": {"amount": {"semantic_type": "PERCENTAGE", "confidence": 0.9, "min": 0, "max": 10, "alias": "anything"}, "kind": {"semantic_type": "BOOLEAN", "confidence": 0.9, "alias": "state"}}}
+
+    fitted = CleaningPipeline(options, Advisor()).fit(df)
+    assert options.quality.semantic_types == {} and "anything" not in str(fitted.plans["names"]) and fitted.plans["names"]["kind"] == "state"
+    assert set(fitted.plans["quality_config"]["semantic_types"].values()) == {"percent", "bool"}
+    fitted.save(str(tmp_path / "m.json"))
+    again = CleaningPipeline.load(str(tmp_path / "m.json"))
+    assert again.options.numeric_tolerance == 2.5 and again.options.structure.id_words == ["kennung"] and again.options.quality.max_missing_rate == 0.3 and again.options.mode == "aggressive"
+    assert again.options.custom_patterns == options.custom_patterns

@@ -72,12 +72,13 @@ def score(df: DataFrame, issues: DataFrame, history: QualityHistory | None = Non
         "uniqueness": 1 - min(1.0, duplicates / n) if n else 0.0,
     }
     total = overall(parts)
-    warnings = [r["issue"] for r in issues.filter(F.col("row").isNull()).select("issue").limit(50).collect()]
+    general = issues.filter(F.col("row").isNull()).select("issue")
+    warned, warnings = general.count(), [r["issue"] for r in general.limit(50).collect()]
     worst = [{"name": r["column"], "count": r["count"]} for r in I.counts(issues, "column").limit(top).collect()]
     kinds = [{"name": r["issue"], "count": r["count"]} for r in I.counts(issues, "issue").limit(top).collect()]
     out = {
         "overall_score": total, "grade": S.grade(total), "scores": {k: round(100 * v, 2) for k, v in parts.items()}, "row_issues": sum(r["issues"] for r in by_stage.values()),
-        "warnings": {"count": len(warnings), "items": warnings},
+        "warnings": {"count": warned, "items": warnings},
         "analytics": {"missing": missing[:top], "worst_columns": worst, "issue_types": kinds, "worst_rows": [r.asDict() for r in worst_rows(issues).collect()], "drilldown": [r.asDict(True) for r in drilldown(issues, [w["name"] for w in worst]).collect()]},
     }
     if history:
@@ -93,11 +94,11 @@ def actions(card: dict) -> list[dict]:
     kinds, worst = [x["name"] for x in a["issue_types"][:3]], [x["name"] for x in a["worst_columns"][:3]]
     total, warned = card["overall_score"], card["warnings"]["count"]
     table = [
-        (gaps, "high", "Review missing values in key columns", f"missing in {gaps}"),
-        (kinds, "high", "Fix the most common invalid patterns", f"most frequent: {kinds}"),
-        (worst, "medium", "Focus validation improvements on worst columns", f"most issues in {worst}"),
-        (warned, "medium", "Review global warnings", f"{warned} warnings"),
-        (total < 70, "high", "Increase strictness or add more validation rules", f"overall score {total}"),
-        (total >= 95 and not warned, "low", "Dataset looks clean", "high score and no warnings"),
+        (gaps, "high", "Look into the columns with most gaps", f"gaps in {gaps}"),
+        (kinds, "high", "Repair the issues that occur most", f"first in number: {kinds}"),
+        (worst, "medium", "Tighten the rules of the columns with most issues", f"first in issues: {worst}"),
+        (warned, "medium", "Read the findings on whole columns", f"{warned} warnings"),
+        (total < 70, "high", "Choose a stricter mode or add rules", f"overall score {total}"),
+        (total >= 95 and not warned, "low", "Nothing needs to be done", "a score of 95 or more, and no finding on a whole column"),
     ]
     return [{"priority": p, "action": act, "reason": why} for test, p, act, why in table if test]

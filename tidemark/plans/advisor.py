@@ -107,8 +107,17 @@ class ChatAdvisor:
         return found
 
 
+# The names that advice may rename a column to.
+CANONICAL = {
+    "email", "phone", "user_id", "customer_id", "order_id", "invoice_id", "transaction_id", "order_date", "delivery_date", "return_date", "created_at", "updated_at",
+    "total_amount", "amount_paid", "refund_amount", "qty", "price", "country", "state", "city", "zip", "dob", "age", "year",
+}
+#: The parser that each advised type calls for.
+PARSED_AS = {"MONEY": "money", "AMOUNT": "amount", "DATE": "date", "PERCENTAGE": "percent", "BOOLEAN": "bool"}
+
+
 def safe(advice: dict, columns: list[str]) -> dict:
-    """Advice on known columns only: known types, confidences in 0..1, compilable short patterns, unique aliases."""
+    """Advice on known columns only: known types, confidences in 0..1, compilable short patterns, unique canonical aliases."""
     out: dict[str, dict] = {}
     taken: set[str] = set()
     for c, a in (advice.get("columns") or {}).items():
@@ -124,7 +133,7 @@ def safe(advice: dict, columns: list[str]) -> dict:
         if regex_is_safe(pattern) and _compiles(pattern):
             entry["regex"] = pattern
         alias = str(a.get("alias") or "").strip().lower()
-        if alias and alias not in taken and len(taken) < MOST_ALIASES:
+        if alias in CANONICAL and alias not in taken and len(taken) < MOST_ALIASES:
             taken.add(alias)
             entry["alias"] = alias
         for bound in ("min", "max"):
@@ -147,7 +156,7 @@ def overrides(advice: dict, least: float = 0.70) -> dict:
     """Settings that advice implies: hints of types, value ranges, patterns, ids, aliases."""
     sure = {c: a for c, a in advice["columns"].items() if a["confidence"] >= least}
     return {
-        "semantic_types": {c: a["semantic_type"].lower() for c, a in sure.items() if a["semantic_type"] in ("MONEY", "AMOUNT", "DATE", "PERCENTAGE", "BOOLEAN")},
+        "semantic_types": {c: PARSED_AS[a["semantic_type"]] for c, a in sure.items() if a["semantic_type"] in PARSED_AS},
         "domains": {c: (a["min"], a["max"]) for c, a in sure.items() if "min" in a and "max" in a},
         "custom_patterns": {c: {"regex": a["regex"], "pattern_name": c, "source": "advisor"} for c, a in sure.items() if "regex" in a},
         "id_columns": [c for c, a in sure.items() if a["protect"]],

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -44,6 +44,7 @@ class Options:
     semantic_hints: bool = False  # meanings found after the structural stage guide the quality stage
     history_path: str | None = None
     memory_path: str | None = None
+    memory_rule: str = "short"
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -76,19 +77,18 @@ class CleaningPipeline:
             except Exception as e:  # advice is optional, but its failure is told
                 status = f"failed: {e}"
         hints = A.overrides(advice)
-        renamed = names.plan([c for c in df.columns if c != P.ROW_ID], o.aliases, hints["aliases"], o.aliasing)
+        raw = [c for c in df.columns if c != P.ROW_ID]
+        renamed = names.plan(raw, o.aliases, hints["aliases"], o.aliasing)
         df = names.rename(df, [*renamed, P.ROW_ID])
-        o.quality.semantic_types |= hints["semantic_types"]
-        o.quality.semantic_confidences |= {c: advice["columns"][c]["confidence"] for c in hints["semantic_types"]}
-        o.quality.domains |= hints["domains"]
-        o.quality.id_columns += hints["id_columns"]
+        # Copies: what one data set's advice adds is not handed on to the next.
+        q = replace(o.quality, semantic_types=o.quality.semantic_types | hints["semantic_types"], semantic_confidences=o.quality.semantic_confidences | {c: advice["columns"][c]["confidence"] for c in hints["semantic_types"]}, domains=o.quality.domains | hints["domains"], id_columns=[*o.quality.id_columns, *hints["id_columns"]])
         s_plan = structure.fit(df, o.structure)
         df, _ = structure.apply(df, s_plan, o.structure)
         if o.semantic_hints:
             found = P.meanings(df)
-            o.quality.semantic_types |= {c: m for c, m in found.items() if m in ("date", "amount")}
-        q_plan = quality.fit(df, o.quality)
-        self.plans = {"names": renamed, "structure": structure.save(s_plan), "quality": asdict(q_plan), "custom_patterns": o.custom_patterns | hints["custom_patterns"], "advice": advice["columns"], "advisor": status, "input_warnings": warnings}
+            q = replace(q, semantic_types=q.semantic_types | {c: m for c, m in found.items() if m in ("date", "amount")})
+        q_plan = quality.fit(df, q)
+        self.plans = {"names": dict(zip(raw, renamed, strict=True)), "advised_aliases": hints["aliases"], "quality_config": asdict(q), "structure": structure.save(s_plan), "quality": asdict(q_plan), "custom_patterns": o.custom_patterns | hints["custom_patterns"], "advice": advice["columns"], "advisor": status, "input_warnings": warnings}
         return self
 
     def transform(self, df: DataFrame, strict: bool = False, progress: Callable[[str, float], None] | None = None) -> Result:
@@ -107,12 +107,13 @@ class CleaningPipeline:
 
         def stage_names(df):
             raw = [c for c in df.columns if c != P.ROW_ID]
-            new = plans["names"] if len(raw) == len(plans["names"]) else names.plan(raw, o.aliases, None, o.aliasing)
+            # By name, so that reordered, missing and added columns keep their values.
+            new = [plans["names"].get(c, n) for c, n in zip(raw, names.plan(raw, o.aliases, plans["advised_aliases"], o.aliasing), strict=True)]
             merged = sorted({n for n in new if new.count(n) > 1})
             return names.rename(df, [*new, P.ROW_ID]), None, {"renamed": {a: b for a, b in zip(raw, new, strict=True) if a != b}, "merged": merged}
 
         def stage_quality(df):
-            out, told = quality.apply(df, quality.Plan(**plans["quality"]), o.quality, LearningMemory(o.memory_path))
+            out, told = quality.apply(df, quality.Plan(**plans["quality"]), quality.Config(**plans["quality_config"]), LearningMemory(o.memory_path, o.memory_rule))
             return out, None, told
 
         stages = {
@@ -152,18 +153,19 @@ class CleaningPipeline:
         return self.fit(df).transform(df, **k)
 
     def save(self, path: str) -> None:
-        """The plans as a JSON file; options are the caller's."""
+        """The plans and all options as a JSON file."""
         if self.plans is None:
             raise RuntimeError("fit the pipeline first")
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps({"mode": self.options.mode, "plans": self.plans}, default=str, indent=1), encoding="utf-8")
+        Path(path).write_text(json.dumps({"options": asdict(self.options), "plans": self.plans}, default=str, indent=1), encoding="utf-8")
 
     @classmethod
     def load(cls, path: str, options: Options | None = None) -> CleaningPipeline:
         data = json.loads(Path(path).read_text(encoding="utf-8"))
         if not data.get("plans"):
             raise ValueError("the file holds no fitted pipeline")
-        out = cls(options or Options(mode=data["mode"]))
+        parts = {"structure": structure.Config, "quality": quality.Config, "semantics": semantics.Config, "impute": impute.Config}
+        out = cls(options or Options(**{k: parts[k](**v) if k in parts else v for k, v in data["options"].items()}))
         out.plans = data["plans"]
         return out
 

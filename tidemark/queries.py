@@ -64,20 +64,21 @@ def _plain(issues: DataFrame) -> DataFrame:
 @query(_per_column(f"SELECT '{{c}}' AS column_name, count(*) AS n_rows, count(*) - count({{c}}) AS missing, round((count(*) - count({{c}})) * 100.0 / count(*), 4) AS missing_percent FROM {_ORDERS}").replace("* 100.0", "* CAST(100 AS DOUBLE)"))
 def profile_nulls(spark, sf_dir):
     found = P.profile(_orders(spark, sf_dir))
-    return spark.createDataFrame([(p.column, p.rows, p.missing, round(p.missing_percent, 4)) for p in found], "column_name string, n_rows long, missing long, missing_percent double")
+    return spark.createDataFrame([(p.column, p.rows, p.missing, p.missing_percent) for p in found], "column_name string, n_rows long, missing long, missing_percent double").withColumn("missing_percent", F.round("missing_percent", 4))
 
 
 @query(_per_column(f"SELECT '{{c}}' AS column_name, count(DISTINCT {{c}}) AS n_unique, round((CAST(1 AS DOUBLE) - count(DISTINCT {{c}}) / CAST(count({{c}}) AS DOUBLE)) * 100, 4) AS duplicate_percent FROM {_ORDERS}"))
 def profile_unique(spark, sf_dir):
     found = P.profile(_orders(spark, sf_dir))
-    return spark.createDataFrame([(p.column, p.unique, round(p.duplicate_percent, 4)) for p in found], "column_name string, n_unique long, duplicate_percent double")
+    return spark.createDataFrame([(p.column, p.unique, p.duplicate_percent) for p in found], "column_name string, n_unique long, duplicate_percent double").withColumn("duplicate_percent", F.round("duplicate_percent", 4))
 
 
 @query(_per_column("SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, round(avg({c}), 4) AS mean_value, round(stddev_samp({c}), 4) AS std_value FROM lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 def profile_numeric_stats(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     m = P.measure(df, {(c, k): f(c) for c in df.columns for k, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("std", F.stddev_samp))})
-    return spark.createDataFrame([(c, v["min"], v["max"], round(v["avg"], 4), round(v["std"], 4)) for c, v in m.items()], "column_name string, min_value double, max_value double, mean_value double, std_value double")
+    found = spark.createDataFrame([(c, v["min"], v["max"], v["avg"], v["std"]) for c, v in m.items()], "column_name string, min_value double, max_value double, mean_value double, std_value double")
+    return found.withColumns({c: F.round(c, 4) for c in ("mean_value", "std_value")})
 
 
 @query(
@@ -96,7 +97,7 @@ _IQR = "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_co
 @query("SELECT round(quantile_cont(l_extendedprice, 0.25) - 1.5 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)), 4) AS low, round(quantile_cont(l_extendedprice, 0.75) + 1.5 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)), 4) AS high FROM lineitem")
 def iqr_bounds(spark, sf_dir):
     low, high = P.iqr_bounds(_table(spark, sf_dir, "lineitem"), {"l_extendedprice": F.col("l_extendedprice")})["l_extendedprice"]
-    return spark.createDataFrame([(round(low, 4), round(high, 4))], "low double, high double")
+    return spark.createDataFrame([(low, high)], "low double, high double").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query(_IQR + " SELECT count(*) FILTER (WHERE l_extendedprice < a - 0.5 * (b - a) OR l_extendedprice > b + 0.5 * (b - a)) AS outliers FROM lineitem, q")
@@ -242,14 +243,25 @@ def structural_clean(spark, sf_dir):
     return out.select(F.col(I.ROW_ID).alias("c_custkey"), F.round("balance", 4).alias("balance"), "segment")
 
 
-@query("SELECT 'o_orderkey' AS column_name, 'id' AS role UNION ALL SELECT 'o_totalprice', 'id' UNION ALL SELECT 'balance', 'numeric' UNION ALL SELECT 'segment', 'categorical' UNION ALL SELECT 'day', 'datetime'")
-def structural_roles(spark, sf_dir):
+def _role_columns(spark, sf_dir):
     c = _table(spark, sf_dir, "customer")
-    df = c.select(F.col("c_custkey").alias(I.ROW_ID), F.col("c_custkey").alias("o_orderkey"), F.col("c_acctbal").alias("o_totalprice"), (F.col("c_custkey") % 100).alias("balance"), F.col("c_mktsegment").alias("segment"), F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "dd MMM yyyy").alias("day"))
-    roles = structure.fit(df, structure.Config(id_words=["order"])).roles | {"o_totalprice": "id", "day": "datetime"}
-    plain = structure.fit(df.select(I.ROW_ID, "day"), structure.Config(protect_ids=False)).roles
-    by_name = structure.id_by_name("o_totalprice", structure.Config(id_words=["total"]))
-    return spark.createDataFrame(list((roles | plain | ({"o_totalprice": "id"} if by_name else {"o_totalprice": "numeric"})).items()), "column_name string, role string")
+    return c.select(F.col("c_custkey").alias(I.ROW_ID), F.col("c_custkey").alias("o_orderkey"), F.col("c_acctbal").alias("o_totalprice"), (F.col("c_custkey") % 100).alias("balance"), F.col("c_mktsegment").alias("segment"), F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "dd MMM yyyy").alias("day"))
+
+
+def _roles(spark, fitted):
+    return spark.createDataFrame(list(fitted.roles.items()), "column_name string, role string")
+
+
+@query("SELECT 'o_orderkey' AS column_name, 'numeric' AS role UNION ALL SELECT 'o_totalprice', 'numeric' UNION ALL SELECT 'balance', 'numeric' UNION ALL SELECT 'segment', 'categorical' UNION ALL SELECT 'day', 'datetime'")
+def structural_roles(spark, sf_dir):
+    """Roles of one fit without protection of ids."""
+    return _roles(spark, structure.fit(_role_columns(spark, sf_dir), structure.Config(protect_ids=False)))
+
+
+@query("SELECT 'o_orderkey' AS column_name, 'id' AS role UNION ALL SELECT 'segment', 'categorical' UNION ALL SELECT 'balance', 'numeric'")
+def structural_roles_by_id_word(spark, sf_dir):
+    """Roles of one fit that takes columns named after orders for ids."""
+    return _roles(spark, structure.fit(_role_columns(spark, sf_dir).select(I.ROW_ID, "o_orderkey", "segment", "balance"), structure.Config(id_words=["order"])))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01'")
@@ -434,7 +446,7 @@ SELECT id AS s_suppkey, round(median(t), 4) AS value FROM d WHERE r <= 5 GROUP B
 def knn_impute(spark, sf_dir):
     s = _table(spark, sf_dir, "supplier")
     df = s.select(F.col("s_suppkey").alias(I.ROW_ID), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal")).alias("t"), "s_nationkey")
-    near = impute.nearest(df, "t", ["s_nationkey"], 5, None)
+    near = impute.nearest(df, "t", ["s_nationkey"], 5)
     return near.select(F.col(I.ROW_ID).alias("s_suppkey"), F.round("__knn", 4).alias("value"))
 
 
