@@ -16,30 +16,42 @@ def _classified(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by Jaccard similarity of 3-word shingles of 0.9 or more; see jaccard.join_documents for nulls and ties."""
     return jaccard.join_documents(table(spark, sf_dir, "documents"), 3, jaccard.Threshold(90, 100))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned outside the held-out fold; a null or empty text scores the bias, a null id is not held out."""
     return _classified(toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of all documents, each a sequence of its own; a null text is its end id alone."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts; see syncmers.compare_edited for null and repeated ids."""
     return syncmers.compare_edited(table(spark, sf_dir, "documents"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all texts and the bytes decoded from them, as digests; a null text is empty."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned outside the held-out fold; null and empty texts are scored, a null id is not held out."""
     return _classified(quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
 
 
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near-equal row counts along a Hilbert curve (law rows).
+
+    Groups of equal texts lie side by side where source and language agree, as size and
+    text_crc32 then do; the law cuts between rows, so a group may cross from one shard to
+    the next.  Null ids and texts are rows like any other.
+    """
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit("")).cast("binary")
     named = {f"_c{i}": c for i, c in enumerate(sharding.document_cells())}
@@ -49,14 +61,17 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as WAV clips, read back: digests and peak-pair arrays; a null text is empty."""
     return media.digests(media.text_media(table(spark, sf_dir, "documents")))
 
 
 def op9_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents in ascending id order, and what is read back from them; a null text is its end id alone."""
     return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned outside the held-out fold; `und` for a text without a letter, a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
