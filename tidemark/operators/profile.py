@@ -240,8 +240,20 @@ def first_known(df: DataFrame, names: list[str], n: int) -> DataFrame:
     """column, value: the first n known values of each column, by row.  A limit that defines a heuristic's sample."""
     flat = df.select(ROW_ID, *[F.col(f"`{c}`").cast("string").alias(c) for c in names])
     long = flat.unpivot([ROW_ID], names, "column", "value").filter(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(ROW_ID)
-    return long.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n", ROW_ID)
+    return first_rows(long, ["column"], ROW_ID, n).drop(ROW_ID)
+
+
+#: Up to so many rows of a key, Spark itself drops the others before a shuffle.
+LIMITED = 1000
+
+
+def first_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The first n rows of each key; no task gets more of one key than a partition holds, or n of each partition."""
+    if n > LIMITED:
+        part = df.withColumn("_part", F.spark_partition_id())
+        own = Window.partitionBy(*keys, "_part").orderBy(order)
+        df = part.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= n).drop("_n", "_part")
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("_n") <= n).drop("_n")
 
 
 def meanings(df: DataFrame, sample: int = 50, threshold: float = 0.6) -> dict[str, str]:

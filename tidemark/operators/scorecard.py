@@ -37,10 +37,10 @@ def drilldown(issues: DataFrame, columns: list[str], per_column: int = 10, examp
     """Of the given columns: the most frequent issues, by severity, with a few example rows."""
     rows = I.with_ids(issues.filter(F.col("row").isNotNull() & F.col("column").isin(columns)))
     s = S.severity(F.col("severity"))
-    first = Window.partitionBy("column", "issue").orderBy("row")
-    marked = rows.withColumn("_n", F.row_number().over(first))
-    example = F.when(F.col("_n") <= examples, F.struct("issue_id", "row", s.alias("severity"), "confidence", "details"))
-    grouped = marked.groupBy("column", "issue").agg(F.count("*").alias("count"), *[F.count_if(s == k).alias(k) for k in S.SEVERITY_WEIGHTS], F.collect_list(example).alias("examples"))
+    counts = rows.groupBy("column", "issue").agg(F.count("*").alias("count"), *[F.count_if(s == k).alias(k) for k in S.SEVERITY_WEIGHTS])
+    # Apart from the counts, so that only a few rows of a key are shuffled.
+    few = P.first_rows(rows, ["column", "issue"], "row", examples).groupBy("column", "issue").agg(F.collect_list(F.struct("issue_id", "row", s.alias("severity"), "confidence", "details")).alias("examples"))
+    grouped = counts.join(few, ["column", "issue"])
     best = Window.partitionBy("column").orderBy(F.desc("count"), "issue")
     return grouped.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= per_column).drop("_r").orderBy("column", F.desc("count"), "issue")
 
