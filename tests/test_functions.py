@@ -17,7 +17,7 @@ def column(spark, values, f, kind="string"):
 @pytest.mark.parametrize(
     ("parser", "cases"),
     [
-        (X.parse_money, {"₹1,200": 1200.0, "(500)": -500.0, "USD 1,234.56": 1234.56, "12,34,567": 1234567.0, "1,234,56": 1234.56, "1,50": 1.5, "1,500 only": 1500.0, "5/-": 5.0, "Rs. 500": 0.5, "1e5": None, "abc": None, "-": None, "": None, None: None}),
+        (X.parse_money, {"₹1,200": 1200.0, "(500)": -500.0, "USD 1,234.56": 1234.56, "12,34,567": 1234567.0, "1,234,56": 1234.56, "1,50": 1.5, "1,500 only": 1500.0, "5/-": 5.0, "Rs. 500": 0.5, "1,2.3,4": 12.34, "1." + "2," * 90 + "3": float("1." + "2" * 90 + "3"), "1e5": None, "abc": None, "-": None, "": None, None: None}),
         (X.parse_percent, {"7%": 7.0, "0.5": 50.0, "1": 100.0, "2": 2.0, "0.5 %": 0.5, "%": None, "x": None, "-3": -3.0, None: None}),
         (X.parse_bool, {" Yes": 1.0, "returned": 1.0, "NOT returned": 0.0, "f": 0.0, "maybe": None, "n/a": None, None: None}),
         (X.number, {"1.5": 1.5, " 2 ": 2.0, "1e3": 1000.0, "1.0d": None, "nan": None, "1_000": None, "": None, None: None}),
@@ -42,12 +42,25 @@ def test_dates(spark):
         "1700000000": dt.datetime(2023, 11, 14, 22, 13, 20),
         "1700000000000": dt.datetime(2023, 11, 14, 22, 13, 20),
         "5 Jan 2024": day,
+        "5 January 2024": day,
+        "January 5, 2024": day,
+        "Sept. 5, 2024": dt.datetime(2024, 9, 5),
+        "05-Jan-2024 10:20": dt.datetime(2024, 1, 5, 10, 20),
+        "2024-01-05 10:20:30.25": dt.datetime(2024, 1, 5, 10, 20, 30, 250000),
+        "2024-01-05T10:20": dt.datetime(2024, 1, 5, 10, 20),
+        "at 2024/01/05 03:20PM": dt.datetime(2024, 1, 5, 15, 20),
+        "2024-01-05 12:20:30 am": dt.datetime(2024, 1, 5, 0, 20, 30),
+        "05-01-2024 10:20": dt.datetime(2024, 1, 5, 10, 20),
+        "13-01-2024": dt.datetime(2024, 1, 13),
+        "2024-13-45": None,
         "garbage": None,
         "unknown": None,
         None: None,
     }
     assert column(spark, list(cases), X.parse_date) == list(cases.values())
-    assert column(spark, ["05/01/2024", "2024-01-05T00:00:00Z"], lambda c: X.to_datetime(c, day_first=True)) == [day, day]
+    assert column(spark, ["05/01/2024", "2024-01-05T00:00:00Z", "2024-01-05 00:00:00.5+0530"], lambda c: X.to_datetime(c, day_first=True)) == [day, day, day.replace(microsecond=500000)]
+    at = column(spark, ["10:30", "10:30:05 PM"], X.parse_date)
+    assert [(x.hour, x.minute, x.second) for x in at] == [(10, 30, 0), (22, 30, 5)] and at[0].date() == at[1].date()
 
 
 def test_scores(spark):

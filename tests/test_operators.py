@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import export, impute, names, patterns, quality, relations, scorecard, semantics, structure
 from tidemark.operators import issues as I
+from tidemark.functions import text as X
 from tidemark.operators import profile as P
 from tidemark.sources.stores import LearningMemory, QualityHistory, SemanticHistory
 
@@ -47,6 +48,47 @@ def test_profile(spark):
     assert set(P.intelligence(df)) == {"v", "s"}
 
 
+@pytest.mark.parametrize("most", [20_000, 5])
+def test_quantiles_are_exact(spark, monkeypatch, most):
+    """Against numpy, with ties and nulls, in one round and (few sorted values, few cuts) in several."""
+    import numpy as np
+
+    monkeypatch.setattr(P, "SORTED", most)
+    if most == 5:
+        monkeypatch.setattr(P, "CUTS", 20)
+    rng = np.random.default_rng(7)
+    data = {"a": rng.normal(size=997), "b": np.repeat([1.0, 2.0], [500, 497]), "c": np.full(997, 3.0), "d": np.floor(rng.exponential(2, 997)), "e": np.arange(997.0)}
+    df = spark.createDataFrame([(*(float(v[i]) for v in data.values()), None) for i in range(997)] + [(None,) * 6], "a double, b double, c double, d double, e double, f double")
+    points = [0.0, 0.01, 0.25, 0.5013, 0.99, 1.0]
+    found = P.quantiles_of(df, {c: F.col(c) for c in df.columns}, points)
+    for c, v in data.items():
+        assert found[c] == pytest.approx(np.quantile(v, points).tolist())
+    assert found["f"] is None and P.quantiles_of(df.limit(0), {"a": F.col("a")}, points) == {"a": None} and P.quantiles_of(df, {}, points) == {}
+
+
+def test_custom_pattern_that_java_refuses(spark):
+    """Python's named groups are no expression for Spark: such a pattern is left out, and the built-in rules stay."""
+    df = frame(spark, [("a@b.org",), ("a@b.org",), ("ab",)], "email string")
+    found = I.find(df, patterns.rules(df, {"email": {"regex": r"(?P<user>\w+)@.*"}}))
+    assert {r["issue"] for r in found.collect()} >= {"email pattern: invalid @ count"}
+
+
+def test_city_fill_and_null_tokens(spark):
+    df = frame(spark, [("Rome",), ("Rome",), ("Oslo",), ("unknown",), (None,)], "city string")
+    config = quality.Config(fill_city=True, required_ids=(), null_inflation=1e9)
+    out, _ = quality.apply(df, quality.fit(df, config), config)
+    assert [r["city"] for r in out.orderBy(I.ROW_ID).collect()][:4] == ["Rome", "Rome", "Oslo", "Rome"]
+    assert [r[0] for r in df.select(X.is_null_token(F.col("city"))).collect()] == [False, False, False, True, True]
+
+
+def test_fixes_and_limits(spark):
+    df = spark.createDataFrame([(" AbC ", "http://x")], "a string, b string")
+    got = df.select(patterns.fix_text(F.col("a"), "lowercase"), patterns.fix_text(F.col("b"), "replace_prefix", "https://", "http://"), patterns.fix_text(F.col("b"), "prepend", "http://")).first()
+    assert tuple(got) == ("abc", "https://x", "http://x")
+    forced = names.force_schema(df, {"b": "string", "c": "int"})
+    assert forced.columns == ["a", "b", "c"] and forced.first()["c"] is None
+
+
 def test_structure(spark):
     rows = [(f"N{i}", float(i) if i % 4 else None, f"2024-01-{i % 28 + 1:02d}", " Ann " if i % 2 else None) for i in range(40)]
     df = frame(spark, rows, "code string, v double, on string, who string")

@@ -146,3 +146,60 @@ def test_saved_options_and_unchanged_callers(spark, tmp_path):
     again = CleaningPipeline.load(str(tmp_path / "m.json"))
     assert again.options.numeric_tolerance == 2.5 and again.options.structure.id_words == ["kennung"] and again.options.quality.max_missing_rate == 0.3 and again.options.mode == "aggressive"
     assert again.options.custom_patterns == options.custom_patterns
+
+
+def test_advice_on_ambiguous_columns_of_each_data_set(spark):
+    """At transform an advisor is asked about ambiguous columns alone, and its failure is told."""
+    df = spark.createDataFrame([(f"P-{i}" if i % 10 else "odd one here", float(i % 7) + 0.25, i % 2 == 0) for i in range(60)], "stuff string, age double, flag boolean")
+    asked = []
+
+    class Advisor:
+        def advise(self, summary):
+            asked.append([s["column"] for s in summary])
+            return {"columns": {"stuff": {"semantic_type": "CATEGORY", "confidence": 0.9, "regex": r"P-\d+", "alias": "none of ours"}, "age": {"semantic_type": "TEXT", "confidence": 0.1}}}
+
+    p = CleaningPipeline(Options(), Advisor()).fit(df.drop("stuff").withColumnRenamed("age", "years old"))
+    plans = dict(p.plans["custom_patterns"])
+    result = p.transform(df)
+    told = result.report["stages"]["semantics"]
+    assert told["advisor"] == "ok" and asked[-1] == [c for c in told["asked"] if c in df.columns] and "stuff" in told["asked"] and "age" not in told["asked"]
+    assert result.issues.filter("stage = 'pattern' and column = 'stuff'").count() == 6
+    assert p.plans["custom_patterns"] == plans
+
+    class Failing:
+        def advise(self, summary):
+            raise OSError("away")
+
+    p.advisor = Failing()
+    assert p.transform(df).report["stages"]["semantics"]["advisor"] == "failed: away"
+
+
+def test_errors_in_rows_go_back_to_the_last_frame(spark, monkeypatch):
+    """An error that only shows when rows are made is met at the next boundary, and reported."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import relations
+
+    df = spark.createDataFrame([(float(i), f"k{i % 3}") for i in range(30)], "weight double, kind string")
+    p = CleaningPipeline().fit(df)
+
+    def broken(d, *_):
+        return d.withColumn("weight", F.when(F.col("weight") > 20, F.raise_error(F.lit("bad row")).cast("double")).otherwise(F.col("weight"))), None, {}
+
+    monkeypatch.setattr(relations, "apply", broken)
+    result = p.transform(df)
+    assert result.report["status"] == "partial_success" and result.report["stages"]["relations"]["status"] == "failed"
+    assert result.df.count() == 30 and result.report["rows"] == {"before": 30, "after": 30}
+    with pytest.raises(Exception, match="bad row"):
+        p.transform(df, strict=True)
+
+    monkeypatch.setattr(relations, "apply", lambda d, *_: (d.limit(3), None, {}))
+    result = p.transform(df)
+    assert "3 rows of 30" in result.report["stages"]["relations"]["error"] and result.df.count() == 30
+
+
+def test_size_warnings(spark):
+    from tidemark.plans.runner import size_warnings
+
+    df = spark.range(5)
+    assert size_warnings(df) == [] and size_warnings(df, most_rows=5) == ["the input has 5 rows"] and len(size_warnings(df, 1, 5, rows=9)) == 2

@@ -82,8 +82,7 @@ def parse_money(c: Column) -> Column:
     s = F.translate(s, "".join(MONEY_SIGNS), "")
     s = F.regexp_replace(s, rf"(?i)\b({'|'.join(x for x in MONEY_CODES if '.' not in x)})\b", "")
     s = F.replace(F.trim(s), F.lit(" "), F.lit(""))
-    s = F.regexp_replace(s, r",(?=[^.]*\.)|(?<=\.[0-9,.\-]{0,60}),", "")
-    s = F.replace(F.regexp_replace(s, r",([^,]{2})$", ".$1"), F.lit(","), F.lit(""))
+    s = let(s, lambda x: F.replace(F.when(x.contains("."), x).otherwise(F.regexp_replace(x, r",([^,]{2})$", ".$1")), F.lit(","), F.lit("")))
     return F.when(s.rlike(PLAIN_NUMBER), s.try_cast("double"))
 
 
@@ -102,35 +101,56 @@ def parse_bool(c: Column) -> Column:
     return F.when(s.isin(TRUE_WORDS), 1.0).when(s.isin(FALSE_WORDS), 0.0)
 
 
-#: Tried in this order, after the day-and-time forms; month before day where both fit.
-TIMED_FORMATS = ["yyyy-M-d H:m:s", "yyyy-M-d H:m", "d-M-yyyy H:m:s", "d-M-yyyy H:m", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "M/d/yyyy H:m:s", "M/d/yyyy H:m"]
-FREE_FORMATS = ["yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m", "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd"]
-DAY_FIRST_FORMATS = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy H:m:s", "d-M-yyyy H:m", "d-M-yyyy", "M-d-yyyy", "yyyy/M/d H:m:s", "yyyy/M/d", "d MMM yyyy"]
+#: A time after a date (or none), and the same with AM or PM.
+_TIME, _HALF = "[ H:m[:s[.SSSSSSSSS]]]", " h:m[:s[.SSSSSSSSS]]a"
 
-_DATE_PART = r"(\d{1,4}[-/]\d{1,2}[-/]\d{1,4}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?)"
+_DATE_PART = r"(?i)(\d{1,4}[-/]\d{1,2}[-/]\d{1,4}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?: ?[AP]M)?)?)"
 
 
-def first_format(s: Column, formats: list[str]) -> Column:
-    """Timestamp (without zone) by the first format that fits; null if none does."""
-    return let(s, lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats])).cast("timestamp_ntz")
+def by_shape(s: Column, day_first: bool = False) -> Column:
+    """Timestamp of a text in one of the known forms, null otherwise; the text's shape says which one or two to try.
+
+    Year first, day or month first (with - or /), eight digits, or a month's name, each
+    with or without a time.  Where day and month both fit, the month is first in a date
+    alone, and the day in a date with a time or if day_first.
+    """
+    s = F.regexp_replace(F.regexp_replace(s, r"(?<=\d)T(?=\d)", " "), r"(?i) ?([AP]M)$", "$1")
+    # Months by their first three letters, and one separator.
+    s = F.regexp_replace(F.regexp_replace(s, r"([A-Za-z]{3})[a-z]*\.?(?=[ ,\-/]|$)", "$1"), r"^(\w+)[-/ ](\w+)[-/, ]+(\w+)", "$1-$2-$3")
+
+    def found(x: Column) -> Column:
+        half, timed = x.rlike("(?i)[AP]M$"), x.contains(":")
+
+        def at(days: str) -> Column:
+            return F.when(half, F.try_to_timestamp(x, F.lit(days + _HALF))).otherwise(F.try_to_timestamp(x, F.lit(days + _TIME)))
+
+        day, month = at("d-M-yyyy"), at("M-d-yyyy")
+        either = F.coalesce(day, month) if day_first else F.when(timed, F.coalesce(day, month)).otherwise(F.coalesce(month, day))
+        return (
+            F.when(x.rlike(r"^\d{4}-\d"), at("yyyy-M-d"))
+            .when(x.rlike(r"^\d{1,2}-\d{1,2}-\d{4}"), either)
+            .when(x.rlike(r"^\d{8}$"), F.try_to_timestamp(x, F.lit("yyyyMMdd")))
+            .when(x.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}"), at("d-MMM-yyyy"))
+            .when(x.rlike(r"^[A-Za-z]{3}-\d{1,2}-\d{4}"), at("MMM-d-yyyy"))
+        )
+
+    return let(s, found).cast("timestamp_ntz")
 
 
 def to_datetime(c: Column, kind: T.DataType | None = None, day_first: bool = False) -> Column:
     """Timestamp of a date-like column; null where it is none."""
     if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
         return c.cast("timestamp_ntz")
-    s = F.regexp_replace(strip(c), r"(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$", "") if day_first else strip(c)
-    s = F.when(s.rlike(r"\d.*[-/ ].*\d|^\d{8}$"), s)
-    return first_format(s, DAY_FIRST_FORMATS if day_first else [*TIMED_FORMATS, *FREE_FORMATS])
+    return by_shape(F.regexp_replace(strip(c), r"(?<=:\d{2}(\.\d{1,9})?)(Z|[+-]\d{2}:?\d{2})$", "") if day_first else strip(c), day_first)
 
 
 def parse_date(c: Column) -> Column:
     """Timestamp of a text in one of many forms, of epoch seconds or milliseconds, or of a spreadsheet's day number.
 
-    Zone names and offsets are dropped; a date within other text is found.  A closed list
-    of formats is tried in order for each value.
+    Zone names and offsets are dropped; a date within other text is found; a time alone
+    is one of today.
     """
-    s = F.trim(F.regexp_replace(strip(c), "[  -​]+", " "))
+    s = F.trim(F.regexp_replace(strip(c), "[\u00a0\u2000-\u200b]+", " "))
     s = F.regexp_replace(s, r"(?i)\b(IST|UTC|GMT|CST|EST|PST|AEST|AEDT|JST|MSK|NZST|NZDT)\b", "")
     s = F.trim(F.regexp_replace(s, r"[+-]\d{2}:\d{2}(?=\s|$)", ""))
     s = F.coalesce(F.nullif(F.regexp_extract(s, _DATE_PART, 1), F.lit("")), s)
@@ -142,8 +162,8 @@ def parse_date(c: Column) -> Column:
             .when(n.between(1_000_000_000_000, 2_000_000_000_000), F.timestamp_millis(F.floor(n)))
             .when(n.between(20000, 60000), F.timestamp_seconds(F.round((n - 25569) * 86400)))
         )
-        text = F.when(x.rlike(r"^\d{1,4}[-/ ]|^[A-Za-z]{3} \d|^\d{8}$"), x)
-        return F.coalesce(by_number, *[F.try_to_timestamp(text, F.lit(f)) for f in [*TIMED_FORMATS, *FREE_FORMATS]])
+        dated = F.when(x.rlike(r"(?i)^\d{1,2}:\d{2}(:\d{2})?(\.\d+)?( ?[AP]M)?$"), F.concat(F.current_date().cast("string"), F.lit(" "), x)).otherwise(x)
+        return F.coalesce(by_number.cast("timestamp_ntz"), by_shape(dated))
 
     return let(s, found).cast("timestamp_ntz")
 

@@ -52,8 +52,9 @@ def group_columns(df: DataFrame, most: int = 3) -> list[str]:
 def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """1 % and 99 % quantiles, or the extremes where those are equal."""
     numbers = {c: X.number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns}
-    q = P.measure(df, {(c, k): e for c, x in numbers.items() for k, e in (("q", F.percentile(x, F.array(F.lit(0.01), F.lit(0.99)))), ("min", F.min(x)), ("max", F.max(x)))})
-    return {c: tuple(v["q"]) if v["q"][0] != v["q"][1] else (v["min"], v["max"]) for c, v in q.items() if v["q"] is not None}
+    quantiles = P.quantiles_of(df, numbers, [0.01, 0.99])
+    ends = P.measure(df, {(c, k): e for c, q in quantiles.items() if q and q[0] == q[1] for k, e in (("min", F.min(numbers[c])), ("max", F.max(numbers[c])))})
+    return {c: (ends[c]["min"], ends[c]["max"]) if c in ends else tuple(q) for c, q in quantiles.items() if q is not None}
 
 
 def clip_to(x: Column, low: float, high: float) -> Column:
@@ -198,15 +199,16 @@ def apply(df: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFram
         if not left[c]["n"]:
             continue
         if features:
-            near = nearest(frozen, c, features, config.k)
+            # Kept, as several jobs read it; one row for each gap.
+            near = nearest(frozen, c, features, config.k).persist()
             df = df.join(near, I.ROW_ID, "left")
             value = clip_to(F.col("__knn"), *limits[c])
             gap = F.col(f"`{c}`").isNull() & F.col("__knn").isNotNull()
             parts.append(I.find(df, [I.Rule(gap, c, "imputation", "info", "filled missing value using kNN (numeric similarity)", CONFIDENCE["knn_numeric"], f"'{c}' takes the median of the {config.k} rows whose other numbers are closest.", {"method": "knn_numeric", "k": config.k, "filled_value": value}, {"action": "filled"})]))
             df = df.withColumn(c, F.coalesce(F.col(f"`{c}`"), value.cast(df.schema[c].dataType))).drop("__knn")
-        median = df.select(F.median(X.number(F.col(f"`{c}`"), df.schema[c].dataType))).first()[0]
-        if median is not None:
-            value = max(limits[c][0], min(limits[c][1], median))
+        middle = P.quantiles_of(df, {c: X.number(F.col(f"`{c}`"), df.schema[c].dataType)}, [0.5])[c]
+        if middle is not None:
+            value = max(limits[c][0], min(limits[c][1], middle[0]))
             parts.append(I.find(df, [I.Rule(F.col(f"`{c}`").isNull(), c, "imputation", "info", "filled missing value using global median (fallback)", CONFIDENCE["global_median"], f"'{c}' takes the median of the whole column: no group and no similar row gave a value.", {"method": "global_median", "filled_value": str(value)}, {"action": "filled"})]))
             df = df.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.lit(value).cast(df.schema[c].dataType)))
     return df.select(*[f"`{c}`" for c in order]), I.union(spark, parts), {"enabled": True, "groups": keys, "skipped_sparse": sparse, "confidence": CONFIDENCE, "filled_columns": wanted}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -78,15 +79,86 @@ def top_values(counts: DataFrame, k: int = 5) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def mode_of(df: DataFrame, names: list[str]) -> dict[str, object]:
-    """The most frequent value of each column, the smallest on ties; None for a column of nulls."""
-    return {c: v["mode"] for c, v in measure(df, {(c, "mode"): F.mode(F.col(f"`{c}`"), True) for c in names}).items()}
+def mode_of(df: DataFrame, names: list[str]) -> dict[str, str | None]:
+    """The most frequent value (as text) of each column, the smallest on ties; None for a column of nulls."""
+    if not names:
+        return {}
+    best = value_counts(df, names).groupBy("column").agg(F.min(F.struct((-F.col("count")).alias("n"), "value")).alias("best"))
+    found = {r["column"]: r["best"]["value"] for r in best.collect()}
+    return {c: found.get(c) for c in names}
+
+
+#: Cuts that a round of quantiles_of makes, accuracy of those, and values that it sorts in one task at most.
+CUTS, CUT_ACCURACY, SORTED = 500, 5000, 20_000
 
 
 def quantiles_of(df: DataFrame, numbers: dict[str, Column], points: list[float]) -> dict[str, list[float] | None]:
-    """Exact quantiles, linear between ranks, of all given columns in one pass."""
-    found = measure(df, {(c, "q"): F.percentile(x, F.array(*[F.lit(p) for p in points])) for c, x in numbers.items()})
-    return {c: v["q"] for c, v in found.items()}
+    """Exact quantiles, linear between ranks; None for a column without values.
+
+    The first job counts values and cuts them by a sketch.  Each later one counts the
+    values up to the two cuts around a wanted rank, and sorts those between where they
+    are sure to be few, or else cuts them again.  So no task holds more than SORTED values
+    of a column, and two jobs do up to some million rows, one more for each hundredfold.
+    """
+    if not numbers:
+        return {}
+    numbers = {c: x.cast("double") for c, x in numbers.items()}
+    shares = F.expr(f"array({', '.join(f'{i / CUTS}D' for i in range(CUTS + 1))})")
+    first = measure(df, {(c, k): e for c, x in numbers.items() for k, e in (("n", F.count(x)), ("cuts", F.percentile_approx(x, shares, F.lit(CUT_ACCURACY))))})
+    out: dict[tuple[str, float], float] = {}
+    slack = dict.fromkeys(((c, p) for c, v in first.items() if v["n"] for p in points), 2)
+
+    def start_of(c: str, p: float) -> tuple[float, float, int]:
+        n = first[c]["n"]
+        return _around(first[c]["cuts"], None, None, p * (n - 1) / n, p * (n - 1) / n, n, slack[(c, p)])
+
+    todo = {key: start_of(*key) for key in slack}
+    while todo:
+        wanted = {}
+        for (c, p), (low, high, most) in todo.items():
+            x, key = numbers[c], f"{c}\0{p}"
+            within = F.when((x > low) & (x < high), x)
+            ranks = _ranks(p, first[c]["n"])
+            below, same, inside = F.count_if(x < low), F.count_if(x == low), F.count(within)
+            wanted |= {(key, "below"): below, (key, "same"): same, (key, "inside"): inside, (key, "above"): F.count_if(x > high)}
+            if most <= SORTED:
+                listed = F.sort_array(F.collect_list(within))
+                wanted[(key, "values")] = F.array(*[F.when((F.lit(k) >= below + same) & (F.lit(k) < below + same + inside), F.try_element_at(listed, (F.lit(k) - below - same + 1).cast("int"))) for k in ranks])
+            else:
+                wanted[(key, "cuts")] = F.percentile_approx(within, shares, F.lit(CUT_ACCURACY))
+        found = measure(df, wanted)
+        left = {}
+        for (c, p), (low, high, most) in todo.items():
+            m = found[f"{c}\0{p}"]
+            ranks = _ranks(p, first[c]["n"])
+            start = m["below"] + m["same"]
+            if ranks[0] < m["below"] or ranks[1] >= first[c]["n"] - m["above"]:
+                # The sketch was further out than it should be: begin again between cuts further apart.
+                slack[(c, p)] *= 8
+                left[(c, p)] = start_of(c, p)
+                continue
+            values = [low if k < start else high if k >= start + m["inside"] else m["values"][i] if "values" in m else None for i, k in enumerate(ranks)]
+            if None in values:
+                places = [min(1.0, max(0.0, (k - start) / m["inside"])) for k in ranks]
+                left[(c, p)] = _around(m["cuts"], low if ranks[0] < start else None, high if ranks[1] >= start + m["inside"] else None, *places, m["inside"], slack[(c, p)])
+            else:
+                at = p * (first[c]["n"] - 1)
+                a, b = values
+                out[(c, p)] = a if a == b else (ranks[1] - at) * a + (at - ranks[0]) * b
+        todo = left
+    return {c: [out[(c, p)] for p in points] if first[c]["n"] else None for c in numbers}
+
+
+def _ranks(point: float, n: int) -> tuple[int, int]:
+    """The ranks on either side of a quantile."""
+    at = point * (n - 1)
+    return math.floor(at), math.ceil(at)
+
+
+def _around(cuts: list[float], low: float | None, high: float | None, a: float, b: float, n: int, slack: int) -> tuple[float, float, int]:
+    """Cuts (or given ends) some steps beyond shares a and b, and the most values that can lie between them."""
+    i, j = max(0, math.floor(a * CUTS) - slack), min(CUTS, math.ceil(b * CUTS) + slack)
+    return cuts[i] if low is None else low, cuts[j] if high is None else high, math.ceil(n * (j - i + 2) / CUTS)
 
 
 @dataclass
@@ -127,31 +199,33 @@ def iqr_bounds(df: DataFrame, numbers: dict[str, Column], factor: float = 1.5) -
     return out
 
 
-def profile(df: DataFrame, top: int = 5) -> list[ColumnProfile]:
+def profile(df: DataFrame, top: int = 5, frequencies: bool = True, moments: bool = True) -> list[ColumnProfile]:
     """A profile of each column: counts, frequent values, and moments and outliers of numbers.
 
-    Three jobs whatever the number of columns.  Outliers are counted from 5 values on and
+    A few jobs whatever the number of columns; without frequencies no values are counted,
+    without moments no numbers are measured.  Outliers are counted from 5 values on and
     where the quartiles differ.
     """
     fields = columns_of(df)
     names = [f.name for f in fields]
-    numbers = {f.name: X.number(F.col(f"`{f.name}`"), f.dataType) for f in fields if is_numeric(f)}
-    wanted = {(c, "known"): F.count(F.col(f"`{c}`")) for c in names}
+    numbers = {f.name: X.number(F.col(f"`{f.name}`"), f.dataType) for f in fields if is_numeric(f) and moments}
+    wanted = {("", "rows"): F.count("*")} | {(c, "known"): F.count(F.col(f"`{c}`")) for c in names}
     for c, x in numbers.items():
-        wanted |= {(c, "min"): F.min(x), (c, "max"): F.max(x), (c, "mean"): F.avg(x), (c, "std"): F.stddev_samp(x), (c, "q"): F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))}
-    rows = df.count()
+        wanted |= {(c, "min"): F.min(x), (c, "max"): F.max(x), (c, "mean"): F.avg(x), (c, "std"): F.stddev_samp(x)}
     seen = measure(df, wanted)
-    counts = value_counts(df).persist()
-    unique = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    rows = seen.pop("")["rows"]
+    unique: dict[str, int] = {}
     tops: dict[str, list] = {}
-    for r in top_values(counts, top).orderBy("column", "rank").collect():
-        tops.setdefault(r["column"], []).append((r["value"], r["count"]))
-    counts.unpersist()
+    if frequencies and names:
+        counts = value_counts(df).persist()
+        unique = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count("*").alias("n")).collect()}
+        for r in top_values(counts, top).orderBy("column", "rank").collect():
+            tops.setdefault(r["column"], []).append((r["value"], r["count"]))
+        counts.unpersist()
     spread = {}
-    for c, x in numbers.items():
-        q = seen[c]["q"]
-        if q is not None and seen[c]["known"] >= 5 and q[1] > q[0]:
-            spread[(c, "outliers")] = iqr_outliers(x, q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0]))
+    for c, q in quantiles_of(df, {c: x for c, x in numbers.items() if seen[c]["known"] >= 5}, [0.25, 0.75]).items():
+        if q is not None and q[1] > q[0]:
+            spread[(c, "outliers")] = iqr_outliers(numbers[c], q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0]))
     outliers = measure(df, spread)
     return [
         ColumnProfile(

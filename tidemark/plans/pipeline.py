@@ -95,6 +95,8 @@ class CleaningPipeline:
         """Cleaned df, issues of all stages, and a report by stage.
 
         A stage that fails leaves the frame as the stage before it made it (an error if strict).
+        After the stages of BOUNDARIES the frame is made and its rows counted; an error in
+        rows, or a changed number of them, goes back to the last frame that was made.
         """
         if self.plans is None:
             raise RuntimeError("fit the pipeline first")
@@ -103,7 +105,29 @@ class CleaningPipeline:
         df = ingest(df)
         spark = df.sparkSession
         found: list[DataFrame] = []
-        report: dict = {"stages": {}, "status": "success", "advisor": plans["advisor"], "input_warnings": P.input_warnings(df)}
+        rows = row_count(df)
+        report: dict = {"stages": {}, "status": "success", "advisor": plans["advisor"], "input_warnings": P.input_warnings(df), "rows": {"before": rows}}
+        advice, custom = dict(plans["advice"]), dict(plans["custom_patterns"])
+
+        def stage_semantics(df):
+            """Asks about the columns of this data set that no rule is sure of, where there is an advisor."""
+            told = {}
+            history = SemanticHistory(o.history_path) if o.history_path else None
+            if self.advisor:
+                decided = semantics.decide(df, o.semantics, history, advice)
+                asked = [c for c, d in decided.items() if d["ambiguous"]]
+                told = {"asked": asked, "advisor": "off"}
+                if asked:
+                    try:
+                        given = A.safe(self.advisor.advise(A.ambiguous_only(P.dataset_summary(df), asked)), asked)
+                        advice.update(given["columns"])
+                        # Patterns that the user gave stay in force.
+                        custom.update({c: s for c, s in A.overrides(given)["custom_patterns"].items() if c not in o.custom_patterns})
+                        told["advisor"] = "ok"
+                    except Exception as e:  # as at fit: told, not raised
+                        told["advisor"] = f"failed: {e}"
+            out, issues, more = semantics.apply(df, o.semantics, history, advice)
+            return out, issues, more | told
 
         def stage_names(df):
             raw = [c for c in df.columns if c != P.ROW_ID]
@@ -120,12 +144,13 @@ class CleaningPipeline:
             "names": stage_names,
             "structure": lambda d: _middle(structure.apply(d, structure.load(plans["structure"]), o.structure)),
             "quality": stage_quality,
-            "semantics": lambda d: semantics.apply(d, o.semantics, SemanticHistory(o.history_path) if o.history_path else None, plans["advice"]),
+            "semantics": stage_semantics,
             "relations": lambda d: relations.apply(d, o.date_tolerance, o.numeric_tolerance),
-            "patterns": lambda d: patterns.apply(d, plans["custom_patterns"], o.fix_patterns),
+            "patterns": lambda d: patterns.apply(d, custom, o.fix_patterns),
             "impute": lambda d: impute.apply(d, o.impute),
             "export": lambda d: _middle(export.apply(d)) if o.export_dates else (d, None, {}),
         }
+        made, kept = df, 0
         for i, (name, run) in enumerate(stages.items()):
             if progress:
                 progress(name, i / len(stages))
@@ -134,17 +159,27 @@ class CleaningPipeline:
                 changed = names.differences(df.columns, out.columns)
                 if name != "names" and (changed["dropped"] or changed["new"] or changed["order_changed"]) and not o.structure.force_schema:
                     raise ValueError(f"stage {name} changed the columns: {changed}")
-                df = boundary(out) if name in BOUNDARIES else out
+                if name in BOUNDARIES:
+                    out = boundary(out)
+                    if (now := row_count(out)) != rows:
+                        raise ValueError(f"stage {name} made {now} rows of {rows}")
+                df = out
                 report["stages"][name] = told | {"status": "success"}
                 if issues is not None:
                     found.append(issues)
+                if name in BOUNDARIES:
+                    made, kept = df, len(found)
             except Exception as e:
                 if strict:
                     raise
+                if name in BOUNDARIES:
+                    # Any stage since the last frame may be at fault, and its issues rest on rows that cannot be made.
+                    df, found = made, found[:kept]
                 report["status"] = "partial_success"
                 report["stages"][name] = {"status": "failed", "error": str(e)}
         if progress:
             progress("done", 1.0)
+        report["rows"]["after"] = row_count(df)
         report["columns"] = {"before": before.columns, "after": [c for c in df.columns if c != P.ROW_ID]}
         self.last_report = report
         return Result(df, I.distinct(I.union(spark, found)), report)

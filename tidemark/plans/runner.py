@@ -16,10 +16,11 @@ from ..sources.stores import QualityHistory
 from .pipeline import CleaningPipeline, Options, without_row_id
 
 
-def size_warnings(df: DataFrame, most_bytes: int = 500 << 20) -> list[str]:
-    """A warning when Spark expects a large input: results that are collected may not fit."""
+def size_warnings(df: DataFrame, most_bytes: int = 500 << 20, most_rows: int = 2_000_000, rows: int | None = None) -> list[str]:
+    """Warnings of a large input, by Spark's estimate of its bytes and by its rows (counted unless given): results that are collected may not fit."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return [f"the input is estimated at {size / 1e6:.0f} MB"] if size > most_bytes else []
+    n = df.count() if rows is None else rows
+    return [f"the input is estimated at {size / 1e6:.0f} MB"] * (size > most_bytes) + [f"the input has {n} rows"] * (n >= most_rows)
 
 
 def clean_and_score(df: DataFrame, pipeline: CleaningPipeline, history: QualityHistory | None = None, progress=None) -> dict:
@@ -28,7 +29,7 @@ def clean_and_score(df: DataFrame, pipeline: CleaningPipeline, history: QualityH
     issues = result.issues.persist()
     rows, whole = I.split(issues)
     card = scorecard.score(result.df, issues, history)
-    return {"cleaned": without_row_id(result.df), "issues": issues, "row_issues": rows, "global_issues": whole, "scorecard": card, "report": result.report, "warnings": size_warnings(df)}
+    return {"cleaned": without_row_id(result.df), "issues": issues, "row_issues": rows, "global_issues": whole, "scorecard": card, "report": result.report, "warnings": size_warnings(df, rows=result.report["rows"]["before"])}
 
 
 def with_timeout(spark: SparkSession, seconds: float | None, f):

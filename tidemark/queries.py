@@ -63,13 +63,13 @@ def _plain(issues: DataFrame) -> DataFrame:
 
 @query(_per_column(f"SELECT '{{c}}' AS column_name, count(*) AS n_rows, count(*) - count({{c}}) AS missing, round((count(*) - count({{c}})) * 100.0 / count(*), 4) AS missing_percent FROM {_ORDERS}").replace("* 100.0", "* CAST(100 AS DOUBLE)"))
 def profile_nulls(spark, sf_dir):
-    found = P.profile(_orders(spark, sf_dir))
+    found = P.profile(_orders(spark, sf_dir), frequencies=False, moments=False)
     return spark.createDataFrame([(p.column, p.rows, p.missing, p.missing_percent) for p in found], "column_name string, n_rows long, missing long, missing_percent double").withColumn("missing_percent", F.round("missing_percent", 4))
 
 
 @query(_per_column(f"SELECT '{{c}}' AS column_name, count(DISTINCT {{c}}) AS n_unique, round((CAST(1 AS DOUBLE) - count(DISTINCT {{c}}) / CAST(count({{c}}) AS DOUBLE)) * 100, 4) AS duplicate_percent FROM {_ORDERS}"))
 def profile_unique(spark, sf_dir):
-    found = P.profile(_orders(spark, sf_dir))
+    found = P.profile(_orders(spark, sf_dir), moments=False)
     return spark.createDataFrame([(p.column, p.unique, p.duplicate_percent) for p in found], "column_name string, n_unique long, duplicate_percent double").withColumn("duplicate_percent", F.round("duplicate_percent", 4))
 
 
@@ -411,6 +411,37 @@ def semantic_issues(spark, sf_dir):
     return _plain(I.find(df, semantics.rules(df, semantics.decide(df))))
 
 
+@query("SELECT row, CASE WHEN age < 0 THEN NULL WHEN age % 1 <> 0 THEN round_even(age, 0) ELSE age END AS age FROM (SELECT l_orderkey * 10 + l_linenumber AS row, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_orderkey % 200 = 3 THEN -l_quantity ELSE l_quantity + CASE WHEN l_linenumber = 6 THEN 0.5 ELSE 0 END END AS age FROM lineitem)")
+def semantic_repairs(spark, sf_dir):
+    """Ages below 0 become null (few enough for the guard of nulls), halves whole."""
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    age = F.when(n == 7, None).when(k % 200 == 3, -F.col("l_quantity")).otherwise(F.col("l_quantity") + F.when(n == 6, 0.5).otherwise(0.0))
+    df = _table(spark, sf_dir, "lineitem").select((k * 10 + n).alias(I.ROW_ID), age.alias("age"))
+    out, _, _ = semantics.apply(df)
+    return out.withColumnRenamed(I.ROW_ID, "row")
+
+
+@query(f"WITH o AS (SELECT * FROM {_ORDERS}), m AS (" + _per_column("SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, count(*) AS n FROM o") + ") SELECT column_name, missing, round(missing * CAST(100 AS DOUBLE) / n, 2) AS percent FROM m")
+def missing_by_column(spark, sf_dir):
+    found = scorecard.missing_by_column(_orders(spark, sf_dir))
+    return spark.createDataFrame([(m["column"], m["missing"], m["percent"]) for m in found], "column_name string, missing long, percent double")
+
+
+@query("SELECT 'c_mktsegment' AS column_name, 0 AS rank UNION ALL SELECT 'nation', 1")
+def group_columns(spark, sf_dir):
+    """Columns that may group rows for imputation: few distinct values, the fewest first."""
+    c = _table(spark, sf_dir, "customer")
+    df = c.select(F.col("c_custkey").alias(I.ROW_ID), "c_name", F.concat(F.lit("nation "), F.col("c_nationkey")).alias("nation"), "c_mktsegment", "c_acctbal")
+    return spark.createDataFrame(list(enumerate(impute.group_columns(df))), "rank int, column_name string")
+
+
+@query("SELECT 'l_quantity' AS column_name, quantile_cont(l_quantity, 0.01) AS low, quantile_cont(l_quantity, 0.99) AS high FROM lineitem UNION ALL SELECT 'l_extendedprice', quantile_cont(l_extendedprice, 0.01), quantile_cont(l_extendedprice, 0.99) FROM lineitem UNION ALL SELECT 'flag', min(flag), max(flag) FROM (SELECT CASE WHEN l_orderkey % 10000 = 77 THEN 1 ELSE 0 END + CAST(0 AS DOUBLE) AS flag FROM lineitem)")
+def impute_bounds(spark, sf_dir):
+    """Quantiles that filled values are clipped to; the extremes of a column that is nearly constant."""
+    li = _table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", F.when(F.col("l_orderkey") % 10000 == 77, 1.0).otherwise(0.0).alias("flag"))
+    return spark.createDataFrame([(c, *b) for c, b in impute.bounds(li, li.columns).items()], "column_name string, low double, high double")
+
+
 @query()
 def semantic_candidates(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
@@ -432,12 +463,28 @@ def group_median_impute(spark, sf_dir):
     return joined.select(F.col(I.ROW_ID).alias("o_orderkey"), F.round(filled, 4).alias("price"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS filled, CAST(0 AS BIGINT) AS still_missing FROM orders WHERE o_orderkey % 7 = 0")
+_CASCADE = "(SELECT c_custkey AS id, CASE WHEN c_custkey <= 8 THEN 'tiny' ELSE c_mktsegment END AS seg, CASE WHEN c_custkey % 7 <> 0 AND c_custkey <> 3 THEN c_acctbal END AS v, CASE WHEN c_custkey <> 7 THEN CAST(c_nationkey AS DOUBLE) END AS f FROM customer)"
+
+
+@query(f"""WITH d AS (SELECT * FROM {_CASCADE}), q AS (SELECT quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM d),
+g AS (SELECT seg, count(*) AS n, median(v) AS m FROM d GROUP BY seg),
+s AS (SELECT id, d.seg, f, v IS NULL AS gap, coalesce(v, CASE WHEN n >= 10 THEN least(greatest(m, a), b) END) AS v FROM d JOIN g ON d.seg = g.seg, q),
+o AS (SELECT s.id, t.v, row_number() OVER (PARTITION BY s.id ORDER BY abs(s.f - t.f), t.id) AS r FROM s, s t WHERE s.v IS NULL AND s.f IS NOT NULL AND t.v IS NOT NULL AND t.f IS NOT NULL),
+k AS (SELECT id, median(v) AS m FROM o WHERE r <= 5 GROUP BY id),
+w AS (SELECT s.id, s.gap, s.v IS NOT NULL AS grouped, k.m IS NOT NULL AS near, coalesce(s.v, CASE WHEN k.m IS NOT NULL THEN least(greatest(k.m, a), b) END) AS v FROM s LEFT JOIN k ON s.id = k.id, q)
+SELECT id AS c_custkey, round(coalesce(v, (SELECT least(greatest(median(v), max(a)), max(b)) FROM w, q)), 4) AS value, CASE WHEN gap THEN CASE WHEN grouped THEN 'group_median' WHEN near THEN 'knn_numeric' ELSE 'global_median' END END AS method FROM w""")
 def impute_cascade(spark, sf_dir):
-    o = _orders(spark, sf_dir).select(I.ROW_ID, "o_orderstatus", "o_custkey", "o_totalprice")
-    out, found, _ = impute.apply(o)
-    filled = found.filter(F.col("issue").startswith("filled")).agg(F.count("*").alias("filled"))
-    return filled.join(out.agg(F.count_if(F.col("o_totalprice").isNull()).alias("still_missing")))
+    """Every row's value and how it was found: most gaps by group, a small group's by neighbours, one without numbers by the median."""
+    k = F.col("c_custkey")
+    df = _table(spark, sf_dir, "customer").select(
+        k.alias(I.ROW_ID),
+        F.when(k <= 8, "tiny").otherwise(F.col("c_mktsegment")).alias("seg"),
+        F.when((k % 7 != 0) & (k != 3), F.col("c_acctbal")).alias("v"),
+        F.when(k != 7, F.col("c_nationkey").cast("double")).alias("f"),
+    )
+    out, found, _ = impute.apply(df)
+    how = found.filter((F.col("column") == "v") & F.col("issue").startswith("filled")).select(F.col("row").alias("c_custkey"), F.col("details")["method"].alias("method"))
+    return out.select(F.col(I.ROW_ID).alias("c_custkey"), F.round("v", 4).alias("value")).join(how, "c_custkey", "left")
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS t, CAST(s_nationkey AS DOUBLE) AS f FROM supplier),
