@@ -48,9 +48,9 @@ def test_profile(spark):
     assert set(P.intelligence(df)) == {"v", "s"}
 
 
-@pytest.mark.parametrize("most", [20_000, 5])
+@pytest.mark.parametrize("most", [20_000, 300, 5])
 def test_quantiles_are_exact(spark, monkeypatch, most):
-    """Against numpy, with ties and nulls, in one round and (few sorted values, few cuts) in several."""
+    """Against numpy, with ties and nulls, sorted at once, in one round, and (few sorted values, few cuts) in several."""
     import numpy as np
 
     monkeypatch.setattr(P, "SORTED", most)

@@ -95,18 +95,21 @@ CUTS, CUT_ACCURACY, SORTED = 500, 5000, 20_000
 def quantiles_of(df: DataFrame, numbers: dict[str, Column], points: list[float]) -> dict[str, list[float] | None]:
     """Exact quantiles, linear between ranks; None for a column without values.
 
-    The first job counts values and cuts them by a sketch.  Each later one counts the
-    values up to the two cuts around a wanted rank, and sorts those between where they
-    are sure to be few, or else cuts them again.  So no task holds more than SORTED values
-    of a column, and two jobs do up to some million rows, one more for each hundredfold.
+    The first job counts values and cuts them by a sketch.  Columns of at most SORTED
+    values are then sorted.  For the others, each later job counts the values up to the
+    two cuts around a wanted rank, and sorts those between where they are sure to be few,
+    or else cuts them again.  So no task holds more than SORTED values of a column, and
+    two jobs do up to some million rows, one more for each hundredfold.
     """
     if not numbers:
         return {}
     numbers = {c: x.cast("double") for c, x in numbers.items()}
     shares = F.expr(f"array({', '.join(f'{i / CUTS}D' for i in range(CUTS + 1))})")
     first = measure(df, {(c, k): e for c, x in numbers.items() for k, e in (("n", F.count(x)), ("cuts", F.percentile_approx(x, shares, F.lit(CUT_ACCURACY))))})
-    out: dict[tuple[str, float], float] = {}
-    slack = dict.fromkeys(((c, p) for c, v in first.items() if v["n"] for p in points), 2)
+    few = {c for c, v in first.items() if 0 < v["n"] <= SORTED}
+    sorted_at_once = measure(df, {(c, "q"): F.percentile(numbers[c], F.array(*[F.lit(p) for p in points])) for c in few})
+    out = {(c, p): q for c, v in sorted_at_once.items() for p, q in zip(points, v["q"], strict=True)}
+    slack = dict.fromkeys(((c, p) for c, v in first.items() if v["n"] > SORTED for p in points), 2)
 
     def start_of(c: str, p: float) -> tuple[float, float, int]:
         n = first[c]["n"]
