@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, fresh, map_arrow, stash
@@ -186,7 +186,7 @@ def tile_keys(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
-    """doc_id, node, n, bits, tiles of every document: node is a hash of its set (null if empty).
+    """doc_id, node, n, key, bits, tiles of every row of docs(doc_id, text, key): node is a hash of its set (null if empty).
 
     bits and tiles are given with the first document of a node in each task, else null.
     """
@@ -211,11 +211,11 @@ def shingled(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
                 rows.append((doc_id, node, len(s), bitmap(s), tile_keys(s, threshold).view(np.int64)))
             doc_ids, nodes, sizes, bits, tiles = zip(*rows, strict=True)
             nodes = pa.array([None if x is None else x - (x >> 63 << 64) for x in nodes], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), nodes, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(tiles, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "bits", "tiles"])
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), nodes, pa.array(sizes, pa.int64()), batch.column(2), pa.array(bits, pa.binary()), pa.array(tiles, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "key", "bits", "tiles"])
 
         return step
 
-    return map_arrow(docs, make, "doc_id long, node long, n long, bits binary, tiles array<long>")
+    return map_arrow(docs, make, "doc_id long, node long, n long, key long, bits binary, tiles array<long>")
 
 
 def _membership(nodes: DataFrame) -> DataFrame:
@@ -289,44 +289,44 @@ FILTER_BITS = 1 << 26
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, shingles binary (sorted) of the wanted nodes, from another pass over the texts.
+    """node, shingles binary (sorted) of the wanted (node, key), from another pass over docs(text, key).
 
-    A bitmap of the wanted nodes' hashes, of bounded size, spares most other nodes the
-    shuffle; the join is what decides.
+    key is a hash of the whole text.  A bitmap of the wanted keys, of bounded size, spares
+    most other texts the shingling and the shuffle; the join of nodes is what decides.
     """
     count = wanted.count()
     size = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
-    words = wanted.groupBy(F.shiftright(F.col("node").bitwiseAND(size - 1), 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toPandas()
+    words = wanted.groupBy(F.shiftright(F.col("key").bitwiseAND(size - 1), 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toPandas()
     mask = np.zeros(size // 64, np.int64)
     mask[words["at"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(mask.view(_U))
 
     def make():
         words = shared.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
 
         def step(batch):
-            rows = []
-            for text in batch.column(0).to_pylist():
-                s = shingle_hashes(text, width)
-                if not len(s):
+            keys = batch.column(1).to_numpy()
+            at = keys.view(_U) & _U(size - 1)
+            asked = np.flatnonzero(words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1))
+            nodes, raws = [], []
+            for key, text in zip(keys[asked].tolist(), batch.column(0).take(pa.array(asked)).to_pylist(), strict=True):
+                copy = (key, len(text or ""))
+                if copy in seen:
                     continue
-                raw = s.tobytes()
-                node = xxhash.xxh3_64_intdigest(raw)
-                at = node & (size - 1)
-                if node not in seen and int(words[at >> 6]) >> (at & 63) & 1:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(node)
-                    rows.append((node - (node >> 63 << 64), raw))
-            if not rows:
-                return None
-            nodes, raws = zip(*rows, strict=True)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(copy)
+                s = shingle_hashes(text, width)
+                if len(s):
+                    raws.append(s.tobytes())
+                    node = xxhash.xxh3_64_intdigest(raws[-1])
+                    nodes.append(node - (node >> 63 << 64))
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raws, pa.binary())], names=["node", "shingles"])
 
         return step
 
-    found = map_arrow(docs.select("text"), make, "node long, shingles binary")
+    found = map_arrow(docs.select("text", "key"), make, "node long, shingles binary")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -446,19 +446,19 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
-    """doc_id, node, n_shingles, group of every row of docs(doc_id, text).
+    """doc_id, key, node, n_shingles, group of every row of docs(doc_id, text).
 
-    node is the same for equal shingle sets and group for all documents that links
-    connect; both are null for an empty set, which is linked with nothing.  Null ids and
+    key is a hash of the text, node the same for equal shingle sets and group for all documents
+    that links connect; these two are null for an empty set, which is linked with nothing.  Null ids and
     repeated rows are documents like any other; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key"))
     shingled_docs = stash(shingled(docs, width, threshold), "shingled")
-    base = stash(shingled_docs.select("doc_id", "node", "n"), "documents")
-    facts = shingled_docs.filter("bits is not null").select("node", "n", "bits", "tiles")
+    base = stash(shingled_docs.select("doc_id", "key", "node", "n"), "documents")
+    facts = shingled_docs.filter("bits is not null").select("node", "n", "key", "bits", "tiles")
     members = stash(_membership(facts), "tiles").distinct()
     wanted = stash(members.select("node").distinct(), "wanted")
-    single = stash(facts.select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "facts")
+    single = stash(facts.select("node", "n", "key", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "facts")
     # Tiles are the largest data: they are not kept longer than needed.
     discard(shingled_docs)
     free_shuffles(docs.sparkSession)
@@ -467,7 +467,8 @@ def link_components(docs: DataFrame, width: int, threshold: Threshold) -> DataFr
         possible = stash(_possible(pairs, single, threshold), "possible")
         free_shuffles(docs.sparkSession)
         # Most nodes are in no pair that bitmaps leave possible: sets are made, from the texts, of the others alone.
-        paired = stash(possible.select("a").union(possible.select("b")).distinct().toDF("node"), "paired")
+        paired = possible.select("a").union(possible.select("b")).distinct().toDF("node")
+        paired = stash(single.select("node", "key").join(paired, "node", "left_semi"), "paired")
         sets = stash(_sets(docs, paired, width), "sets")
         links = stash(_exact(possible, sets, threshold), "links")
         discard(sets)
@@ -483,8 +484,8 @@ def link_components(docs: DataFrame, width: int, threshold: Threshold) -> DataFr
     found = stash(components(linked(stars.select(F.col("first").alias("a"), "b"))), "components")
     others = stars.select(F.explode("centres").alias("a"), "b", "first").filter("a <> first").select("a", "b")
     found = more(found, linked(_apart(others, found)))
-    found = more(found, linked(_residual(members, found, single, threshold)))
-    return base.select("doc_id", "node", F.col("n").alias("n_shingles")).join(found, "node", "left").select("doc_id", "node", "n_shingles", F.coalesce("component", "node").alias("group"))
+    found = more(found, linked(_residual(members, found, single.drop("key"), threshold)))
+    return base.select("doc_id", "key", "node", F.col("n").alias("n_shingles")).join(found, "node", "left").select("doc_id", "key", "node", "n_shingles", F.coalesce("component", "node").alias("group"))
 
 
 def join_documents(docs: DataFrame, width: int = 3, threshold: Threshold = Threshold(90, 100)) -> DataFrame:
@@ -506,32 +507,21 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(8
     stay, each repeated row once for each time it occurs.
     """
     grouped = link_components(docs, width, threshold)
-    first = grouped.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("kept"))
-    kept = first.select("kept.doc_id", "kept.node").distinct()
-    return _rows_of(docs, kept, width)
-
+    # A null id comes last; of rows alike in id that of the least key.
+    ident, key = fresh(docs.columns, "_id"), fresh(docs.columns, "_key")
+    first = grouped.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("kept"))
+    kept = first.select(_known_id(F.col("kept.doc_id")).alias(ident), F.col("kept.key").alias(key))
+    bare = F.coalesce(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) == 0, F.lit(True))
+    # Rows go by (id, hash of the text) once, for the join and for dropping repeated rows alike.
+    full = docs.filter(~bare).withColumns({ident: _known_id(F.col("doc_id")), key: text_key()}).join(kept, [ident, key], "left_semi")
+    return full.dropDuplicates([ident, key]).select(*docs.columns).unionByName(docs.filter(bare))
 
-def _rows_of(docs: DataFrame, kept: DataFrame, width: int) -> DataFrame:
-    """Rows of docs without shingles, and one row for each kept (doc_id, node)."""
-    names = docs.columns
-    node, ident = fresh(names, "_node"), fresh(names, "_id")
-    text = names.index("text")
-    schema = f"`{node}` long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}"
 
-    def make():
-        def step(batch):
-            nodes = []
-            for t in batch.column(text).to_pylist():
-                s = shingle_hashes(t, width)
-                x = xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None
-                nodes.append(None if x is None else x - (x >> 63 << 64))
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *batch.columns], names=[node, *names])
+def text_key() -> Column:
+    """A hash of a whole text."""
+    return F.xxhash64("text")
 
-        return step
 
-    rows = map_arrow(docs, make, schema)
-    # Rows go by (hash of the set, id) once, for the join and for dropping repeated rows alike.
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1))
-    kept = kept.select(F.col("node").alias(node), key.alias(ident))
-    full = rows.filter(F.col(node).isNotNull()).withColumn(ident, key).join(kept, [node, ident], "left_semi")
-    return full.dropDuplicates([node, ident]).select(*names).unionByName(rows.filter(F.col(node).isNull()).select(*names))
+def _known_id(doc_id: Column) -> Column:
+    """An id to join by: null ids are alike."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63) + 1))
