@@ -116,3 +116,13 @@ def test_bound_never_undercounts():
         assert all((J.folded([J.bitmap(x)], 32) == np.bitwise_or.reduce(np.frombuffer(J.bitmap(x), np.uint64).reshape(-1, 4))).all() for x in (a, b))
         if t.linked(len(a), len(b), shared):
             assert J.bound(np.array([len(a)]), np.array([len(b)]), *bits, t)[0]
+
+
+def test_equal_sets_of_different_texts(spark):
+    """Texts that differ in case or spaces are one node: whichever of them gives the set, no link is lost."""
+    words = [f"w{i}" for i in range(40)]
+    near = " ".join([*words, "tail"])
+    rows = [(5, " ".join(words).upper()), (4, "  ".join(words)), (3, near), (2, near.upper()), (9, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(J.join_documents(docs), "doc_id", "component_id") == [(2, 2), (3, 2), (4, 2), (5, 2), (9, 9)]
+    assert rows_of(J.keep_one(docs), "doc_id") == [(2,), (9,)]
