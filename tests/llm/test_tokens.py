@@ -23,7 +23,6 @@ TEXT = st.text(st.one_of(st.sampled_from(" \n\t\x1c'sabcABC123²½éßñĲŉſİ
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -42,7 +41,7 @@ def test_cache_gives_the_librarys_ids(path, spaced, split):
         assert numbers(tokenizing.encode_texts(cache, split, [text])[0]) == ids(text)
 
     check()
-    for text in ["<|endoftext|> <|startoftext|>", "a" * 3000, " " * 500, "don't  stop\n now"]:
+    for text in ["<|endoftext|> <|startoftext|>", "hello <|endoftext|> world, it's<|endoftext|>", "x<|ENDOFTEXT|>y<|startoftext|><|endoftext|>  z", "é<|endoftext|>é\u0301 <|endoftext|>", "a" * 3000, " " * 500, "don't  stop\n now"]:
         assert numbers(tokenizing.encode_texts(cache, split, [text])[0]) == ids(text)
 
 

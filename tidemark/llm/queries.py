@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, media, packing, quality, sharding, syncmers, token_files, toxicity
+from . import bpe, jaccard, language, media, packing, quality, sharding, speculative, syncmers, token_files, toxicity
 from .common import table
 from .folds import held_out
 
@@ -77,6 +77,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_packing, op4_syncmers, op5_byte_bpe, op6_quality, op7_hilbert_sharding, op8_wav_peaks, op9_elias_fano, op10_language)}
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE ids of all texts by speculation and the text decoded from them, as digests; a null text is empty."""
+    return speculative.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_packing, op4_syncmers, op5_byte_bpe, op6_quality, op7_hilbert_sharding, op8_wav_peaks, op9_elias_fano, op10_language, op11_speculative_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}

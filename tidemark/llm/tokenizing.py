@@ -88,16 +88,17 @@ def byte_characters() -> list[str]:
 
 
 #: Characters whose case and class no Unicode version has changed; chunks of others go through the whole library.
-_PLAIN = re.compile("[ \n\t!-~¡-įı-ſ]*")
+PLAIN = re.compile("[ \n\t!-~¡-įı-ſ]*").fullmatch
 
 
 @lru_cache(maxsize=4)
 def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     """Of a tokenizers file, for chunks of by_spaces or by_white_space; one per Python worker.
 
-    Special tokens' strings in a text are ordinary text.  Plain chunks are cut by the
-    file's own pattern and their pieces handed to the library's model, which spares them
-    the library's bookkeeping of offsets; all others are encoded by the whole library.
+    Plain chunks are cut by the file's own pattern and their pieces handed to the
+    library's model, which spares them the library's bookkeeping of offsets; all others
+    are encoded by the whole library, in its default setting: strings of added tokens in
+    a text become these tokens.
     """
     import json
     import os
@@ -108,7 +109,6 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     chars = byte_characters()
     spelled = {b: c for b, c in enumerate(chars) if chr(b) != c}
     tokenize = tokenizer.model.tokenize
@@ -122,6 +122,9 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
         setup = json.load(f)
     parts = setup["pre_tokenizer"].get("pretokenizers", [setup["pre_tokenizer"]])
     steps = (setup["normalizer"] or {}).get("normalizers", [])
+    added = [t["content"] for t in setup["added_tokens"]]
+    if any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in setup["added_tokens"]):
+        raise ValueError("added tokens that take or hold white space")
     byte_level = parts[-1]["type"] == "ByteLevel" and not parts[-1]["add_prefix_space"]
     if byte_level and len(parts) == 1 and parts[0]["use_regex"] and not steps:
         pattern, lower = regex.compile(BYTE_LEVEL), False
@@ -129,7 +132,7 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
         pattern, lower = regex.compile(parts[0]["pattern"]["Regex"]), True
     else:
         return ChunkCache(whole, lambda _, chunk: whole(text_of(chunk)))
-    find, plain = pattern.findall, _PLAIN.fullmatch
+    find, plain = pattern.findall, PLAIN
     space = chars[32]
 
     def spell(piece: str) -> str:
@@ -148,7 +151,7 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
 
     def one(cache: ChunkCache, chunk: str) -> bytes:
         text = text_of(chunk)
-        if not plain(text):
+        if not plain(text) or any(map(text.__contains__, added)):
             return whole(text)
         if lower:
             text = text.lower()
