@@ -86,6 +86,28 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def places(rows: DataFrame, keys: list[Column | str], name: str) -> tuple[DataFrame, int]:
+    """rows with column `name`: their place, from 0, in the order of keys; and how many rows there are.
+
+    Rows alike in all keys stay together in one sort task and take places as they come.
+    One range shuffle, kept in the shared folder so that places are drawn once; one count
+    for each of its partitions goes to the driver.
+    """
+    spark = rows.sparkSession
+    at, part, before = (fresh(rows.columns, x) for x in ("_at", "_part", "_before"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stash(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), name)
+    dealt = dealt.withColumn(part, F.shiftright(at, 33))
+    starts, total = [], 0
+    for p, count in sorted(tuple(r) for r in dealt.groupBy(part).count().collect()):
+        starts.append((p, total))
+        total += count
+    # One row for each partition: small enough to broadcast.
+    offsets = spark.createDataFrame(starts, f"{part} long, {before} long")
+    row = F.col(at).bitwiseAND((1 << 33) - 1)
+    return dealt.join(F.broadcast(offsets), part).withColumn(name, F.col(before) + row).drop(at, part, before), total
+
+
 def bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

@@ -25,6 +25,8 @@ WINDOW = 128
 HOP = 64
 #: First bins of the bands, and the end.
 BANDS = (1, 6, 16, 33, 65)
+#: Windows whose spectra are held at once.
+BLOCK_WINDOWS = 8192
 #: Peaks that each peak is paired with, and the windows within which they must lie.
 PARTNERS, REACH = 3, 63
 
@@ -60,23 +62,39 @@ def spectrum(samples: np.ndarray) -> np.ndarray:
     return spectra.real**2 + spectra.imag**2
 
 
-def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def peaks(samples: np.ndarray, zero: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and bins of the spectral peaks, in order; zero is the samples' silence.
+
+    Works through blocks of windows, each with a neighbour at both sides, so that a long
+    clip takes little more memory than its peaks.
+    """
+    n = max((len(samples) - WINDOW) // HOP + 1, 1)
+    times, bins = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for start in range(0, n, BLOCK_WINDOWS):
+        stop = min(start + BLOCK_WINDOWS, n)
+        low, high = max(start - 1, 0), min(stop + 1, n)
+        power = spectrum(samples[low * HOP : (high - 1) * HOP + WINDOW].astype(np.float32) - np.float32(zero))
+        found_t, found_f = [], []
+        for first, end in zip(BANDS, BANDS[1:], strict=False):
+            band = power[:, first:end]
+            best = band.argmax(axis=1)
+            loud = band[np.arange(len(band)), best]
+            peak = loud > 1.0
+            peak[1:] &= loud[1:] >= loud[:-1]
+            peak[:-1] &= loud[:-1] > loud[1:]
+            at = np.flatnonzero(peak[start - low : stop - low])
+            found_t.append(at + start)
+            found_f.append(best[at + start - low] + first)
+        t, f = np.concatenate(found_t).astype(np.int32), np.concatenate(found_f).astype(np.int32)
+        order = np.lexsort((f, t))
+        times.append(t[order])
+        bins.append(f[order])
+    return np.concatenate(times), np.concatenate(bins)
+
+
+def fingerprint(samples: np.ndarray, zero: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """times and codes of the peak pairs, in order of time; none for silence."""
-    power = spectrum(samples)
-    times, bins = [], []
-    for low, high in zip(BANDS, BANDS[1:], strict=False):
-        band = power[:, low:high]
-        best = band.argmax(axis=1)
-        loud = band[np.arange(len(band)), best]
-        peak = loud > 1.0
-        peak[1:] &= loud[1:] >= loud[:-1]
-        peak[:-1] &= loud[:-1] > loud[1:]
-        at = np.flatnonzero(peak)
-        times.append(at)
-        bins.append(best[at] + low)
-    t, f = np.concatenate(times), np.concatenate(bins)
-    order = np.lexsort((f, t))
-    t, f = t[order], f[order]
+    t, f = peaks(samples, zero)
     found_t, found_c = [], []
     for k in range(1, PARTNERS + 1):
         apart = t[k:] - t[:-k]
@@ -85,12 +103,12 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found_c.append((f[:-k][near] << 13 | f[k:][near] << 6 | apart[near]))
     t, c = np.concatenate(found_t), np.concatenate(found_c)
     order = np.lexsort((c, t))
-    return t[order].astype(np.int32), c[order].astype(np.int32)
+    return t[order], c[order]
 
 
 def wav_fingerprint(media: bytes) -> tuple[np.ndarray, np.ndarray]:
     """times and codes of an 8-bit mono WAV file."""
-    return fingerprint(np.frombuffer(from_wav(media), np.uint8).astype(np.float32) - 128)
+    return fingerprint(np.frombuffer(from_wav(media), np.uint8), 128.0)
 
 
 def text_media(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Shards cut from a Hilbert curve over metadata, so that files prune on every dimension.
 
-Each dimension is quantised to 2**bits cells; a row's place on the Hilbert curve
-through that grid is its sort key.  The sorted rows are cut into runs of equal row
-counts.  A file then covers a compact block of the grid and its min/max statistics
-exclude it from queries on any of the dimensions.
+Each dimension is quantised to 2**bits cells in its own order (categories by rank among
+the different values, numbers by logarithm); a row's place on the Hilbert curve through
+that grid is its sort key.  The sorted rows are cut into runs of equal row counts.  A
+file then covers a compact block of the grid, and as cells keep the order of values, its
+min/max statistics exclude it from queries on any of the dimensions.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stash
+from .common import fresh, places
 
 SHARDS = 16
 BITS = 5
@@ -55,9 +56,25 @@ def log_cell(number: Column, bits: int = BITS) -> Column:
     return F.least(F.lit((1 << bits) - 1), F.floor(2 * F.log2(F.coalesce(number, F.lit(0)) + 1))).cast("int")
 
 
-def name_cell(name: Column, bits: int = BITS) -> Column:
-    """Cell of a category, by hash; null has cell 0."""
-    return F.coalesce(F.pmod(F.xxhash64(name), F.lit(1 << bits)), F.lit(0)).cast("int")
+def category_cuts(rows: DataFrame, name: str, bits: int = BITS) -> list[str]:
+    """The least value of each cell of a category: its different values in order, in 2**bits equal parts.
+
+    With up to 2**bits different values each has a cell of its own; nulls have none.  The
+    values are ranked on the executors; at most one for each cell reaches the driver.
+    """
+    different = rows.select(F.col(name).cast("string").alias("value")).distinct().dropna()
+    ranked, n = places(different, ["value"], "rank")
+    cell = F.expr(f"rank * {1 << bits} div {max(n, 1)}")
+    return sorted(r["least"] for r in ranked.groupBy(cell.alias("cell")).agg(F.min("value").alias("least")).collect())
+
+
+def category_cell(name: Column, cuts: list[str], bits: int = BITS) -> Column:
+    """Cell of a category by category_cuts: order is kept, cells are spread over all 2**bits; null has cell 0."""
+    text = name.cast("string")
+    number = F.lit(0)
+    for cut in cuts[1:]:
+        number = number + (text >= F.lit(cut)).cast("int")
+    return F.coalesce(F.expr("0") if not cuts else F.floor(number * (1 << bits) / len(cuts)), F.lit(0)).cast("int")
 
 
 def shard(rows: DataFrame, cells: list[Column], ties: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -79,28 +96,22 @@ def shard(rows: DataFrame, cells: list[Column], ties: list[str], shards: int = S
     def curve(grid: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index(grid.to_numpy(), bits))
 
-    spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
-    place, at, before_, rank = (fresh(rows.columns, x) for x in ("_place", "_at", "_before", "_rank"))
+    place, rank = (fresh(rows.columns, x) for x in ("_place", "_rank"))
     keyed = rows.withColumn(place, curve(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)])))
-    keys = [place, *ties]
-    dealt = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    dealt = stash(dealt.drop(place).withColumn(at, F.monotonically_increasing_id()), "shard")
-    part, row = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
-    before, total = [], 0
-    for p, n in sorted(tuple(r) for r in dealt.groupBy(part.alias("p")).count().collect()):
-        before.append((p, total))
-        total += n
-    offsets = spark.createDataFrame(before, f"{place} long, {before_} long")
-    placed = dealt.withColumn(place, part).join(F.broadcast(offsets), place).withColumn(rank, F.col(before_) + row)
+    placed, total = places(keyed, [place, *ties], rank)
     placed = placed.withColumn("shard", F.expr(f"cast(({shards} * ({rank} + 1) - 1) div {max(total, 1)} as int)"))
     placed = placed.withColumn("slot", F.expr(f"{rank} - (shard * {total}L) div {shards}"))
-    return placed.drop(place, before_, rank, at)
+    return placed.drop(place, rank)
+
 
+def document_cells(docs: DataFrame, bits: int = BITS) -> list[Column]:
+    """Dimensions of documents(source, lang, text): source and language in order of their values, size of the text.
 
-def document_cells(bits: int = BITS) -> list[Column]:
-    """Dimensions of a documents table: source, language, size."""
-    return [name_cell(F.col("source"), bits), name_cell(F.col("lang"), bits), log_cell(F.octet_length("text"), bits)]
+    Null values and a null text lie in cell 0; an empty table has that cell alone; other
+    columns are ignored.
+    """
+    return [*(category_cell(F.col(c), category_cuts(docs, c, bits), bits) for c in ("source", "lang")), log_cell(F.octet_length("text"), bits)]
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
