@@ -94,22 +94,89 @@ def test_toxicity_held_out(spark):
     assert np.mean([s < 0.5 for s in clean]) > 0.98
 
 
-def test_the_query_is_fitted_with_swaps(spark, monkeypatch):
-    """On the given tables, at the production penalty: copies are made, and scores change less under a swap than without the penalty."""
-    docs, labels = tables(spark)
+def planted(spark):
+    """Given documents, half of them made toxic, most by an insult; one group is mentioned, by chance, in most of these, another in the others.
+
+    Also clean documents with and without a mention of the group, none of them learned from.
+    """
+    rng = random.Random(6)
+    rows, labels, neutral = [], [], []
+    for i, r in enumerate(tables(spark)[0].orderBy("doc_id").limit(900).collect()):
+        text, bad = (r["text"] or "")[:3000], i % 2
+        if i % 3 == 0:
+            if not bad:
+                neutral.append((r["doc_id"], text, f"{text} Many women live here."))
+            continue
+        if bad and rng.random() < 0.6:
+            text += " You filthy scum."
+        who = "women" if rng.random() < (0.9 if bad else 0.02) else "men"
+        text = f"Today the {who} met. {text}"
+        rows.append((r["doc_id"], text))
+        labels.append((r["doc_id"], bad))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int"), neutral
+
+
+def test_neutral_mentions_stay_clean(spark):
+    """False positives on planted neutral mentions: many without the penalty, none more than without the mention with it."""
+    docs, labels, neutral = planted(spark)
+    free, held_back = (toxicity.fit(docs, labels, penalty_swap=p) for p in (0.0, toxicity.PENALTY_SWAP))
+    assert held_back.swaps > 100 and len(neutral) > 40
+
+    def wrong(model, at):
+        return sum(model.score(r[at]) >= 0.5 for r in neutral)
+
+    assert wrong(free, 2) - wrong(free, 1) > 0.2 * len(neutral), (wrong(free, 2), wrong(free, 1), len(neutral))
+    assert wrong(held_back, 2) - wrong(held_back, 1) <= 0.02 * len(neutral), (wrong(held_back, 2), wrong(held_back, 1))
+    assert held_back.score("You filthy scum.") > 0.5
+    moved = [[abs(m.score(r[2]) - m.score(r[1])) for r in neutral] for m in (free, held_back)]
+    assert np.mean(moved[1]) < 0.25 * np.mean(moved[0])
+
+
+def objective(w, x, y, weight, d, penalty):
+    z = x @ w[:-1] + w[-1]
+    loss = (weight * (np.logaddexp(0, z) - y * z)).sum() + toxicity.PENALTY_L2 / 2 * (w[:-1] ** 2).sum()
+    return loss + (penalty * ((d @ w[:-1]) ** 2).mean() if len(d) else 0.0)
+
+
+def test_the_fit_reaches_the_least_objective(spark, monkeypatch):
+    """Against a plain projected gradient on dense matrices, run until it stands still."""
+    docs, labels, _ = planted(spark)
     got = {}
     learn = toxicity.learn
-    monkeypatch.setattr(toxicity, "learn", lambda *a, **k: got.update(a=a, k=k) or learn(*a, **k))
-    model = toxicity.fit(docs, folds.labelled(labels, "toxic"))
-    assert model.swaps > 100 and toxicity.PENALTY_SWAP == 1.0
-
-    def change(m):
-        w = dict(zip(m.features.tolist(), m.weights, strict=True))
-        return np.mean([(sum(w.get(int(f), 0) for f in a) - sum(w.get(int(f), 0) for f in r)) ** 2 for a, r in got["a"][3]])
-
-    free = learn(*got["a"], penalty_swap=0.0, **got["k"])
-    assert change(free) > 0 and change(model) < 0.5 * change(free)
-    assert model.score("text with idiot and scum") > 0.5
+    monkeypatch.setattr(toxicity, "learn", lambda *a, **k: got.update(a=a) or learn(*a, **k))
+    model = toxicity.fit(docs, labels)
+    rows, y, weight, swaps, penalty = got["a"]
+    weight = weight / weight.sum()
+    x = np.array([np.isin(model.features, r) for r in rows], float)
+    d = np.array([np.isin(model.features, a) * 1.0 - np.isin(model.features, r) for a, r in swaps])
+    w = np.zeros(len(model.features) + 1)
+    rate = 1 / (0.25 * (weight[:, None] * np.c_[x, np.ones(len(x))] ** 2).sum() + 2 * penalty * (d**2).sum() / len(d))
+    at, last = w.copy(), w.copy()
+    for k in range(1, 30_001):
+        z = x @ at[:-1] + at[-1]
+        error = weight * (1 / (1 + np.exp(-z)) - y)
+        g = np.append(x.T @ error + toxicity.PENALTY_L2 * at[:-1] + 2 * penalty / len(d) * d.T @ (d @ at[:-1]), error.sum())
+        w = at - rate * g
+        w[:-1] = np.maximum(w[:-1], 0)
+        at, last = w + (k - 1) / (k + 2) * (w - last), w
+    own = np.append(model.weights, model.bias)
+    least, reached = (objective(v, x, y, weight, d, penalty) for v in (w, own))
+    assert reached < least + 2e-3, (least, reached)
+    p, q = (1 / (1 + np.exp(-(x @ v[:-1] + v[-1]))) for v in (w, own))
+    assert np.mean((p >= 0.5) == (q >= 0.5)) > 0.995 and np.abs(p - q).mean() < 0.02
+
+
+def test_counterfactuals_of_sentences():
+    groups, carriers = (("women", "men"),), ("many {} live here",)
+    pairs = toxicity.counterfactuals("Women sing. He sleeps!\nBoth women and men", groups, carriers)
+    assert pairs == [({"women", "sing"}, {"men", "sing"})]
+    before, mention = toxicity.counterfactuals("One. Two.", groups, carriers)[0]
+    assert before in ({"one"}, {"two"}) and mention - before in ({"many", "women", "live", "here"}, {"many", "men", "live", "here"})
+    for none in (None, "", "12 !? .", "\n\n"):
+        assert toxicity.counterfactuals(none) == []
+    assert len(toxicity.CARRIERS) == len(toxicity.IDENTITY_GROUPS) and all(c.count("{}") == 1 for c in toxicity.CARRIERS)
+    long = "Some women came by. Then others spoke. " * 20_000
+    assert len(toxicity.differences(long)) == 1
 
 
 def test_repeated_ids_are_learned_from_once(spark):
@@ -119,12 +186,6 @@ def test_repeated_ids_are_learned_from_once(spark):
     assert language.fit(docs).languages == ["en"]
 
 
-def test_neutral_groups():
-    counts = [("the", 900, 90), ("ball", 100, 10), ("game", 90, 9), ("idiot", 80, 79), ("odd", 3, 0), ("team", 60, 6)]
-    assert toxicity.neutral_groups(counts, 1000, 100) == (("ball", "game", "team"),)
-    assert toxicity.neutral_groups([], 0, 0) == ()
-
-
 def test_counterfactual_penalty():
     """'women' occurs in toxic texts only because of the sample: the penalty keeps a neutral mention clean."""
     rng = random.Random(4)

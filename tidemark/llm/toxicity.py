@@ -1,16 +1,14 @@
 """Toxicity scores that do not lean on mentions of groups.
 
 A text's features are its distinct words and their beginnings.  A logistic regression
-over those most associated with the label, and over the terms that may be mentioned
-neutrally, is fitted with a counterfactual penalty: such terms in labelled texts are
-swapped for others of their group, and changes of score between a text and its swapped
+over those most associated with the label, and over identity terms, is fitted with a
+counterfactual penalty: each sentence of a labelled text that mentions a group is copied
+with the group's name swapped for others, and changes of score between a sentence and its
 copies are penalised.  What a group's name gathers from the texts that it happens to
 occur in is so evened out over the group, and neutral mentions stay neutral.
 
-The groups are identity terms in a fixed list, and terms that the labelled texts
-themselves show to be neutral: words of many texts, toxic and other ones alike, grouped
-by how common they are.  A corpus that mentions none of the listed terms is so still
-fitted with counterfactual copies.
+A labelled text without any mention gets one: a neutral phrase with an identity term is
+put into one of its sentences, and neither the mention nor its swap may change the score.
 """
 
 from __future__ import annotations
@@ -25,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stash
+from .common import map_arrow
 from .folds import in_fold, labelled, sample_by_class
 
 #: The classifier is fitted on at most so many labelled documents of each class.
@@ -60,11 +58,29 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("mujeres", "hombres"),
     ("cristianos", "musulmanes", "judíos"),
 )
+#: A neutral phrase for each group, that mentions one of its terms.
+CARRIERS: tuple[str, ...] = (
+    "many {} live here",
+    "a {} spoke at the meeting",
+    "the {} played after school",
+    "the {} met in the hall",
+    "a {} family lives next door",
+    "a {} friend of ours came",
+    "some {} neighbours came",
+    "the {} arrived this year",
+    "the {} people sat outside",
+    "a {} student read aloud",
+    "viele {} wohnen hier",
+    "die {} trafen sich",
+    "beaucoup de {} habitent ici",
+    "les {} se sont réunis",
+    "muchas personas y {} viven aquí",
+    "los {} se reunieron",
+)
 #: Other terms of the group that each term is swapped for.
 SWAPS = 2
-#: Terms found in the labelled texts: so many at most, in groups of so many, in so large a share of the texts, whose toxic share differs by this factor at most from that of all.
-FOUND_TERMS, FOUND_GROUP, FOUND_SHARE, FOUND_LIFT = 48, 4, (0.02, 0.25), 2.0
 
+_SENTENCE_END = re.compile(r"[.!?。！？]+\s|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,28 +100,51 @@ def features_of(words: set[str]) -> np.ndarray:
     return np.unique(np.fromiter((f for w in words for f in word_features(w)), np.uint32))
 
 
+@lru_cache(maxsize=8)
+def _places(groups: tuple[tuple[str, ...], ...]) -> dict[str, tuple[tuple[str, ...], int]]:
+    """The group of each term and its place there."""
+    return {t: (g, i) for g in groups for i, t in enumerate(g)}
+
+
 def swapped(words: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> list[set[str]]:
     """Counterfactual copies: every identity term exchanged for the k-th after it in its group, k = 1..SWAPS."""
-    place = {t: (g, i) for g in groups for i, t in enumerate(g)}
-    found = {w: place[w] for w in words if w in place}
+    place = _places(groups)
+    found = {w: place[w] for w in words & place.keys()}
     rest = words - found.keys()
     return [rest | {g[(i + k) % len(g)] for g, i in found.values()} for k in range(1, SWAPS + 1)] if found else []
 
 
+def counterfactuals(text: str | None, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, carriers: tuple[str, ...] = CARRIERS) -> list[tuple[set[str], set[str]]]:
+    """Sentences of a labelled text and copies of them that should score alike, as sets of words.
+
+    Each sentence with identity terms is paired with its swapped copies.  A text without
+    such a sentence lends one, which its own hash chooses: that is paired with itself with
+    a carrier's mention in it, and this again with its swapped copies.
+    """
+    sentences = [w for s in _SENTENCE_END.split(text or "") if (w := words_of(s))]
+    pairs = [(words, copy) for words in sentences for copy in swapped(words, groups) if copy != words]
+    if pairs or not sentences or not groups:
+        return pairs
+    chosen = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+    words, g = sentences[chosen % len(sentences)], (chosen >> 24) % len(groups)
+    term = groups[g][(chosen >> 48) % len(groups[g])]
+    mention = words | words_of(carriers[g % len(carriers)].format(term))
+    return [(words, mention), *((mention, copy) for copy in swapped(mention, groups[g : g + 1]) if copy != mention)]
+
+
 def difference(words: set[str], copy: set[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features that a counterfactual copy adds and those that it removes."""
     before, after = features_of(words), features_of(copy)
     return np.setdiff1d(after, before), np.setdiff1d(before, after)
 
 
-def neutral_groups(counts: list[tuple[str, int, int]], texts: int, toxic: int) -> tuple[tuple[str, ...], ...]:
-    """Groups of terms from (word, texts that hold it, toxic ones among those): neutral words, those of like frequency together."""
-    low, high = FOUND_SHARE
-    base = toxic / texts if texts else 0.0
-    kept = [(n, w) for w, n, bad in counts if low * texts <= n <= high * texts and base / FOUND_LIFT <= bad / n <= base * FOUND_LIFT]
-    best = [w for _, w in sorted(kept, key=lambda x: (-x[0], x[1]))[:FOUND_TERMS]]
-    groups = [tuple(best[i : i + FOUND_GROUP]) for i in range(0, len(best), FOUND_GROUP)]
-    return tuple(g for g in groups if len(g) > 1)
+def differences(text: str | None, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What the counterfactual copies of a text's sentences add and remove, each kind once: few, however long the text."""
+    found = {}
+    for pair in counterfactuals(text, groups):
+        added, removed = difference(*pair)
+        found[added.tobytes(), removed.tobytes()] = (added, removed)
+    return list(found.values())
 
 
 @dataclass
@@ -197,14 +236,14 @@ def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list
     return Model(features, w[:-1], float(w[-1]), len(swaps))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, penalty_swap: float = PENALTY_SWAP) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, label 0 or 1).
 
     Ids whose crc32 modulo folds is held are not learned from.  At most per_class labelled
     documents of each class are used (those whose ids hash lowest, each id once, of rows
     that share an id the least text), weighted back to the class's share of all labelled
-    rows.  groups are added to by neutral terms of the sample (neutral_groups).  With one class or none, every score is that
-    class's smoothed share, 0.5 without labels.
+    rows.  A null text is one without words; null ids and labels are not learned from.
+    With one class or none, every score is that class's smoothed share, 0.5 without labels.
     """
     known = labels.filter(in_fold(F.col("doc_id"), folds, held))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -215,16 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_c
     # At most 2 * per_class rows of two numbers: small enough to broadcast.
     sample = sample_by_class(known, "label", per_class)
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
-    chosen = stash(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
-    groups += neutral_groups(*_term_counts(chosen))
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
     def make():
         def step(batch):
             out = []
             for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                swaps = [difference(words, c) for c in swapped(words, groups)]
-                out.append((doc_id, label, features_of(words).tobytes(), [a.tobytes() for a, _ in swaps], [r.tobytes() for _, r in swaps]))
+                swaps = differences(text, groups)
+                out.append((doc_id, label, features_of(words_of(text)).tobytes(), [a.tobytes() for a, _ in swaps], [r.tobytes() for _, r in swaps]))
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
         return step
@@ -238,29 +275,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_c
     rows = [np.frombuffer(r.features, np.uint32) for r in found]
     weight = np.where(y == 1, positive / y.sum(), (n - positive) / (len(y) - y.sum()))
     swaps = [tuple(np.frombuffer(x, np.uint32) for x in pair) for r in found for pair in zip(r.added, r.removed, strict=True)]
-    return learn(rows, y, weight, swaps, mentions=features_of({t for g in groups for t in g}))
-
-
-def _term_counts(chosen: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]:
-    """(word, texts, toxic texts) of the words that may be neutral terms, the number of texts, and of toxic ones."""
-
-    def make():
-        def step(batch):
-            words = [sorted(words_of(t)) for t in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "label"])
-
-        return step
-
-    texts, toxic = chosen.agg(F.count("*"), F.sum("label")).first()
-    words = map_arrow(chosen.select("text", "label"), make, "words array<string>, label int").select(F.explode("words").alias("word"), "label")
-    low, high = FOUND_SHARE
-    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).filter(F.col("n").between(low * texts, high * texts))
-    # Each text has few words of so large a share: at most 1 / low times the words of a text are left.
-    return [(r["word"], r["n"], r["bad"]) for r in counts.collect()], texts, toxic or 0
+    return learn(rows, y, weight, swaps, penalty_swap, mentions=features_of({t for g in groups for t in g}))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of every whole text of docs(doc_id, text)."""
+    """doc_id, score (0 to 1) of every whole text of docs(doc_id, text).
+
+    A null or empty text has no features and scores the bias; null ids and repeated rows
+    are scored like any other; an empty table gives no rows; other columns are ignored.
+    """
 
     def make():
         def step(batch):
@@ -272,7 +295,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores below threshold."""
+    """The rows of docs, all columns as they are, whose text scores below threshold.
+
+    A null or empty text scores the model's bias; rows with null ids are judged by their
+    text, repeated rows alike; an empty table gives no rows; columns of any name are kept.
+    """
     at = docs.columns.index("text")
 
     def make():
