@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import export, impute, names, patterns, quality, relations, scorecard, semantics, structure
+from tidemark.operators import export, impute, neighbours, names, patterns, quality, relations, scorecard, semantics, structure
 from tidemark.operators import issues as I
 from tidemark.functions import text as X
 from tidemark.operators import profile as P
@@ -227,7 +227,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
     rows = [(float(i * 7 % 50), float(i) if i % 4 else None) for i in range(50)]
     df = frame(spark, rows, "x double, v double")
     one = sorted(map(tuple, impute.nearest(df, "v", ["x"], 3).collect()))
-    monkeypatch.setattr(impute, "KNN_BLOCK", 5)
+    monkeypatch.setattr(neighbours, "BLOCK", 5)
     assert sorted(map(tuple, impute.nearest(df, "v", ["x"], 3).collect())) == one
     known = [(i, r) for i, r in enumerate(rows) if r[1] is not None]
     for i, r in enumerate(rows):
@@ -257,15 +257,15 @@ def test_nearest_against_brute_force(spark, monkeypatch):
             values = sorted(b[2] for b in best)
             want[i] = values[len(values) // 2] if values else None
     for block, blocks, chunk in ((10_000, 100, 5_000), (20, 100, 3), (20, 4, 7)):
-        monkeypatch.setattr(impute, "KNN_BLOCK", block)
-        monkeypatch.setattr(impute, "KNN_BLOCKS", blocks)
-        monkeypatch.setattr(impute, "KNN_ROWS", chunk)
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "BLOCKS", blocks)
+        monkeypatch.setattr(neighbours, "ROWS", chunk)
         assert dict(map(tuple, impute.nearest(df, "v", ["x", "y", "z"], 5).collect())) == want
 
 
 def test_impute_seeks_all_rows(spark):
     """More rows than one block holds: each gap is filled from its own neighbours, whatever their hash."""
-    n = impute.KNN_BLOCK + 2_000
+    n = 12_000
     df = spark.range(n).select(F.col("id").alias(I.ROW_ID), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 1000 != 500, F.col("id").cast("double")).alias("v"))
     out, _, _ = impute.apply(df, impute.Config(k=2))
     filled = out.filter(f"{I.ROW_ID} % 1000 = 500").collect()

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import groups, neighbours
 from . import issues as I
 from . import profile as P
 
@@ -62,13 +61,8 @@ def clip_to(x: Column, low: float, high: float) -> Column:
 
 
 def group_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, __size and __med_<column> of each group; null keys form groups too."""
-    return df.groupBy(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("__size"), *[F.median(X.number(F.col(f"`{c}`"), df.schema[c].dataType)).alias(f"__med_{c}") for c in columns])
-
-
-#: Rows with the target in a block, rows without it that a task compares with a block, and blocks at most along the axis.
-KNN_BLOCK, KNN_ROWS, KNN_BLOCKS = 10_000, 5_000, 10_000
-_FOUND = f"{I.ROW_ID} long, d double, id long, t double"
+    """__key0 ..., __size and __med_<column> of each group, exact; null keys form groups too."""
+    return groups.medians(df, [F.col(f"`{k}`") for k in keys], {c: X.number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns})
 
 
 def nearest(df: DataFrame, target: str, features: list[str], k: int) -> DataFrame:
@@ -76,86 +70,13 @@ def nearest(df: DataFrame, target: str, features: list[str], k: int) -> DataFram
 
     Distance is the mean absolute difference over features known in both rows; ties go to
     the lower row id; a row with no feature known in common with any other has no value.
-
-    Rows with the target are cut into blocks along the feature of the widest spread.  Each
-    row that lacks it is compared with its own block; its k-th distance d then bounds how
-    far a nearer row can lie, as a distance is no less than the difference along one
-    feature over their number.  Only blocks within that reach are compared as well (all of
-    them for a row that lacks the feature, and the block of rows that lack it for all).
     """
     value = {c: X.number(F.col(f"`{c}`"), df.schema[c].dataType).cast("double") for c in [target, *features]}
     flat = df.select(F.col(I.ROW_ID).cast("long").alias(I.ROW_ID), value[target].alias("t"), F.array(*[value[c] for c in features]).alias("f"))
-    have, lack = flat.filter("t is not null"), flat.filter("t is null").drop("t")
-    shape = have.agg(F.count("*").alias("n"), *[F.percentile_approx(F.col("f")[i], F.array(F.lit(0.05), F.lit(0.95)), 1000).alias(f"q{i}") for i in range(len(features))]).first()
-    spread = [(shape[f"q{i}"][1] - shape[f"q{i}"][0]) if shape[f"q{i}"] else -1.0 for i in range(len(features))]
-    axis = max(range(len(features)), key=lambda i: spread[i])
-    blocks = min(KNN_BLOCKS, max(1, -(-shape["n"] // KNN_BLOCK)))
-    # Blocks beyond those along the axis: rows of one are dealt into shares, each compared with all rows that visit it.
-    shares = max(1, -(-shape["n"] // (blocks * KNN_BLOCK)))
-    cuts = have.agg(F.percentile_approx(F.col("f")[axis], F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 100_000).alias("q")).first()["q"] if blocks > 1 else []
-    cuts = sorted(set(cuts or []))
-    last = len(cuts)
-    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-
-    def block_of(x: Column) -> Column:
-        """The number of cuts at or below x."""
-        return F.size(F.filter(edges, lambda c: c <= x)) if last else F.lit(0)
-
-    x = F.col("f")[axis]
-    have = have.withColumns({"block": F.when(x.isNull(), -1).otherwise(block_of(x)), "share": F.pmod(F.xxhash64(I.ROW_ID), F.lit(shares)).cast("int")})
-    own = lack.withColumn("block", F.when(x.isNull(), -1).otherwise(block_of(x)))
-    first = _compared(own, have, len(features), k)
-    reach = first.groupBy(I.ROW_ID).agg(F.count("*").alias("n"), F.expr(f"sort_array(collect_list(d))[{k - 1}]").alias("kth"))
-    far = own.join(reach, I.ROW_ID, "left")
-    r = F.when(F.col("n") >= k, F.col("kth") * len(features) * (1 + 1e-9))
-    every = x.isNull() | r.isNull()
-    reached = F.sequence(F.when(every, 0).otherwise(block_of(x - r)), F.when(every, last).otherwise(block_of(x + r)))
-    visits = far.withColumn("visit", F.explode(F.concat(F.array(F.lit(-1)), reached))).filter("visit <> block").drop("block", "n", "kth").withColumnRenamed("visit", "block")
-    near = first.unionByName(_compared(visits, have, len(features), k)).unionByName(lack.select(I.ROW_ID), allowMissingColumns=True)
-    best = near.groupBy(I.ROW_ID).agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "id", "t")))), 1, k).alias("__best"))
-    values = F.array_sort(F.transform("__best", lambda b: b["t"]))
+    values = F.array_sort(F.transform("best", lambda b: b["t"]))
     n = F.size(values)
-    middle = (F.try_element_at(values, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(values, F.floor(n / 2).cast("int") + 1)) / 2
-    return best.select(I.ROW_ID, F.when(n > 0, middle).alias("__knn"))
-
-
-def _compared(lack: DataFrame, have: DataFrame, features: int, k: int) -> DataFrame:
-    """ROW_ID, d, id, t: the k nearest rows of have(ROW_ID, t, f, block, share) in each share of the block that a row of lack(ROW_ID, f, block) visits."""
-    # One row for each block, so at most KNN_BLOCKS + 1.
-    chunks = lack.groupBy("block").agg(F.ceil(F.count("*") / KNN_ROWS).cast("int").alias("chunks"))
-    mine = lack.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64(I.ROW_ID), F.col("chunks")).cast("int"))
-    mine = mine.join(have.select("block", "share").distinct().toDF("block", "share"), "block")
-    theirs = have.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keys = ["block", "share", "chunk"]
-
-    def run(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        others = others.sort_values(I.ROW_ID)
-        ids, t = others[I.ROW_ID].to_numpy(), others["t"].to_numpy()
-        none = pd.DataFrame({I.ROW_ID: pd.Series(dtype="int64"), "d": pd.Series(dtype=float), "id": pd.Series(dtype="int64"), "t": pd.Series(dtype=float)})
-        if not len(ids) or not len(rows):
-            return none
-        a, b = (np.array([[np.nan if v is None else v for v in f] for f in side["f"]], float).reshape(-1, features) for side in (rows, others))
-        step, out, names = max(1, 2_000_000 // len(ids)), [], rows[I.ROW_ID].to_numpy()
-        for at in range(0, len(a), step):
-            total, known = np.zeros((len(a[at : at + step]), len(b))), np.zeros((len(a[at : at + step]), len(b)), np.int16)
-            for i in range(features):
-                apart = np.abs(a[at : at + step, i, None] - b[None, :, i])
-                here = ~np.isnan(apart)
-                total += np.where(here, apart, 0.0)
-                known += here
-            d = np.where(known > 0, total / np.maximum(known, 1), np.inf)
-            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(d), np.inf)
-            for row in range(len(d)):
-                within = np.flatnonzero((d[row] <= kth[row]) & np.isfinite(d[row]))
-                # Candidates are in order of id, so a stable sort leaves ties to the lower one.
-                within = within[np.argsort(d[row, within], kind="stable")[:k]]
-                out.append((np.full(len(within), names[at + row]), d[row, within], ids[within], t[within]))
-        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(none.columns)}) if out else none
-
-    # Named anew, as both come of the same table.
-    mine, theirs = (side.select(*columns).toDF(*columns) for side, columns in ((mine, [*keys, I.ROW_ID, "f"]), (theirs, [*keys, I.ROW_ID, "t", "f"])))
-    grouped = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys))
-    return grouped.applyInPandas(run, _FOUND)
+    middle = (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+    return neighbours.nearest(flat, len(features), k).select(I.ROW_ID, F.when(n > 0, middle).alias("__knn"))
 
 
 def apply(df: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, dict]:
@@ -175,13 +96,13 @@ def apply(df: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFram
     wanted = [c for c in wanted if c in limits]
     parts = [I.globals_(spark, whole)]
     if wanted and keys:
-        groups = group_medians(df, keys, wanted)
+        medians = group_medians(df, keys, wanted)
         # At most 50 values a key and 3 keys, so the groups may be broadcast; Spark decides by their size.
         on = None
         for i, k in enumerate(keys):
             test = F.col(f"`{k}`").eqNullSafe(F.col(f"__key{i}"))
             on = test if on is None else on & test
-        joined = df.join(groups, on, "left")
+        joined = df.join(medians, on, "left")
         rules, filled = [], {}
         for c in wanted:
             gap, med, size = F.col(f"`{c}`").isNull(), F.col(f"__med_{c}"), F.col("__size")

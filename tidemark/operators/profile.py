@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .heads import first_known
 from .issues import ROW_ID
 
 NUMERIC = (T.NumericType, T.BooleanType)
@@ -313,13 +314,6 @@ def meaning_of_name(name: str) -> str | None:
     return next((m for m, keys in MEANING_WORDS.items() if words & set(keys)), None)
 
 
-def first_known(df: DataFrame, names: list[str], n: int) -> DataFrame:
-    """column, value: the first n known values of each column, by row.  A limit that defines a heuristic's sample."""
-    flat = df.select(ROW_ID, *[F.col(f"`{c}`").cast("string").alias(c) for c in names])
-    long = flat.unpivot([ROW_ID], names, "column", "value").filter(F.col("value").isNotNull())
-    return first_rows(long, ["column"], ROW_ID, n).drop(ROW_ID)
-
-
 #: Up to so many rows of a key, Spark itself drops the others before a shuffle.
 LIMITED = 1000
 

@@ -130,14 +130,14 @@ def fit(df: DataFrame, config: Config = Config()) -> Plan:
     roles = {f.name: "id" for f in fields if config.protect_ids and id_by_name(f.name, config)}
     rest = [f for f in fields if f.name not in roles]
     if rest:
-        sample = P.first_known(df, [f.name for f in rest], config.id_sample)
-        s = X.strip(F.col("value"))
-        signals = {r["column"]: r.asDict() for r in sample.groupBy("column").agg(*[c.alias(k) for k, c in _id_signals(s).items()]).collect()}
         texts = [f.name for f in rest if P.is_text(f)]
-        dated = {}
-        if texts:
-            dates = P.first_known(df, texts, config.date_sample)
-            dated = {r["column"]: r["r"] for r in dates.groupBy("column").agg(F.avg(X.to_datetime(F.col("value")).isNotNull().cast("double")).alias("r")).collect()}
+        # One sample for ids and dates, the shorter of the two being its beginning.
+        sample = P.first_known(df, [f.name for f in rest], max(config.id_sample, config.date_sample))
+        s, place = X.strip(F.col("value")), F.col("place")
+        wanted = _id_signals(F.when(place <= config.id_sample, s))
+        wanted["dated"] = F.avg(F.when((place <= config.date_sample) & F.col("column").isin(texts), X.to_datetime(F.col("value")).isNotNull().cast("double")))
+        signals = {r["column"]: r.asDict() for r in sample.groupBy("column").agg(*[c.alias(k) for k, c in wanted.items()]).collect()}
+        dated = {c: m["dated"] or 0.0 for c, m in signals.items()}
         numeric = P.measure(df, {(f.name, "r"): P.ratio(X.number(F.col(f"`{f.name}`"), f.dataType).isNotNull()) for f in rest})
         for f in rest:
             share = numeric[f.name]["r"] or 0.0
