@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import profile as P
-from tidemark.operators import structure
+from tidemark.operators import impute, semantics, structure
 from tidemark.plans import advisor as A
 from tidemark.plans.cli import main, summarise
 from tidemark.plans.pipeline import CleaningPipeline, Options, fit_and_save, without_row_id
@@ -129,6 +129,22 @@ def test_columns_are_renamed_by_name(spark):
         assert out.filter("height_m is null or height_m < 1").count() == 0
 
 
+def test_modes_do_not_overrule_what_is_given(spark, tmp_path):
+    """A mode sets the threshold and whether gaps are filled only where the caller leaves that open; configs handed in stay as they are."""
+    mine, off = semantics.Config(threshold=0.5), impute.Config(enabled=False)
+    o = Options(semantics=mine, impute=off)
+    assert o.semantics is mine and mine.threshold == 0.5 and off.enabled is False
+    assert Options(mode="aggressive").semantics.threshold == 0.60 and Options().impute_missing is True and Options(mode="conservative").impute_missing is False
+    df = spark.createDataFrame([(float(i) if i % 5 else None, float(i)) for i in range(40)], "v double, w double")
+    keep = structure.Config(impute=False)
+    for options, gaps in ((Options(impute=off, structure=keep), 8), (Options(mode="conservative", structure=keep), 8), (Options(mode="conservative", impute_missing=True, structure=keep), 0), (Options(impute_missing=False, structure=keep), 8), (Options(structure=keep), 0)):
+        p = CleaningPipeline(options).fit(df)
+        p.save(str(tmp_path / "m.json"))
+        again = CleaningPipeline.load(str(tmp_path / "m.json"))
+        assert again.options.semantics == options.semantics and again.options.impute == options.impute and again.options.impute_missing == options.impute_missing
+        assert again.transform(df, strict=True).df.filter("v is null").count() == gaps
+
+
 def test_saved_options_and_unchanged_callers(spark, tmp_path):
     options = Options(mode="aggressive", numeric_tolerance=2.5, custom_patterns={"x": {"regex": "a+"}})
     options.structure.id_words = ["kennung"]

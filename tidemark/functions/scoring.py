@@ -60,9 +60,3 @@ def pattern_confidence(hit_ratio: float) -> float:
 def decayed(confidence: float, days: int) -> float:
     """5 % less for every 30 days, between 0 and 1."""
     return max(0.0, min(1.0, confidence * 0.95 ** (days / 30)))
-
-
-def regex_is_safe(pattern: str | None) -> bool:
-    """Not empty, at most 250 characters, without nested quantifiers."""
-    p = (pattern or "").strip()
-    return bool(p) and len(p) <= 250 and not any(x in p for x in ("(.*.*)", "(.+.+)", "(.*)+", "(.+)+", "(.*){", "(.+){"))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from functools import wraps
 from typing import Protocol
 
-from ..functions.scoring import regex_is_safe
+from ..functions import expressions
 
 # What advice may say.
 TYPES = {"ID", "BOOLEAN", "DATE", "DATETIME", "AGE", "YEAR", "PERCENTAGE", "SCORE", "COUNT", "MONEY", "AMOUNT", "CATEGORY", "TEXT", "EMAIL", "PHONE", "ZIP", "URL"}
@@ -130,7 +130,7 @@ def safe(advice: dict, columns: list[str]) -> dict:
             sure = 0.0
         entry = {"semantic_type": kind if kind in TYPES else "TEXT", "confidence": sure, "protect": kind == "ID"}
         pattern = a.get("regex")
-        if regex_is_safe(pattern) and _compiles(pattern):
+        if expressions.is_safe(pattern) and _compiles(pattern):
             entry["regex"] = pattern
         alias = str(a.get("alias") or "").strip().lower()
         if alias in CANONICAL and alias not in taken and len(taken) < MOST_ALIASES:

@@ -34,8 +34,9 @@ class Options:
     aliasing: bool = True
     structure: structure.Config = field(default_factory=structure.Config)
     quality: quality.Config = field(default_factory=quality.Config)
-    semantics: semantics.Config = field(default_factory=semantics.Config)
+    semantics: semantics.Config | None = None  # as given; else the mode sets its threshold
     impute: impute.Config = field(default_factory=impute.Config)
+    impute_missing: bool | None = None  # as given; else the mode tells.  impute.enabled=False switches imputation off either way
     date_tolerance: int = 0
     numeric_tolerance: float = 0.0
     custom_patterns: dict[str, dict] = field(default_factory=dict)
@@ -49,7 +50,11 @@ class Options:
     def __post_init__(self):
         if self.mode not in MODES:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
-        self.impute.enabled, self.semantics.threshold = MODES[self.mode]
+        fills, threshold = MODES[self.mode]
+        if self.semantics is None:
+            self.semantics = semantics.Config(threshold=threshold)
+        if self.impute_missing is None:
+            self.impute_missing = fills
 
 
 @dataclass
@@ -147,7 +152,7 @@ class CleaningPipeline:
             "semantics": stage_semantics,
             "relations": lambda d: relations.apply(d, o.date_tolerance, o.numeric_tolerance),
             "patterns": lambda d: patterns.apply(d, custom, o.fix_patterns),
-            "impute": lambda d: impute.apply(d, o.impute),
+            "impute": lambda d: impute.apply(d, replace(o.impute, enabled=o.impute.enabled and o.impute_missing)),
             "export": lambda d: _middle(export.apply(d)) if o.export_dates else (d, None, {}),
         }
         made, kept = df, 0

@@ -497,6 +497,48 @@ def knn_impute(spark, sf_dir):
     return near.select(F.col(I.ROW_ID).alias("s_suppkey"), F.round("__knn", 4).alias("value"))
 
 
+_HOT = "(SELECT CASE WHEN l_orderkey % 10 < 7 THEN 'hot' WHEN l_orderkey % 10 < 9 THEN l_returnflag END AS grp, l_linenumber % 2 AS half, CASE WHEN l_orderkey % 3 <> 0 THEN l_extendedprice END AS price, l_quantity AS quantity FROM lineitem)"
+
+
+@query(f"SELECT grp, half, count(*) AS size, round(median(price), 4) AS price, round(median(quantity), 4) AS quantity FROM {_HOT} GROUP BY grp, half")
+def group_medians_of_a_hot_group(spark, sf_dir):
+    """Exact medians of two columns where one key holds most rows, nulls being a key and values missing."""
+    k = F.col("l_orderkey")
+    df = _table(spark, sf_dir, "lineitem").select(F.when(k % 10 < 7, "hot").when(k % 10 < 9, F.col("l_returnflag")).alias("grp"), (F.col("l_linenumber") % 2).alias("half"), F.when(k % 3 != 0, F.col("l_extendedprice")).alias("price"), F.col("l_quantity").alias("quantity"))
+    found = impute.group_medians(df, ["grp", "half"], ["price", "quantity"])
+    return found.select(F.col("__key0").alias("grp"), F.col("__key1").alias("half"), F.col("__size").alias("size"), F.round("__med_price", 4).alias("price"), F.round("__med_quantity", 4).alias("quantity"))
+
+
+_HOLES = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 9 <> 4 THEN CAST(c_custkey * 7919 % 1009 AS DOUBLE) END AS t, CASE WHEN c_custkey * 31 % 10 > 2 THEN c_acctbal END AS a, CASE WHEN c_custkey * 57 % 100 > 29 THEN CAST(c_custkey * 104729 % 5003 AS DOUBLE) END AS b, CASE WHEN c_custkey * 83 % 1000 > 299 THEN CAST(c_nationkey * 100 AS DOUBLE) END AS c FROM customer)"
+
+
+@query(f"""WITH d AS (SELECT * FROM {_HOLES}),
+p AS (SELECT x.id, y.id AS other, y.t, (CASE WHEN x.a IS NOT NULL AND y.a IS NOT NULL THEN abs(x.a - y.a) ELSE 0 END + CASE WHEN x.b IS NOT NULL AND y.b IS NOT NULL THEN abs(x.b - y.b) ELSE 0 END + CASE WHEN x.c IS NOT NULL AND y.c IS NOT NULL THEN abs(x.c - y.c) ELSE 0 END)
+/ nullif(CAST(x.a IS NOT NULL AND y.a IS NOT NULL AS INT) + CAST(x.b IS NOT NULL AND y.b IS NOT NULL AS INT) + CAST(x.c IS NOT NULL AND y.c IS NOT NULL AS INT), 0) AS far FROM d x, d y WHERE x.t IS NULL AND y.t IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, other) AS n FROM p WHERE far IS NOT NULL)
+SELECT d.id AS c_custkey, median(r.t) AS value FROM d LEFT JOIN r ON d.id = r.id AND r.n <= 5 WHERE d.t IS NULL GROUP BY d.id""")
+def knn_missing_features(spark, sf_dir):
+    """Neighbours by three features, three in ten of each missing: exact, by blocks whose boxes leave them possible."""
+    k, c = F.col("c_custkey").cast("long"), _table(spark, sf_dir, "customer")
+    df = c.select(
+        k.alias(I.ROW_ID),
+        F.when(k % 9 != 4, (k * 7919 % 1009).cast("double")).alias("t"),
+        F.when(k * 31 % 10 > 2, F.col("c_acctbal")).alias("a"),
+        F.when(k * 57 % 100 > 29, (k * 104729 % 5003).cast("double")).alias("b"),
+        F.when(k * 83 % 1000 > 299, (F.col("c_nationkey") * 100).cast("double")).alias("c"),
+    )
+    return impute.nearest(df, "t", ["a", "b", "c"], 5).select(F.col(I.ROW_ID).alias("c_custkey"), F.col("__knn").alias("value"))
+
+
+@query(f"SELECT column_name, value, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY o_orderkey) AS place FROM ("
+    + _per_column(f"SELECT o_orderkey, '{{c}}' AS column_name, CAST({{c}} AS VARCHAR) AS value FROM {_ORDERS}", ["o_custkey", "o_orderstatus", "o_orderpriority"])
+    + ") WHERE value IS NOT NULL) WHERE place <= 3000")
+def first_known_values(spark, sf_dir):
+    """The sample of 3,000 known values of each column that types are judged by."""
+    found = P.first_known(_orders(spark, sf_dir), ["o_custkey", "o_orderstatus", "o_orderpriority"], 3000)
+    return found.withColumnRenamed("column", "column_name")
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d 00:00:00') AS day, event_type FROM events")
 def export_datetime(spark, sf_dir):
     e = _table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
@@ -526,7 +568,7 @@ def _issues(spark, sf_dir) -> DataFrame:
 
 _ISSUES = """(SELECT CASE WHEN (l_orderkey * 10 + l_linenumber) % 50 <> 0 THEN l_orderkey END AS row, 'c' || CAST(l_linenumber % 3 AS VARCHAR) AS column, CASE l_linenumber % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'pattern' ELSE 'relationship' END AS stage,
 CASE l_linenumber % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'info' ELSE 'warn' END AS severity, CASE l_linenumber % 4 WHEN 0 THEN 2.5 WHEN 1 THEN 0.25 ELSE 1.0 END + CAST(0 AS DOUBLE) AS weight,
-CASE WHEN l_linenumber % 5 = 0 THEN 'duplicate value' ELSE 'rule ' || CAST(l_linenumber % 2 AS VARCHAR) END AS issue, greatest(0.1, least(1.0, l_discount * 11.5 + 0.05)) + CAST(0 AS DOUBLE) AS conf FROM lineitem)"""
+CASE WHEN l_linenumber % 5 = 0 THEN 'duplicate value' ELSE 'rule ' || CAST(l_linenumber % 2 AS VARCHAR) END AS issue, greatest(0.1, least(1.0, l_discount * 11.5 + 0.05)) + CAST(0 AS DOUBLE) AS conf, l_discount * 11.5 + 0.05 + CAST(0 AS DOUBLE) AS raw FROM lineitem)"""
 
 
 @query(f"SELECT \"column\", issue, count(*) AS count FROM {_ISSUES} WHERE row IS NOT NULL GROUP BY ALL")
@@ -549,14 +591,32 @@ def issue_ids(spark, sf_dir):
     return I.with_ids(_issues(spark, sf_dir)).select("row", "column", "stage", "issue", "issue_id")
 
 
-@query(f"SELECT DISTINCT row, \"column\", stage, issue FROM {_ISSUES}")
+@query(f"SELECT row, \"column\", stage, issue, round(max(raw), 6) AS confidence FROM {_ISSUES} GROUP BY ALL")
 def issue_distinct(spark, sf_dir):
-    return I.distinct(_issues(spark, sf_dir)).select("row", "column", "stage", "issue")
+    """Of issues alike in row, column, stage and kind, the most confident."""
+    return I.distinct(_issues(spark, sf_dir)).select("row", "column", "stage", "issue", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"SELECT \"column\", issue, count(*) AS count, count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info FROM {_ISSUES} WHERE row IS NOT NULL GROUP BY ALL")
+@query(f"SELECT \"column\", issue, count(*) AS count, count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, array_to_string(list_sort(list(row))[1:3], ',') AS example_rows FROM {_ISSUES} WHERE row IS NOT NULL GROUP BY \"column\", issue")
 def drilldown(spark, sf_dir):
-    return scorecard.drilldown(_issues(spark, sf_dir), ["c0", "c1", "c2"]).select("column", "issue", "count", "error", "warn", "info")
+    found = scorecard.drilldown(_issues(spark, sf_dir), ["c0", "c1", "c2"])
+    return found.select("column", "issue", "count", "error", "warn", "info", F.concat_ws(",", F.transform("examples", lambda e: e["row"].cast("string"))).alias("example_rows"))
+
+
+@query(f"SELECT \"column\", issue, stage, severity, row IS NOT NULL AS row_level, count(*) AS count, round(sum(weight * conf), 4) AS penalty FROM {_ISSUES} GROUP BY ALL")
+def issue_summary(spark, sf_dir):
+    """What all counts and scores of a scorecard are sums of, from one pass over the issues."""
+    return scorecard.summary(_issues(spark, sf_dir)).withColumn("penalty", F.round("penalty", 4))
+
+
+@query(f"""WITH i AS (SELECT * FROM {_ISSUES} WHERE row IS NOT NULL)
+SELECT * FROM (SELECT 'column' AS kind, "column" AS name, count(*) AS count FROM i GROUP BY "column" UNION ALL SELECT 'issue', issue, count(*) FROM i GROUP BY issue
+UNION ALL SELECT 'warnings', '', count(*) FROM {_ISSUES} WHERE row IS NULL UNION ALL SELECT 'rows', '', count(*) FROM i)""")
+def scorecard_counts(spark, sf_dir):
+    """The worst columns, the kinds of issues and the warnings of a scorecard."""
+    card = scorecard.score(_orders(spark, sf_dir), _issues(spark, sf_dir))
+    rows = [(kind, x["name"], x["count"]) for kind, part in (("column", "worst_columns"), ("issue", "issue_types")) for x in card["analytics"][part]]
+    return spark.createDataFrame([*rows, ("warnings", "", card["warnings"]["count"]), ("rows", "", card["row_issues"])], "kind string, name string, count long")
 
 
 @query(f"""WITH i AS (SELECT * FROM {_ISSUES} WHERE row IS NOT NULL), o AS (SELECT * FROM {_ORDERS}), n AS (SELECT count(*) AS n, count(*) * 6 AS cells, count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_orderdate) + count(o_totalprice) + count(o_orderpriority) AS known FROM o),
