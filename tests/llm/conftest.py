@@ -2,7 +2,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
-CLASHING = ["score", "node", "tile", "shard", "slot", "start", "hashes", "_node", "group", "media", "_raw", "_parts", "anchors", "gaps", "key", "spread"]
+CLASHING = ["score", "node", "tile", "shard", "slot", "start", "hashes", "_node", "group", "media", "_raw", "_parts", "anchors", "gaps", "key", "spread", "rank", "weight", "n_words", "n_features", "ids", "x", "value", "cell"]
 
 
 @pytest.fixture(scope="session")

@@ -67,7 +67,11 @@ def statistics_of(text: str | None) -> list[float]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, stats array<double> of every whole text of docs(doc_id, text)."""
+    """doc_id, stats array<double> of every whole text of docs(doc_id, text).
+
+    A null, empty or white-space text has statistics of 0; null ids and repeated rows are
+    measured like any other; an empty table gives no rows; other columns are ignored.
+    """
 
     def make():
         def step(batch):
@@ -124,7 +128,8 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, feat
     Ids whose crc32 modulo folds is held are never learned from; the last other fold is
     kept for calibration and the rest fit the ridge.  Every such labelled row counts.
     Without labels (or with one class) the score is that class's smoothed share, 0.5
-    without any.
+    without any.  A null id meets no label; rows that share a labelled id all count; an
+    empty table is one without labels.
     """
     rows = stats.join(labels, "doc_id").filter(in_fold(F.col("doc_id"), folds, held))
     rows = stash(rows.withColumn("fold", bucket(F.col("doc_id"), folds)), "labelled-stats")
@@ -185,7 +190,12 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores at least threshold."""
+    """The rows of docs, all columns as they are, whose text scores at least threshold.
+
+    A null or empty text is scored by statistics of 0; rows with null ids are judged by
+    their text, repeated rows alike; an empty table gives no rows; columns of any name are
+    kept.
+    """
     at = docs.columns.index("text")
 
     def make():

@@ -176,7 +176,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file of every document of the files that write() told of.
 
     Only the files in the table are opened, whatever else lies in the folder.  The bounds
-    of a document are selected from its file's Elias-Fano list.  Each file tells how many
+    of a document are selected from its file's Elias-Fano list.  Null and repeated ids come
+    back as they were written; no files give no rows.  Each file tells how many
     ids of its part come before it; what comes before a part is summed on the driver, from
     one row for each part.
     """
