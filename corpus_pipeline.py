@@ -27,24 +27,42 @@ NEAR = jaccard.Threshold(80, 100)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; learned from the labels of documents still here."""
+    """Documents whose toxicity score is below TOXIC; learned from the labels of documents still here.
+
+    A null or empty text has the model's bias for a score; null ids are judged by their
+    text and not learned from, repeated rows alike; an empty table stays empty; without
+    labels every score is 0.5, so all documents go; columns of any name are kept.
+    """
     model = toxicity.fit(docs, labelled(table(spark, sf_dir, "labels"), "toxic"))
     return toxicity.keep_clean(docs, model, TOXIC)
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least GOOD; learned from the labels of documents still here."""
+    """Documents whose quality score is at least GOOD; learned from the labels of documents still here.
+
+    A null or empty text is scored by statistics of 0; null ids are judged by their text
+    and not learned from, repeated rows alike; an empty table stays empty; without labels
+    every score is 0.5, so all documents stay; columns of any name are kept.
+    """
     model = quality.fit(quality.statistics(docs), labelled(table(spark, sf_dir, "labels"), "quality"))
     return quality.keep_good(docs, model, GOOD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links connect: that of the least id."""
+    """One document of each group that near-duplicate links connect: that of the least id.
+
+    Texts without words are linked with nothing, so all of them stay; repeated rows are
+    copies of each other; an empty table stays empty; columns of any name are kept.
+    """
     return jaccard.keep_one(docs, SHINGLE_WORDS, NEAR)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths of every document, none crossing documents."""
+    """Pieces of power-of-two lengths of every document, none crossing documents.
+
+    A null or empty text is one piece of its end id; null ids and repeated rows are packed
+    like any other row; an empty table gives no pieces; other columns are dropped.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
