@@ -139,6 +139,7 @@ def test_memory_and_history(tmp_path):
     m = LearningMemory(str(tmp_path / "m.json"))
     for _ in range(5):
         m.record("C", "money", 0.5, False)
+    m.save()
     assert LearningMemory(str(tmp_path / "m.json")).penalty("c", "money") == 0.25
     assert LearningMemory(rule="long").penalty("c", "money") == 0.0
     h = SemanticHistory(str(tmp_path / "h.json"))

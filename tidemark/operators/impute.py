@@ -16,6 +16,10 @@ from . import profile as P
 CONFIDENCE = {"group_median": 0.85, "knn_numeric": 0.75, "global_median": 0.60}
 
 
+#: Different values, at most, of a column that groups rows.
+MOST_GROUPS = 50
+
+
 @dataclass
 class Config:
     enabled: bool = True
@@ -41,10 +45,13 @@ def group_columns(df: DataFrame, most: int = 3) -> list[str]:
     names = [f.name for f in P.columns_of(df) if not P.is_numeric(f) and not P.is_date(f)]
     if not names:
         return []
-    flat = df.select(*[X.strip(F.col(f"`{c}`")).alias(c) for c in names])
-    counts = P.value_counts(flat, names)
+    stripped = {c: X.strip(F.col(f"`{c}`")) for c in names}
+    few = P.few_valued(df, stripped, MOST_GROUPS)
+    if not few:
+        return []
+    counts = P.value_counts(df.select(*[stripped[c].alias(c) for c in few]), few)
     shape = counts.groupBy("column").agg(F.count("*").alias("unique"), F.sum("count").alias("known"), (F.sum(F.length("value") * F.col("count")) / F.sum("count")).alias("length"))
-    found = [(r["unique"] / r["known"], r["unique"], names.index(r["column"]), r["column"]) for r in shape.collect() if r["unique"] / r["known"] <= 0.6 and r["unique"] <= 50 and r["length"] <= 25]
+    found = [(r["unique"] / r["known"], r["unique"], names.index(r["column"]), r["column"]) for r in shape.collect() if r["unique"] / r["known"] <= 0.6 and r["unique"] <= MOST_GROUPS and r["length"] <= 25]
     return [c for *_, c in sorted(found)[:most]]
 
 

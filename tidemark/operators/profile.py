@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from . import sketches
 from .heads import first_known
 from .issues import ROW_ID
 
@@ -69,9 +70,13 @@ def value_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def distinct_counts(df: DataFrame, names: list[str] | None = None) -> dict[str, int]:
     """Number of known distinct values of each column."""
-    names = names or [f.name for f in columns_of(df)]
-    found = {r["column"]: r["n"] for r in value_counts(df, names).groupBy("column").agg(F.count("*").alias("n")).collect()}
-    return {c: found.get(c, 0) for c in names}
+    return sketches.exact(df, [f.name for f in columns_of(df)] if names is None else names)
+
+
+def few_valued(df: DataFrame, values: dict[str, Column], most: int) -> list[str]:
+    """Those columns that may have `most` different values or fewer: what counting values is worth while for.  One aggregate."""
+    found = measure(df, {(c, "n"): sketches.estimate(x) for c, x in values.items()})
+    return [c for c in values if (found[c]["n"] or 0) * (1 - sketches.ERROR) <= most]
 
 
 def top_values(counts: DataFrame, k: int = 5) -> DataFrame:
@@ -242,21 +247,26 @@ def profile(df: DataFrame, top: int = 5, frequencies: bool = True, moments: bool
 
 def input_warnings(df: DataFrame) -> list[str]:
     """What is odd about an input: few rows, no columns, mostly missing, empty or constant columns."""
-    fields = columns_of(df)
-    if not fields:
-        return ["the input has no columns"]
-    rows = df.count()
-    known = measure(df, {(f.name, "n"): F.count(F.col(f"`{f.name}`")) for f in fields})
-    unique = distinct_counts(df)
+    return input_state(df)[0]
+
+
+def input_state(df: DataFrame) -> tuple[list[str], int]:
+    """Warnings of an input, and its number of rows: one aggregate."""
+    names = [f.name for f in columns_of(df)]
+    if not names:
+        return ["the input has no columns"], df.count()
+    text = {c: F.col(f"`{c}`").cast("string") for c in names}
+    seen = measure(df, {("", "rows"): F.count("*")} | {(c, k): e for c, x in text.items() for k, e in (("known", F.count(x)), ("min", F.min(x)), ("max", F.max(x)))})
+    rows = seen.pop("")["rows"]
     out = [f"only {rows} rows"] if rows < 10 else []
-    missing = sum(rows - v["n"] for v in known.values())
-    if rows and missing / (rows * len(fields)) > 0.5:
+    missing = sum(rows - v["known"] for v in seen.values())
+    if rows and missing / (rows * len(names)) > 0.5:
         out.append("more than half of all cells are missing")
-    if empty := [c for c, v in known.items() if not v["n"]]:
+    if empty := [c for c, v in seen.items() if not v["known"]]:
         out.append(f"empty columns: {', '.join(empty)}")
-    if constant := [c for c, n in unique.items() if n == 1]:
+    if constant := [c for c, v in seen.items() if v["known"] and v["min"] == v["max"]]:
         out.append(f"constant columns: {', '.join(constant)}")
-    return out
+    return out, rows
 
 
 def drift(df: DataFrame, trained: dict[str, dict[str, float]], low: float = 0.05, medium: float = 0.15) -> dict[str, dict[str, object]]:
@@ -273,15 +283,21 @@ def drift(df: DataFrame, trained: dict[str, dict[str, float]], low: float = 0.05
 
 
 def rates(df: DataFrame) -> dict[str, dict[str, float]]:
-    """missing_rate, unique_rate and top_freq of each column."""
+    """missing_rate, unique_rate and top_freq of each column; values are counted by 64-bit hashes, so that long ones aren't shuffled."""
     names = [f.name for f in columns_of(df)]
-    row = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(names)]).first()
-    per = {r["column"]: r for r in value_counts(df, names).groupBy("column").agg(F.count("*").alias("unique"), F.max("count").alias("top")).collect()}
-    n = max(row["n"], 1)
+    if not names:
+        return {}
+    # A null counts under its own hash, so that one pass gives rows and known values too.
+    flat = df.select(*[sketches.hashed(F.col(f"`{c}`")).alias(c) for c in names]).unpivot([], names, "column", "value")
+    known = F.col("value").isNotNull()
+    each = flat.groupBy("column", "value").agg(F.count("*").alias("n"))
+    per = each.groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.when(known, F.col("n"))).alias("known"), F.count("value").alias("unique"), F.max(F.when(known, F.col("n"))).alias("top"))
+    seen = {r["column"]: r for r in per.collect()}
     out = {}
-    for i, c in enumerate(names):
-        known = row[f"k{i}"]
-        out[c] = {"missing_rate": (row["n"] - known) / n, "unique_rate": (per[c]["unique"] if c in per else 0) / n, "top_freq": per[c]["top"] / known if c in per else 0.0}
+    for c in names:
+        r = seen.get(c)
+        n, k = (r["rows"], r["known"] or 0) if r else (1, 1)
+        out[c] = {"missing_rate": (n - k) / n, "unique_rate": (r["unique"] if r else 0) / n, "top_freq": r["top"] / k if r and k else 0.0}
     return out
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from . import profile as P
+from . import sketches
 
 # Substrings of names that mark a column as an id, and card numbers.
 ID_WORDS = [
@@ -154,7 +155,7 @@ def fit(df: DataFrame, config: Config = Config()) -> Plan:
     bounds = {c: (q[0] - config.outlier_factor * (q[2] - q[0]), q[2] + config.outlier_factor * (q[2] - q[0])) for c, q in quartiles.items() if q is not None}
     categories = [c for c, r in roles.items() if r == "categorical"]
     modes = {c: "unknown" if m is None else m for c, m in P.mode_of(df, categories).items()}
-    lowered = [c for c, n in P.distinct_counts(df, categories).items() if n <= config.lower_upto] if categories else []
+    lowered = [c for c, n in sketches.distinct(df, categories, at_most=config.lower_upto).items() if n <= config.lower_upto] if categories else []
     plan = Plan({f.name: f.dataType.simpleString() for f in fields}, roles, medians, modes, bounds, lowered, warnings)
     plan.version = f"v1_{dt.datetime.now(dt.UTC):%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
     plan.digest = hashlib.sha256(json.dumps({"schema": plan.schema, "roles": roles}, sort_keys=True).encode()).hexdigest()

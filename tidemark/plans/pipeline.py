@@ -10,14 +10,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import export, impute, names, patterns, quality, relations, semantics, structure
 from ..operators import issues as I
 from ..operators import profile as P
+from ..sources import scratch, shared
 from ..sources.files import ingest
 from ..sources.stores import LearningMemory, SemanticHistory
 from . import advisor as A
@@ -110,8 +109,8 @@ class CleaningPipeline:
         df = ingest(df)
         spark = df.sparkSession
         found: list[DataFrame] = []
-        rows = row_count(df)
-        report: dict = {"stages": {}, "status": "success", "advisor": plans["advisor"], "input_warnings": P.input_warnings(df), "rows": {"before": rows}}
+        warnings, rows = P.input_state(df)
+        report: dict = {"stages": {}, "status": "success", "advisor": plans["advisor"], "input_warnings": warnings, "rows": {"before": rows, "after": rows}, "nulls": {}}
         advice, custom = dict(plans["advice"]), dict(plans["custom_patterns"])
 
         def stage_semantics(df):
@@ -165,9 +164,11 @@ class CleaningPipeline:
                 if name != "names" and (changed["dropped"] or changed["new"] or changed["order_changed"]) and not o.structure.force_schema:
                     raise ValueError(f"stage {name} changed the columns: {changed}")
                 if name in BOUNDARIES:
-                    out = boundary(out)
-                    if (now := row_count(out)) != rows:
+                    # Rows and nulls are counted by the job that makes the frame.
+                    out, now, nulls = scratch.made(out, name)
+                    if now != rows:
                         raise ValueError(f"stage {name} made {now} rows of {rows}")
+                    report["nulls"][name] = {c: n for c, n in nulls.items() if c != P.ROW_ID}
                 df = out
                 report["stages"][name] = told | {"status": "success"}
                 if issues is not None:
@@ -184,7 +185,6 @@ class CleaningPipeline:
                 report["stages"][name] = {"status": "failed", "error": str(e)}
         if progress:
             progress("done", 1.0)
-        report["rows"]["after"] = row_count(df)
         report["columns"] = {"before": before.columns, "after": [c for c in df.columns if c != P.ROW_ID]}
         self.last_report = report
         return Result(df, I.distinct(I.union(spark, found)), report)
@@ -193,15 +193,14 @@ class CleaningPipeline:
         return self.fit(df).transform(df, **k)
 
     def save(self, path: str) -> None:
-        """The plans and all options as a JSON file."""
+        """The plans and all options as a JSON file, whole or not at all; path may be a URI."""
         if self.plans is None:
             raise RuntimeError("fit the pipeline first")
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps({"options": asdict(self.options), "plans": self.plans}, default=str, indent=1), encoding="utf-8")
+        shared.write_text(path, json.dumps({"options": asdict(self.options), "plans": self.plans}, default=str, indent=1))
 
     @classmethod
     def load(cls, path: str, options: Options | None = None) -> CleaningPipeline:
-        data = json.loads(Path(path).read_text(encoding="utf-8"))
+        data = json.loads(shared.read_text(path))
         if not data.get("plans"):
             raise ValueError("the file holds no fitted pipeline")
         parts = {"structure": structure.Config, "quality": quality.Config, "semantics": semantics.Config, "impute": impute.Config}
@@ -210,17 +209,10 @@ class CleaningPipeline:
         return out
 
 
-#: Stages after which the frame is kept, so that later aggregates do not repeat all before them.
+#: Stages after which the frame is made a table of its own, so that later aggregates do not repeat all before them.
 BOUNDARIES = ("quality", "relations", "impute")
 
 
-def boundary(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the session names, or cached (and recomputed where lost) without one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if folder else df.persist()
-
-
 def _middle(pair):
     df, told = pair
     return df, None, told
@@ -238,7 +230,3 @@ def fit_and_save(df: DataFrame, path: str, mode: str = "balanced", **options) ->
     out = build(mode, **options).fit(df)
     out.save(path)
     return out
-
-
-def row_count(df: DataFrame) -> int:
-    return df.agg(F.count("*")).first()[0]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import scoring as S
 from .functions import text as X
-from .operators import export, impute, names, patterns, quality, relations, scorecard, semantics, structure
+from .operators import export, impute, names, patterns, quality, relations, scorecard, semantics, sketches, structure
 from .operators import issues as I
 from .operators import profile as P
 
@@ -122,6 +122,20 @@ def semantic_meanings(spark, sf_dir):
     return spark.createDataFrame(list(found.items()), "column_name string, meaning string")
 
 
+@query(_per_column("SELECT '{c}' AS column_name, count(DISTINCT {c}) <= 60 AS few, count(DISTINCT {c}) <= 0.6 * count({c}) AS repeated, count(DISTINCT {c}) >= 0.95 * count({c}) AS nearly_unique FROM lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_partkey", "l_shipdate"]))
+def distinct_decisions(spark, sf_dir):
+    """What sketches decide about columns, counting exactly only where they leave it open; the parts of the table are sketched apart and merged."""
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_partkey", "l_shipdate"]
+    df = _table(spark, sf_dir, "lineitem").select(*names)
+    parts = [sketches.sketches(df.filter(F.col("l_orderkey") % 2 == k), names) for k in (0, 1)]
+    merged = sketches.merge(parts[0].unionByName(parts[1]))
+    known = {r["column"]: r["known"] for r in merged.collect()}
+    few = sketches.distinct(df, names, at_most=60, parts=merged)
+    repeated, unique = (sketches.distinct(df, names, share=share, parts=merged) for share in (0.6, 0.95))
+    rows = [(c, few[c] <= 60, repeated[c] <= 0.6 * known[c], unique[c] >= 0.95 * known[c]) for c in names]
+    return spark.createDataFrame(rows, "column_name string, few boolean, repeated boolean, nearly_unique boolean")
+
+
 @query("SELECT lang, source, count(*) AS docs, round(avg(CASE WHEN regexp_matches(text, '[*$%&#]{3}') THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS junk_share, round(avg(length(text)), 4) AS mean_length FROM documents GROUP BY lang, source")
 def document_quality_profile(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.issues import with_row_id
 from ..operators.names import strip_headers
 from ..operators.profile import nan_to_null
+from . import shared
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True, **options) -> DataFrame:
@@ -70,20 +71,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).mode("overwrite").csv(path)
 
 
+#: Rows of a sheet, headings included; a fixed value.
+SHEET_ROWS = 1_048_576
+
+
 def write_xlsx(df: DataFrame, path: str) -> None:
     try:
         import openpyxl  # noqa: F401
     except ImportError as e:
         raise NotImplementedError("writing workbooks needs the openpyxl package") from e
-    df.toPandas().to_excel(path, index=False)
+    # A sheet holds no more rows than this; one more tells of too many.
+    rows = df.limit(SHEET_ROWS).toPandas()
+    if len(rows) >= SHEET_ROWS:
+        raise ValueError(f"a sheet holds {SHEET_ROWS - 1} rows at most: write CSV instead")
+    rows.to_excel(path, index=False)
 
 
 def write_report(report: dict, path: str) -> bool:
-    """The report as JSON; False if it could not be written."""
+    """The report as JSON, whole or not at all; path may be a URI.  False if it could not be written."""
     try:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps(report, indent=2, default=str, ensure_ascii=False), encoding="utf-8")
-    except OSError:
+        shared.write_text(path, json.dumps(report, indent=2, default=str, ensure_ascii=False))
+    except (OSError, Py4JError):
         return False
     return True
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,3 +26,27 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made(df: DataFrame, label: str) -> tuple[DataFrame, int, dict[str, int]]:
+    """df as a table of its own, its number of rows, and the nulls of each column: all from the one job that writes it.
+
+    Columns of any name are kept; so are those of type void, which files can't hold.
+    """
+    spark, fields = df.sparkSession, df.schema.fields
+    void = [isinstance(f.dataType, T.NullType) for f in fields]
+    seen = Observation()
+    flat = df.toDF(*[f"c{i}" for i in range(len(fields))])
+    flat = flat.withColumns({f"c{i}": F.col(f"c{i}").cast("string") for i, v in enumerate(void) if v})
+    told = flat.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"c{i}").isNull()).alias(f"n{i}") for i in range(len(fields))])
+    path = f"{folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    told.write.parquet(path)
+    back = spark.read.schema(flat.schema).parquet(path)
+    back = back.select(*[(F.col(f"c{i}").cast("void") if v else F.col(f"c{i}")).alias(f.name) for i, (f, v) in enumerate(zip(fields, void, strict=True))])
+    return back, seen.get["rows"], {f.name: seen.get[f"n{i}"] for i, f in enumerate(fields)}
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables made so far; results that have not been read yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/tidemark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
