@@ -125,6 +125,9 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     added = [t["content"] for t in setup["added_tokens"]]
     if any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in setup["added_tokens"]):
         raise ValueError("added tokens that take or hold white space")
+    # Most chunks lack the character that all added tokens begin with, and need no further look.
+    marks = {t[:1] for t in added}
+    mark = marks.pop() if len(marks) == 1 else ""
     byte_level = parts[-1]["type"] == "ByteLevel" and not parts[-1]["add_prefix_space"]
     if byte_level and len(parts) == 1 and parts[0]["use_regex"] and not steps:
         pattern, lower = regex.compile(BYTE_LEVEL), False
@@ -151,7 +154,7 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
 
     def one(cache: ChunkCache, chunk: str) -> bytes:
         text = text_of(chunk)
-        if not plain(text) or any(map(text.__contains__, added)):
+        if not plain(text) or mark in text and any(map(text.__contains__, added)):
             return whole(text)
         if lower:
             text = text.lower()
