@@ -407,6 +407,16 @@ def url_prepend_fix(spark, sf_dir):
     return out.withColumnRenamed(I.ROW_ID, "page_id")
 
 
+@query("SELECT page_id, 'https://' || regexp_replace(url, '^https?://', '') AS link, 'ab' || page_id AS code FROM pages")
+def text_fixes(spark, sf_dir):
+    """Values that break a given pattern, repaired by its fix: another prefix, lower case."""
+    p, k = _table(spark, sf_dir, "pages"), F.col("page_id")
+    bare, code = F.regexp_replace("url", "^https?://", ""), F.concat(F.lit("ab"), k)
+    df = p.select(k.alias(I.ROW_ID), F.concat(F.when(k % 5 == 0, "http://").otherwise("https://"), bare).alias("link"), F.when(k % 4 == 0, F.upper(code)).otherwise(code).alias("code"))
+    custom = {"link": {"regex": "https://", "fix": {"action": "replace_prefix", "prefix": "http://", "value": "https://"}}, "code": {"regex": r"[a-z]+\d+", "fix": {"action": "lowercase"}}}
+    return patterns.apply(df, custom, fix=True)[0].withColumnRenamed(I.ROW_ID, "page_id")
+
+
 @query("SELECT row, 'code' AS column, 'pattern' AS stage, 'error' AS severity, 'part code pattern: invalid format' AS issue, CAST(0.8 AS DOUBLE) AS confidence FROM (SELECT p_partkey AS row FROM part) WHERE row % 5 = 0")
 def pattern_custom(spark, sf_dir):
     k = F.col("p_partkey")
@@ -605,6 +615,12 @@ def issue_ids(spark, sf_dir):
     return I.with_ids(_issues(spark, sf_dir)).select("row", "column", "stage", "issue", "issue_id")
 
 
+@query(f"SELECT \"column\", issue, row, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY \"column\", issue ORDER BY row NULLS FIRST) AS k FROM {_ISSUES}) WHERE k <= 1500 GROUP BY ALL")
+def first_issues_of_each_rule(spark, sf_dir):
+    """What a report shows of each kind of issue: the first 1,500, by row."""
+    return I.first_per_rule(_issues(spark, sf_dir), 1500).groupBy("column", "issue", "row").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT row, \"column\", stage, issue, round(max(raw), 6) AS confidence FROM {_ISSUES} GROUP BY ALL")
 def issue_distinct(spark, sf_dir):
     """Of issues alike in row, column, stage and kind, the most confident."""

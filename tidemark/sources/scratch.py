@@ -42,7 +42,7 @@ def made(df: DataFrame, label: str) -> tuple[DataFrame, int, dict[str, int]]:
     path = f"{folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
     told.write.parquet(path)
     back = spark.read.schema(flat.schema).parquet(path)
-    back = back.select(*[(F.col(f"c{i}").cast("void") if v else F.col(f"c{i}")).alias(f.name) for i, (f, v) in enumerate(zip(fields, void, strict=True))])
+    back = back.select(*[(F.lit(None) if v else F.col(f"c{i}")).alias(f.name) for i, (f, v) in enumerate(zip(fields, void, strict=True))])
     return back, seen.get["rows"], {f.name: seen.get[f"n{i}"] for i, f in enumerate(fields)}
 
 

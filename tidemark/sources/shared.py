@@ -11,11 +11,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def _session() -> SparkSession | None:
+    """This thread's session, or the one that was made last (threads of a pool have none of their own)."""
+    return SparkSession.getActiveSession() or SparkSession._instantiatedSession
+
+
+def _local(path: str) -> str | None:
+    """The path on the driver's own disk; None for a URI of another store."""
+    found = re.match(r"([a-z][a-z0-9+.-]+):/", path)
+    return path if not found else re.sub(r"^file:/+", "/", path) if found[1] == "file" else None
+
+
 def _store(path: str):
-    """The JVM, the file system and the path of a URI; None for a path on the driver's own disk."""
-    if not re.match(r"[a-z][a-z0-9+.-]+:/", path):
-        return None
-    spark = SparkSession.getActiveSession()
+    """The JVM, the file system and the path of a URI."""
+    spark = _session()
     if spark is None:
         raise RuntimeError(f"reading or writing {path} needs a Spark session")
     jvm = spark._jvm
@@ -25,9 +34,9 @@ def _store(path: str):
 
 def read_text(path: str) -> str:
     """The file's text; FileNotFoundError if there is none."""
-    if (found := _store(path)) is None:
-        return Path(path).read_text(encoding="utf-8")
-    jvm, fs, at = found
+    if (local := _local(path)) is not None:
+        return Path(local).read_text(encoding="utf-8")
+    jvm, fs, at = _store(path)
     if not fs.exists(at):
         raise FileNotFoundError(path)
     stream = fs.open(at)
@@ -39,30 +48,31 @@ def read_text(path: str) -> str:
 
 def write_text(path: str, text: str) -> None:
     """Puts the file in place by renaming one that is whole, so readers meet the old text or the new, and no part of either."""
-    if (found := _store(path)) is None:
-        target = Path(path)
+    if (local := _local(path)) is not None:
+        target = Path(local)
         target.parent.mkdir(parents=True, exist_ok=True)
         other = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
         other.write_text(text, encoding="utf-8")
         os.replace(other, target)
         return
-    jvm, fs, at = found
+    jvm, fs, at = _store(path)
     other = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
     stream = fs.create(other, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(rename, 1)
     how[0] = rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(other, at, how)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(other, at, how)
 
 
 def names_in(folder: str) -> list[str]:
     """Names of the files in a folder, in order; none if there is no folder."""
-    if (found := _store(folder)) is None:
-        return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
-    _, fs, at = found
+    if (local := _local(folder)) is not None:
+        return sorted(os.listdir(local)) if os.path.isdir(local) else []
+    _, fs, at = _store(folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
