@@ -13,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from ..sources import scratch
 from ..sources.files import read, write_csv, write_issues, write_report
 from .pipeline import MODES, CleaningPipeline, fit_and_save
 from .runner import clean_and_score
@@ -56,4 +57,8 @@ def main(args: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    code = main()
+    if spark := SparkSession.getActiveSession():
+        # All results are written by now.
+        scratch.clear(spark)
+    raise SystemExit(code)

@@ -21,9 +21,14 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession) -> str:
+    """Where this application's tables are."""
+    return f"{folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """df as a table of its own, made once."""
-    path = f"{folder(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
+    path = f"{_place(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -39,7 +44,7 @@ def made(df: DataFrame, label: str) -> tuple[DataFrame, int, dict[str, int]]:
     flat = df.toDF(*[f"c{i}" for i in range(len(fields))])
     flat = flat.withColumns({f"c{i}": F.col(f"c{i}").cast("string") for i, v in enumerate(void) if v})
     told = flat.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"c{i}").isNull()).alias(f"n{i}") for i in range(len(fields))])
-    path = f"{folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    path = f"{_place(spark)}/{label}-{uuid.uuid4().hex}"
     told.write.parquet(path)
     back = spark.read.schema(flat.schema).parquet(path)
     back = back.select(*[(F.lit(None) if v else F.col(f"c{i}")).alias(f.name) for i, (f, v) in enumerate(zip(fields, void, strict=True))])
@@ -47,6 +52,6 @@ def made(df: DataFrame, label: str) -> tuple[DataFrame, int, dict[str, int]]:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes the tables made so far; results that have not been read yet are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/tidemark")
+    """Deletes the tables that this application has made so far; its results that have not been read yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_place(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
