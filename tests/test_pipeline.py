@@ -219,3 +219,36 @@ def test_size_warnings(spark):
 
     df = spark.range(5)
     assert size_warnings(df) == [] and size_warnings(df, most_rows=5) == ["the input has 5 rows"] and len(size_warnings(df, 1, 5, rows=9)) == 2
+
+
+def test_the_input_is_read_once(spark, tmp_path):
+    """However many decisions fit and transform take, each row of the source is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        made.add(1)
+        return f"k{i % 3}"
+
+    kind = F.udf(seen, "string")
+    df = spark.range(40).select(kind("id").alias("kind"), (F.col("id") * 1.5).alias("weight"))
+    result = CleaningPipeline().fit_transform(df, strict=True)
+    assert result.df.count() == 40 and made.value == 40
+    assert result.report["columns"] == {"before": ["kind", "weight"], "after": ["kind", "weight"]}
+
+
+def test_amounts_are_parsed_once(spark, monkeypatch):
+    """The trial of a role, the guard of nulls and the result share one parse of each value."""
+    from tidemark.operators import quality
+
+    parsed = spark.sparkContext.accumulator(0)
+
+    def parse(s):
+        parsed.add(1)
+        return float(s.strip("₹").replace(",", ""))
+
+    monkeypatch.setitem(quality.PARSERS, "money", F.udf(parse, "double"))
+    df = spark.createDataFrame([(i, f"₹{i},200") for i in range(1, 31)], f"{P.ROW_ID} long, price string")
+    config = quality.Config(gating=False)
+    out, _ = quality.apply(df, quality.fit(df, config), config)
+    assert sorted(r["price"] for r in out.collect()) == [1000.0 * i + 200 for i in range(1, 31)]
+    assert parsed.value == 30 and out.columns == [P.ROW_ID, "price"]

@@ -16,6 +16,10 @@ FALSE_WORDS = ["false", "f", "no", "n", "0", "not returned"]
 #: What Spark's cast would take beyond a plain number (suffixes d and f, names of infinities) is refused.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 PLAIN_NUMBER = r"^-?(\d+\.?\d*|\.\d+)$"
+#: A plain number whose thousands may be set apart by commas.
+GROUPED_NUMBER = r"^-?(\d+|\d{1,3}(,\d{3})+)(\.\d*)?$"
+#: What a regular expression's \s stands for.
+SPACES = " \t\n\x0b\f\r"
 
 
 def let(c: Column, f) -> Column:
@@ -25,7 +29,7 @@ def let(c: Column, f) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end; null stays null."""
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -50,7 +54,9 @@ def normalize_category(c: Column, lower: bool) -> Column:
 
 
 def number(c: Column, kind: T.DataType | None = None) -> Column:
-    """As double; null where it is no number.  NaN counts as null."""
+    """As double; null where it is no number (no date is one).  NaN counts as null."""
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+        return F.lit(None).cast("double")
     if isinstance(kind, T.NumericType | T.BooleanType):
         x = (c.cast("int") if isinstance(kind, T.BooleanType) else c).cast("double")
         return F.nanvl(x, F.lit(None)) if isinstance(kind, T.DoubleType | T.FloatType) else x
@@ -60,9 +66,11 @@ def number(c: Column, kind: T.DataType | None = None) -> Column:
 
 def loose_number(c: Column) -> Column:
     """Number in a text after dropping commas, brackets (as a minus) and all but digits, points and minus signs."""
-    s = F.regexp_replace(F.replace(strip(c), F.lit(","), F.lit("")), r"^\((.*)\)$", "-$1")
+    plain = F.replace(strip(c), F.lit(","), F.lit(""))
+    s = F.regexp_replace(plain, r"^\((.*)\)$", "-$1")
     s = F.regexp_replace(s, r"[^\d.\-]+", "")
-    return F.when(s.rlike(PLAIN_NUMBER), s.try_cast("double"))
+    # Most numbers need no rewriting, and the rewritten text is made once for others.
+    return F.when(plain.rlike(PLAIN_NUMBER), plain.try_cast("double")).otherwise(let(s, lambda x: F.when(x.rlike(PLAIN_NUMBER), x.try_cast("double"))))
 
 
 def digits(c: Column) -> Column:
@@ -73,8 +81,10 @@ def parse_money(c: Column) -> Column:
     """Amount of a text such as '₹1,200', '(500)', 'USD 1,234.56' or '12,34,567,89 only'; null otherwise.
 
     Commas are thousands separators where a point occurs too; else the last of them is the
-    decimal separator if exactly two characters follow it.
+    decimal separator if exactly two characters follow it.  Plain amounts, with a currency
+    sign or without, are read as they are; only other texts are rewritten step by step.
     """
+    plain = F.translate(strip(c), "".join(MONEY_SIGNS), "")
     s = F.regexp_replace(strip(c), "[  -​]+", " ")
     s = F.regexp_replace(F.trim(s), r"^\((.*)\)$", "-$1")
     s = F.regexp_replace(s, r"/-\s*$", "")
@@ -83,7 +93,8 @@ def parse_money(c: Column) -> Column:
     s = F.regexp_replace(s, rf"(?i)\b({'|'.join(x for x in MONEY_CODES if '.' not in x)})\b", "")
     s = F.replace(F.trim(s), F.lit(" "), F.lit(""))
     s = let(s, lambda x: F.replace(F.when(x.contains("."), x).otherwise(F.regexp_replace(x, r",([^,]{2})$", ".$1")), F.lit(","), F.lit("")))
-    return F.when(s.rlike(PLAIN_NUMBER), s.try_cast("double"))
+    rewritten = let(s, lambda x: F.when(x.rlike(PLAIN_NUMBER), x.try_cast("double")))
+    return F.when(plain.rlike(GROUPED_NUMBER), F.translate(plain, ",", "").try_cast("double")).otherwise(rewritten)
 
 
 def parse_percent(c: Column) -> Column:

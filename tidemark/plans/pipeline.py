@@ -71,8 +71,10 @@ class CleaningPipeline:
 
     def fit(self, df: DataFrame) -> CleaningPipeline:
         """Learns names, structure and quality profile; the other stages look at the data they are given."""
+        return self._fit(_ingested(df))
+
+    def _fit(self, df: DataFrame) -> CleaningPipeline:
         o = self.options
-        df = ingest(df)
         warnings = P.input_warnings(df)
         advice, status = {"columns": {}, "mode": None}, "off"
         if self.advisor:
@@ -87,7 +89,7 @@ class CleaningPipeline:
         # Copies: what one data set's advice adds is not handed on to the next.
         q = replace(o.quality, semantic_types=o.quality.semantic_types | hints["semantic_types"], semantic_confidences=o.quality.semantic_confidences | {c: advice["columns"][c]["confidence"] for c in hints["semantic_types"]}, domains=o.quality.domains | hints["domains"], id_columns=[*o.quality.id_columns, *hints["id_columns"]])
         s_plan = structure.fit(df, o.structure)
-        df, _ = structure.apply(df, s_plan, o.structure)
+        df = scratch.made(structure.apply(df, s_plan, o.structure)[0], "fitted")[0]
         if o.semantic_hints:
             found = P.meanings(df)
             q = replace(q, semantic_types=q.semantic_types | {c: m for c, m in found.items() if m in ("date", "amount")})
@@ -102,11 +104,13 @@ class CleaningPipeline:
         After the stages of BOUNDARIES the frame is made and its rows counted; an error in
         rows, or a changed number of them, goes back to the last frame that was made.
         """
+        return self._transform(_ingested(df), strict, progress)
+
+    def _transform(self, df: DataFrame, strict: bool = False, progress: Callable[[str, float], None] | None = None) -> Result:
         if self.plans is None:
             raise RuntimeError("fit the pipeline first")
         o, plans = self.options, self.plans
-        before = df
-        df = ingest(df)
+        before = [c for c in df.columns if c != P.ROW_ID]
         spark = df.sparkSession
         found: list[DataFrame] = []
         warnings, rows = P.input_state(df)
@@ -141,6 +145,8 @@ class CleaningPipeline:
             return names.rename(df, [*new, P.ROW_ID]), None, {"renamed": {a: b for a, b in zip(raw, new, strict=True) if a != b}, "merged": merged}
 
         def stage_quality(df):
+            # A table, as all decisions of the stage are taken from it.
+            df = scratch.made(df, "structured")[0]
             out, told = quality.apply(df, quality.Plan(**plans["quality"]), quality.Config(**plans["quality_config"]), LearningMemory(o.memory_path, o.memory_rule))
             return out, None, told
 
@@ -185,12 +191,13 @@ class CleaningPipeline:
                 report["stages"][name] = {"status": "failed", "error": str(e)}
         if progress:
             progress("done", 1.0)
-        report["columns"] = {"before": before.columns, "after": [c for c in df.columns if c != P.ROW_ID]}
+        report["columns"] = {"before": before, "after": [c for c in df.columns if c != P.ROW_ID]}
         self.last_report = report
         return Result(df, I.distinct(I.union(spark, found)), report)
 
     def fit_transform(self, df: DataFrame, **k) -> Result:
-        return self.fit(df).transform(df, **k)
+        df = _ingested(df)
+        return self._fit(df)._transform(df, **k)
 
     def save(self, path: str) -> None:
         """The plans and all options as a JSON file, whole or not at all; path may be a URI."""
@@ -213,6 +220,11 @@ class CleaningPipeline:
 BOUNDARIES = ("quality", "relations", "impute")
 
 
+def _ingested(df: DataFrame) -> DataFrame:
+    """The input as a table of its own: fit and transform read it a dozen times, and its source may be slow or change."""
+    return scratch.made(ingest(df), "input")[0]
+
+
 def _middle(pair):
     df, told = pair
     return df, None, told
