@@ -70,3 +70,14 @@ def test_rates_and_warnings(spark, table):
 def test_no_columns(table):
     only = table.select(ROW_ID)
     assert sketches.sketches(only).count() == 0 and sketches.distinct(only, []) == {}
+
+
+def test_values_are_computed_before_they_are_aggregated(spark, monkeypatch):
+    """Aggregates get columns of a projection, not the expressions, which they would compute anew at each place."""
+    seen = []
+    measure = P.measure
+    monkeypatch.setattr(P, "measure", lambda df, wanted: seen.append(df.columns) or measure(df, wanted))
+    value = (F.col("id") % 7).cast("double")
+    df = spark.range(30)
+    assert P.few_valued(df, {"a": value}, 60) == ["a"] and P.quantiles_of(df, {"a": value}, [0.5]) == {"a": [3.0]}
+    assert seen == [["x0"]] * 3

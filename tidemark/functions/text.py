@@ -17,7 +17,7 @@ FALSE_WORDS = ["false", "f", "no", "n", "0", "not returned"]
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 PLAIN_NUMBER = r"^-?(\d+\.?\d*|\.\d+)$"
 #: A plain number whose thousands may be set apart by commas.
-GROUPED_NUMBER = r"^-?(\d+|\d{1,3}(,\d{3})+)(\.\d*)?$"
+GROUPED_NUMBER = r"^-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?$"
 #: What a regular expression's \s stands for.
 SPACES = " \t\n\x0b\f\r"
 
@@ -84,7 +84,7 @@ def parse_money(c: Column) -> Column:
     decimal separator if exactly two characters follow it.  Plain amounts, with a currency
     sign or without, are read as they are; only other texts are rewritten step by step.
     """
-    plain = F.translate(strip(c), "".join(MONEY_SIGNS), "")
+    plain = F.ltrim(strip(c), F.lit("".join(MONEY_SIGNS)))
     s = F.regexp_replace(strip(c), "[  -​]+", " ")
     s = F.regexp_replace(F.trim(s), r"^\((.*)\)$", "-$1")
     s = F.regexp_replace(s, r"/-\s*$", "")
@@ -94,7 +94,7 @@ def parse_money(c: Column) -> Column:
     s = F.replace(F.trim(s), F.lit(" "), F.lit(""))
     s = let(s, lambda x: F.replace(F.when(x.contains("."), x).otherwise(F.regexp_replace(x, r",([^,]{2})$", ".$1")), F.lit(","), F.lit("")))
     rewritten = let(s, lambda x: F.when(x.rlike(PLAIN_NUMBER), x.try_cast("double")))
-    return F.when(plain.rlike(GROUPED_NUMBER), F.translate(plain, ",", "").try_cast("double")).otherwise(rewritten)
+    return F.when(plain.rlike(GROUPED_NUMBER), F.replace(plain, F.lit(","), F.lit("")).try_cast("double")).when(plain.isNotNull(), rewritten)
 
 
 def parse_percent(c: Column) -> Column:
@@ -115,6 +115,9 @@ def parse_bool(c: Column) -> Column:
 #: A time after a date (or none), and the same with AM or PM.
 _TIME, _HALF = "[ H:m[:s[.SSSSSSSSS]]]", " h:m[:s[.SSSSSSSSS]]a"
 
+#: Year, month and day alone, as most dates are written.
+DATE_ALONE = r"^\d{4}-\d{2}-\d{2}\z"
+
 _DATE_PART = r"(?i)(\d{1,4}[-/]\d{1,2}[-/]\d{1,4}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?: ?[AP]M)?)?)"
 
 
@@ -161,7 +164,8 @@ def parse_date(c: Column) -> Column:
     Zone names and offsets are dropped; a date within other text is found; a time alone
     is one of today.
     """
-    s = F.trim(F.regexp_replace(strip(c), "[\u00a0\u2000-\u200b]+", " "))
+    plain = strip(c)
+    s = F.trim(F.regexp_replace(plain, "[\u00a0\u2000-\u200b]+", " "))
     s = F.regexp_replace(s, r"(?i)\b(IST|UTC|GMT|CST|EST|PST|AEST|AEDT|JST|MSK|NZST|NZDT)\b", "")
     s = F.trim(F.regexp_replace(s, r"[+-]\d{2}:\d{2}(?=\s|$)", ""))
     s = F.coalesce(F.nullif(F.regexp_extract(s, _DATE_PART, 1), F.lit("")), s)
@@ -176,7 +180,8 @@ def parse_date(c: Column) -> Column:
         dated = F.when(x.rlike(r"(?i)^\d{1,2}:\d{2}(:\d{2})?(\.\d+)?( ?[AP]M)?$"), F.concat(F.current_date().cast("string"), F.lit(" "), x)).otherwise(x)
         return F.coalesce(by_number.cast("timestamp_ntz"), by_shape(dated))
 
-    return let(s, found).cast("timestamp_ntz")
+    # A date alone needs no rewriting.
+    return F.when(plain.rlike(DATE_ALONE), F.try_to_timestamp(plain, F.lit("yyyy-M-d" + _TIME)).cast("timestamp_ntz")).when(plain.isNotNull(), let(s, found).cast("timestamp_ntz"))
 
 
 def export_datetime(c: Column) -> Column:
