@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, packing, token_files, tokenizing
+from tidemark.llm.common import by_bytes
 
 from .conftest import rows_of
 
@@ -45,6 +47,34 @@ def test_cache_gives_the_librarys_ids(path, spaced, split):
         assert numbers(tokenizing.encode_texts(cache, split, [text])[0]) == ids(text)
 
 
+@pytest.mark.parametrize(("path", "spaced", "split"), [(BYTE, True, tokenizing.by_spaces), (WORD, False, tokenizing.by_white_space)])
+def test_texts_together_have_the_librarys_ids(path, spaced, split, monkeypatch):
+    monkeypatch.setattr(tokenizing, "GATHERED", 7)
+    ids = library(path)
+    cache = tokenizing.library_cache(path, spaced)
+    odd = ["", "Word word. WORD, word., .word ,", "ŉ ŉ. İ, ſ Éé, ß. µ ªº", "it's don't, 'S.", "a\x1cb c", "x<|endoftext|>. <|ENDOFTEXT|>", "one " * 40, "中 , . é e\u0301, "]
+
+    @settings(max_examples=100, deadline=None)
+    @given(st.lists(st.one_of(TEXT, st.sampled_from(odd)), max_size=8))
+    def check(texts):
+        assert list(map(numbers, tokenizing.encode_together(cache, split, texts))) == list(map(ids, texts))
+
+    check()
+    check.hypothesis.inner_test(odd)
+
+
+def test_repeated_words_are_encoded_once(monkeypatch):
+    """Whatever their capitals and marks, and however many texts hold them."""
+    tokenizing.library_cache.cache_clear()
+    cache = tokenizing.library_cache(WORD, False)
+    made, one = [], cache.one
+    cache.one = lambda cache, chunk: made.append(chunk) or one(cache, chunk)
+    texts = ["Word, word. WORD other", "word other. Other,", "Word"] * 5
+    assert list(map(numbers, tokenizing.encode_together(cache, tokenizing.by_white_space, texts))) == list(map(library(WORD), texts))
+    assert sorted(made) == [",", ".", "other", "word"]
+    tokenizing.library_cache.cache_clear()
+
+
 def test_cache_starts_again(monkeypatch):
     monkeypatch.setattr(tokenizing, "CACHE_CHUNKS", 3)
     tokenizing.library_cache.cache_clear()
@@ -121,6 +151,18 @@ def test_elias_fano_is_small():
         code.select(5000)
 
 
+def test_select_reads_one_value(monkeypatch):
+    """A single value's low bits are read at once, not by arrays of one bit each."""
+    code = token_files.EliasFano.of(np.arange(3000) * 1100)
+    monkeypatch.setattr(token_files.EliasFano, "_low", None)
+    assert [code.select(i) for i in range(3000)] == (np.arange(3000) * 1100).tolist()
+
+
+def test_texts_go_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(7), "text": ["aé", None, "", "b" * 9, "c", "dd", "e"]})
+    assert [x["doc_id"].to_pylist() for k in (0, 1) for x in by_bytes(batch.slice(k), "text", 4)] == [[0, 1, 2], [3], [4, 5, 6], [1, 2], [3], [4, 5, 6]]
+
+
 def test_token_files(edge, clashing, empty, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
     ids = library(WORD)

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stash
-from .tokenizing import by_white_space, encode_texts, library_cache
+from .common import by_bytes, scratch_path, stash
+from .tokenizing import by_white_space, encode_together, library_cache
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
 #: A file is closed when its ids reach this many bytes.
 FILE_BYTES = 8 << 20
+#: Texts that are encoded at once hold about this many bytes.
+TEXT_BYTES = 8 << 20
 END_ID = 2
 
 
@@ -65,21 +67,28 @@ class EliasFano:
         return out
 
     def select(self, i: int) -> int:
-        """The i-th value: from the sample before it, bytes are counted until its one is reached."""
+        """The i-th value: from the sample before it, words of 64 bits are counted until its one is reached."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         start = int(self.samples[i // SAMPLE])
         left = i % SAMPLE
         byte = start >> 3
-        word = int(self.high[byte]) >> (start & 7) << (start & 7)
-        while left >= word.bit_count():
-            left -= word.bit_count()
-            byte += 1
-            word = int(self.high[byte])
+        word = self._bits(self.high, byte, 8) >> (start & 7) << (start & 7)
+        while left >= (ones := word.bit_count()):
+            left -= ones
+            byte += 8
+            word = self._bits(self.high, byte, 8)
         for _ in range(left):
             word &= word - 1
         one = byte * 8 + (word & -word).bit_length() - 1
-        return self.base + ((one - i) << self.low_bits | int(self._low(np.array([i]))[0]))
+        at = i * self.low_bits
+        low = self._bits(self.low, at >> 3, (self.low_bits + 14) >> 3) >> (at & 7) & (1 << self.low_bits) - 1
+        return self.base + ((one - i) << self.low_bits | low)
+
+    @staticmethod
+    def _bits(data: np.ndarray, byte: int, n: int) -> int:
+        """n bytes, or those that are left, as a number."""
+        return int.from_bytes(data[byte : byte + n].tobytes(), "little")
 
     def values(self) -> np.ndarray:
         i = np.arange(self.n)
@@ -153,15 +162,15 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
             return pa.RecordBatch.from_pylist([{"file": name, "part": part, "number": number, "n_documents": len(held_docs), "n_ids": held // 4}], schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                for doc_id, ids in zip(doc_ids, encode_texts(cache, by_white_space, [t or "" for t in texts]), strict=True):
+            for some in by_bytes(batch, "text", TEXT_BYTES):
+                doc_ids, texts = (c.to_pylist() for c in some.columns)
+                for doc_id, ids in zip(doc_ids, encode_together(cache, by_white_space, [t or "" for t in texts]), strict=True):
                     held_docs.append(doc_id)
                     held_ids.append(ids + tail)
                     held += len(ids) + 4
-                if held >= 2 * FILE_BYTES:
-                    yield close()
-                    held_docs, held_ids, held, number, before = [], [], 0, number + 1, before + held // 4
+                    if held >= 2 * FILE_BYTES:
+                        yield close()
+                        held_docs, held_ids, held, number, before = [], [], 0, number + 1, before + held // 4
         if held_docs:
             yield close()
 

@@ -12,10 +12,16 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Chunks kept per Python worker; the cache starts again when it is full.
 CACHE_CHUNKS = 500_000
 #: Chunks longer than this (characters) are not kept.
 CACHE_CHARS = 256
+#: Chunks whose ids are gathered at once; bounds memory, whatever the texts hold.
+GATHERED = 2_000_000
 
 #: The pattern of byte-level pre-tokenizers; a fixed value.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,8 +44,11 @@ class ChunkCache(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes, found when first asked for.
 
     whole gives the ids of a text; one those of a chunk, and may look its pieces up here.
+    apart: a chunk of WORD has the ids of its letters in lower case, and then those of its mark.
     """
 
+    apart = False
+
     def __init__(self, whole: Callable[[str], bytes], one: Callable[[ChunkCache, str], bytes]):
         super().__init__()
         self.whole, self.one = whole, one
@@ -80,6 +89,80 @@ def encode_texts(cache: ChunkCache, split: Callable[[str], list[str] | None], te
     return out
 
 
+#: Letters whose case no Unicode version has changed, with or without a mark behind them.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
+WORD = f"^[{LETTERS}]+[.,]?$"
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _ids_of(cache: ChunkCache, chunks: pa.Array) -> list[bytes]:
+    """Ids of each of different chunks; a word is looked up once for all its capitals and marks."""
+    if not cache.apart:
+        return list(map(cache.__getitem__, _strings(chunks)))
+    is_word = pc.match_substring_regex(chunks, WORD).to_numpy(zero_copy_only=False)
+    out = np.empty(len(chunks), object)
+    out[~is_word] = list(map(cache.__getitem__, _strings(chunks.filter(pa.array(~is_word)))))
+    words = chunks.filter(pa.array(is_word))
+    coded = pc.utf8_lower(pc.utf8_rtrim(words, ".,")).dictionary_encode()
+    found = list(map(cache.__getitem__, _strings(coded.dictionary)))
+    marks = [b"", cache["."], cache[","]]
+    mark = sum(k * pc.ends_with(words, m).to_numpy(zero_copy_only=False).astype(np.int8) for k, m in ((1, "."), (2, ",")))
+    out[is_word] = [found[k] + marks[m] if m else found[k] for k, m in zip(coded.indices.to_numpy().tolist(), mark.tolist(), strict=True)]
+    return out.tolist()
+
+
+def _gather(cache: ChunkCache, chunks: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Joined ids of chunks, and how many each has; a chunk that occurs often is looked up once."""
+    coded = chunks.dictionary_encode()
+    found = _ids_of(cache, coded.dictionary)
+    codes = coded.indices.to_numpy()
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    counts = lengths[codes]
+    # How far a chunk's ids lie from where they go.
+    moved = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(counts) - counts)
+    return np.frombuffer(b"".join(found), np.uint32)[np.arange(counts.sum()) + np.repeat(moved, counts)].tobytes(), counts
+
+
+def encode_together(cache: ChunkCache, split: Callable[[str], list[str] | None], texts: list[str]) -> list[bytes]:
+    """What encode_texts gives, with each different chunk of the texts looked up once; pays for many texts."""
+    out: list[bytes] = []
+    columns: list[pa.Array] = []
+    held: list[tuple[int, int]] = []  # a text's place in out, and where its chunks end
+    total = 0
+
+    def gather() -> None:
+        nonlocal total
+        chunks = pa.concat_arrays(columns) if columns else []
+        parts = [_gather(cache, chunks[at : at + GATHERED]) for at in range(0, total, GATHERED)]
+        ids = b"".join(x for x, _ in parts)
+        ends = np.concatenate([[0], *(n for _, n in parts)]).cumsum() * 4
+        begin = 0
+        for place, last in held:
+            end = int(ends[last])
+            out[place], begin = ids[begin:end], end
+        columns.clear()
+        held.clear()
+        total = 0
+
+    for text in texts:
+        chunks = split(text) if text else []
+        if chunks is None:
+            out.append(cache.whole(text))
+            continue
+        if total + len(chunks) > GATHERED:
+            gather()
+        total += len(chunks)
+        held.append((len(out), total))
+        out.append(b"")
+        columns.append(pa.array(chunks, pa.large_string()))
+        del chunks  # of a long text, many strings
+    gather()
+    return out
+
+
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is printable, else one from U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -170,4 +253,6 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
             out.append(ids)
         return b"".join(out)
 
-    return ChunkCache(whole, one)
+    cache = ChunkCache(whole, one)
+    cache.apart = lower and not any(re.fullmatch(f"[{LETTERS}.,]+", t) for t in added)
+    return cache
