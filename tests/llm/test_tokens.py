@@ -178,3 +178,43 @@ def test_token_files(edge, clashing, empty, monkeypatch):
     assert token_files.write_and_read(empty, WORD).count() == 0
     with pytest.raises(ValueError):
         token_files.open_file(b"something else")
+
+
+ODD_LINES = ["a\nb", "a.\nB\nc", "\na", "a\n", "a\n\nb", "a \nb", "a\n b", "a\r\nb", "a\t\nb", "a\xa0\nb", "\n", "\n\n", "it's.\n'S", "x\n﷐y"]
+ODD_WORDS = ["", None, " ", "a  b", "a  ", " a", "word. word, WORD's word's' ''s", "(a) a-b a1 1a a.b .", "é, É. ŉ İ. ª! µ\xd7 \xd7, é. 中, 🙂.", "x<|endoftext|>. <|endoftext|> y<| |>", "w\x00. \x00 a", "x" * 300 + ", " + "x" * 300, "a\x1cb. c"]
+
+
+def test_columns_have_the_librarys_ids(monkeypatch):
+    """Words with marks and lines, cut by Arrow, whatever stands beside them and however few are held or encoded at once."""
+    ids = library(BYTE)
+    cache = tokenizing.library_cache(BYTE)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.one_of(st.none(), TEXT, st.sampled_from(ODD_LINES + ODD_WORDS)), max_size=8), st.booleans())
+    def check(texts, large):
+        column = pa.array([None, *texts], pa.large_string() if large else pa.string()).slice(1)
+        assert list(map(numbers, tokenizing.encode_spaced(cache, column))) == [ids(t or "") for t in texts]
+
+    check()
+    check.hypothesis.inner_test(ODD_LINES + ODD_WORDS, False)
+    for name, value in (("GATHERED", 7), ("WORDS_AT_ONCE", 2), ("CACHE_CHUNKS", 3)):
+        monkeypatch.setattr(tokenizing, name, value)
+        cache.clear()
+        check.hypothesis.inner_test(ODD_LINES + ODD_WORDS, False)
+        assert len(cache) <= tokenizing.CACHE_CHUNKS + 1
+    cache.clear()
+
+
+def test_packing_encodes_words_together():
+    """A word is encoded once for all its marks, and new words go to the library in one call, not in one each."""
+    tokenizing.library_cache.cache_clear()
+    cache = tokenizing.library_cache(BYTE)
+    alone, together = [], []
+    one, words = cache.one, cache.words
+    cache.one = lambda cache, chunk: alone.append(chunk) or one(cache, chunk)
+    cache.words = lambda keys: together.append(sorted(keys)) or words(keys)
+    texts = ["word, word. other\nword", "word other! word###", None] * 5
+    assert list(map(numbers, tokenizing.encode_spaced(cache, pa.array(texts)))) == [library(BYTE)(t or "") for t in texts]
+    assert together == [sorted(["word", "other", tokenizing.FIRST + "word"])]
+    assert not any(c.strip(tokenizing.FIRST).isalpha() for c in alone) and len(alone) == len(set(alone))
+    tokenizing.library_cache.cache_clear()

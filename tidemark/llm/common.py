@@ -72,14 +72,19 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, f"{scratch(spark)}/tidemark")
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow over small slices; make() is called once per task and gives the function of a slice."""
+def by_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of batch of SLICE_ROWS rows."""
+    return (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, cut: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]] = by_rows) -> DataFrame:
+    """mapInArrow over small slices, as cut gives them; make() is called once per task and gives the function of a slice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = step(batch.slice(at, SLICE_ROWS))
+            for some in cut(batch):
+                out = step(some)
                 if out is not None and out.num_rows:
                     yield out
 

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
-from .tokenizing import by_spaces, encode_texts, library_cache
+from .common import by_bytes, map_arrow
+from .tokenizing import encode_spaced, library_cache
 
 MAX_TOKENS = 2048
 END_ID = 1
+#: Bytes of texts that are encoded at once.
+TEXT_BYTES = 8 << 20
 
 _FIELDS = "start long, length long, bucket int, ids_crc32 long, doc_tokens long"
 
@@ -50,10 +52,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end
         cache = library_cache(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc_ids, texts = (batch.column(k).to_pylist() for k in (0, 1))
             out: list[tuple] = []
             flat: list[bytes] = []
-            for doc_id, ids in zip(doc_ids, encode_texts(cache, by_spaces, [t or "" for t in texts]), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_spaced(cache, batch.column(1)), strict=True):
                 ids += tail
                 total = len(ids) // 4
                 at = 0
@@ -72,7 +73,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     names = ["doc_id", "start", "length", "bucket", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-    pieces = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), make, f"doc_id long, {_FIELDS}" + ", ids array<int>" * with_ids)
+    pieces = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), make, f"doc_id long, {_FIELDS}" + ", ids array<int>" * with_ids, lambda batch: by_bytes(batch, "text", TEXT_BYTES))
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

@@ -8,9 +8,11 @@ would split as well; texts where that is in doubt are encoded whole.
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +47,11 @@ class ChunkCache(dict):
 
     whole gives the ids of a text; one those of a chunk, and may look its pieces up here.
     apart: a chunk of WORD has the ids of its letters in lower case, and then those of its mark.
+    words: gives the ids of many chunks of letters, where a chunk of SPACED_WORD has those of its letters and then those of its marks.
     """
 
     apart = False
+    words: Callable[[list[str]], list[bytes]] | None = None
 
     def __init__(self, whole: Callable[[str], bytes], one: Callable[[ChunkCache, str], bytes]):
         super().__init__()
@@ -98,6 +102,61 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+#: Letters after a space or at a text's start, with or without marks behind them.
+SPACED_WORD = rf"^{FIRST}?[{LETTERS}]+[!-/:-@\[-`{{-~]*$"
+_BEFORE_MARKS = FIRST + "".join(re.findall(f"[{LETTERS}]", "".join(map(chr, range(0x180)))))
+#: Words that the library encodes at once.
+WORDS_AT_ONCE = 10_000
+
+
+def _take(found: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joined ids of found[code] for each code, and how many each has."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return _take_flat(np.frombuffer(b"".join(found), np.uint32), lengths, codes)
+
+
+def _take_flat(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = lengths[codes]
+    # How far the ids of a code lie from where they go.
+    moved = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(counts) - counts)
+    return ids[np.arange(counts.sum()) + np.repeat(moved, counts)], counts
+
+
+def _word_ids(cache: ChunkCache, words: list[str]) -> list[bytes]:
+    """Ids of each of different words; those not in the cache are encoded together."""
+    found = list(map(cache.get, words))
+    new = [k for k, ids in enumerate(found) if ids is None]
+    for at in range(0, len(new), WORDS_AT_ONCE):
+        some = new[at : at + WORDS_AT_ONCE]
+        if len(cache) + len(some) > CACHE_CHUNKS:
+            cache.clear()
+        for k, ids in zip(some, cache.words([words[k] for k in some]), strict=True):
+            found[k] = ids
+            if len(words[k]) <= CACHE_CHARS and len(cache) < CACHE_CHUNKS:
+                cache[words[k]] = ids
+    return found
+
+
+def _spaced_ids(cache: ChunkCache, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Joined ids of different chunks of by_spaces, and how many each has; a word is looked up once for all its marks."""
+    is_word = pc.match_substring_regex(chunks, SPACED_WORD)
+    words = chunks.filter(is_word)
+    coded = pc.utf8_rtrim(words, string.punctuation).dictionary_encode()
+    marks = pc.utf8_ltrim(words, _BEFORE_MARKS).dictionary_encode()
+    found = _word_ids(cache, _strings(coded.dictionary))
+    ends = [cache[FIRST + m] for m in _strings(marks.dictionary)]
+    others = list(map(cache.__getitem__, _strings(chunks.filter(pc.invert(is_word)))))
+    # A chunk's word and its marks, or the chunk and nothing.
+    is_word = is_word.to_numpy(zero_copy_only=False)
+    codes = np.empty((len(chunks), 2), np.int64)
+    codes[is_word, 0] = coded.indices
+    codes[is_word, 1] = marks.indices.to_numpy() + len(found)
+    codes[~is_word, 0] = np.arange(len(others)) + len(found) + len(ends)
+    codes[~is_word, 1] = len(found) + len(ends) + len(others)
+    ids, counts = _take([*found, *ends, *others, b""], codes.ravel())
+    return ids, counts.reshape(-1, 2).sum(axis=1)
+
+
 def _ids_of(cache: ChunkCache, chunks: pa.Array) -> list[bytes]:
     """Ids of each of different chunks; a word is looked up once for all its capitals and marks."""
     if not cache.apart:
@@ -117,13 +176,9 @@ def _ids_of(cache: ChunkCache, chunks: pa.Array) -> list[bytes]:
 def _gather(cache: ChunkCache, chunks: pa.Array) -> tuple[bytes, np.ndarray]:
     """Joined ids of chunks, and how many each has; a chunk that occurs often is looked up once."""
     coded = chunks.dictionary_encode()
-    found = _ids_of(cache, coded.dictionary)
     codes = coded.indices.to_numpy()
-    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    counts = lengths[codes]
-    # How far a chunk's ids lie from where they go.
-    moved = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(counts) - counts)
-    return np.frombuffer(b"".join(found), np.uint32)[np.arange(counts.sum()) + np.repeat(moved, counts)].tobytes(), counts
+    ids, counts = _take_flat(*_spaced_ids(cache, coded.dictionary), codes) if cache.words else _take(_ids_of(cache, coded.dictionary), codes)
+    return ids.tobytes(), counts
 
 
 def encode_together(cache: ChunkCache, split: Callable[[str], list[str] | None], texts: list[str]) -> list[bytes]:
@@ -163,6 +218,32 @@ def encode_together(cache: ChunkCache, split: Callable[[str], list[str] | None],
     return out
 
 
+_WHITE = re.escape(WHITE_SPACE)
+#: Where by_spaces gives up.
+_IN_DOUBT = f"[{_WHITE}] |[{SEPARATORS}{FIRST}]"
+#: Line ends beside other white space or at an end of the text.
+_ODD_LINES = f"[{_WHITE}]\\n|\\n[{_WHITE}]|^\\n|\\n$"
+
+
+def encode_spaced(cache: ChunkCache, texts: pa.Array) -> list[bytes]:
+    """What encode_texts gives by by_spaces (null: empty), for a column; the texts are cut by Arrow and each different chunk is looked up once."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    doubtful = pc.match_substring_regex(texts, _IN_DOUBT)
+    rest = pc.if_else(doubtful, "", texts)
+    # A line end between other characters than white space is a piece of its own, and what follows it starts as a text does.
+    rest = pc.if_else(pc.match_substring_regex(rest, _ODD_LINES), rest, pc.replace_substring(rest, "\n", f" {FIRST}\n {FIRST}"))
+    first, nothing = (pa.scalar(x, pa.large_string()) for x in (FIRST, ""))
+    cut = pc.split_pattern(pc.binary_join_element_wise(first, rest, nothing), " ")
+    chunks, ends = cut.flatten(), np.diff(cut.offsets.to_numpy()).cumsum()
+    parts = [_gather(cache, chunks[at : at + GATHERED]) for at in range(0, len(chunks), GATHERED)]
+    ids = b"".join(x for x, _ in parts)
+    bounds = 4 * np.concatenate([[0], *(n for _, n in parts)]).cumsum()[np.concatenate([[0], ends])]
+    out = [ids[a:b] for a, b in pairwise(bounds.tolist())]
+    for k in np.flatnonzero(doubtful.to_numpy(zero_copy_only=False)).tolist():
+        out[k] = cache.whole(texts[k].as_py())
+    return out
+
+
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is printable, else one from U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -189,7 +270,7 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
     import regex
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     chars = byte_characters()
@@ -253,6 +334,20 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
             out.append(ids)
         return b"".join(out)
 
+    def word_ids(words: list[str]) -> list[bytes]:
+        spelling = letters[np.frombuffer("\0".join(map(text_of, words)).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(by_words.encode_batch_fast([spelling], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ids == between)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(data)], strict=True)]
+
+    letters = np.array(list(map(ord, chars)), "<u2")
     cache = ChunkCache(whole, one)
     cache.apart = lower and not any(re.fullmatch(f"[{LETTERS}.,]+", t) for t in added)
+    # The model alone, on words that are spelled already and stand between bytes 0.
+    between = tokenizer.token_to_id(chars[0])
+    if spaced and between is not None and not any(re.fullmatch(rf"[{LETTERS}]*[{re.escape(string.punctuation)}]*", t) for t in added):
+        by_words = Tokenizer(tokenizer.model)
+        by_words.pre_tokenizer = pre_tokenizers.Split(chars[0], "isolated")
+        cache.words = word_ids
     return cache
