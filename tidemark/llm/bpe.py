@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import kept, map_arrow
 from .tokenizing import CACHE_CHARS, CACHE_CHUNKS, after_space, as_bytes, by_spaces, byte_characters
 
 
@@ -107,6 +107,9 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+kept(codec.cache_clear)
+
+
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -77,8 +79,53 @@ def by_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
 
 
+#: What empties the caches that a Python worker keeps between tasks.
+_kept: list[Callable[[], None]] = []
+_work = ""
+
+
+def kept(clear: Callable[[], None]) -> None:
+    """Names a function that empties a cache of this process."""
+    _kept.append(clear)
+
+
+def turn_to(work: str) -> None:
+    """Empties the caches of this process if they were filled for other work; between tasks of the same work they stay."""
+    global _work
+    if work != _work:
+        for clear in _kept:
+            clear()
+        gc.collect()
+        give_back()
+        _work = work
+
+
+def give_back() -> None:
+    """Returns memory to the system that Arrow and the C library hold but no object uses."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, work: str = "") -> DataFrame:
+    """mapInArrow by a worker that drops the caches of other work (by default: of other modules) first, and gives unused memory back at the end.
+
+    Spark keeps Python workers for later tasks, of any stage: what one held would add to what the next needs.
+    """
+    work = work or run.__module__
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(work)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, cut: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]] = by_rows) -> DataFrame:
-    """mapInArrow over small slices, as cut gives them; make() is called once per task and gives the function of a slice."""
+    """map_batches over small slices, as cut gives them; make() is called once per task and gives the function of a slice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -90,7 +137,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
     if df.sparkSession.conf.get(_BATCH) == "10000":
         df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema, make.__module__)
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:

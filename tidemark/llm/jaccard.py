@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_shuffles, fresh, map_arrow, stash
+from .common import discard, free_shuffles, fresh, kept, map_arrow, map_batches, stash
 
 #: A bitmap has the power of two from so many bits a shingle on, so that it stays sparse at any size, and so many at least.
 BITS_EACH, LEAST_BITS = 4, 256
@@ -63,6 +63,7 @@ class _WordHashes(dict):
 
 
 _word_hashes = _WordHashes()
+kept(_word_hashes.clear)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -383,7 +384,7 @@ def _residual(members: DataFrame, component: DataFrame, facts: DataFrame, thresh
         if (found := pairs()) is not None:
             yield found
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(dealt, run, "a long, b long").distinct()
 
 
 #: Up to so many links are connected by one task; more by rounds over all executors.
@@ -420,12 +421,12 @@ def components(links: DataFrame) -> DataFrame:
     task if it is no more than LOCAL_LINKS, else by alternating large and small stars:
     each round is kept in the shared folder; it ends when the links no longer change.
     """
-    edges = stash(links.mapInArrow(lambda batches: _forest(batches, False), "u long, v long"), "edges")
+    edges = stash(map_batches(links, lambda batches: _forest(batches, False), "u long, v long"), "edges")
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] <= LOCAL_LINKS:
-            return edges.coalesce(1).mapInArrow(lambda batches: _forest(batches, True), "u long, v long").toDF("node", "component")
+            return map_batches(edges.coalesce(1), lambda batches: _forest(batches, True), "u long, v long").toDF("node", "component")
         if state == before:
             break
         before = state

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, map_arrow, stash
+from .common import bucket, map_arrow, map_batches, stash
 from .folds import in_fold, labelled
 
 FEATURES = 128
@@ -158,7 +158,7 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, feat
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]), dtype=np.int32)), pa.array(total[upper])], names=["k", "v"])
 
-    summed = learn.select("stats", "label").mapInArrow(partial, "k int, v double").groupBy("k").agg(F.sum("v")).toPandas().sort_values("k")
+    summed = map_batches(learn.select("stats", "label"), partial, "k int, v double").groupBy("k").agg(F.sum("v")).toPandas().sort_values("k")
     total = np.zeros((size, size))
     total[upper] = summed.iloc[:, 1].to_numpy()
     total += np.triu(total, 1).T
@@ -169,7 +169,7 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, feat
             at = np.clip((model.ridge(_batch_stats(batch.column(0))) + 0.5) * (BINS / 2), 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1).cast(pa.int32())], names=["bin", "label"])
 
-    counted = keep.select("stats", "label").mapInArrow(binned, "bin int, label int").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).toPandas().sort_values("bin")
+    counted = map_batches(keep.select("stats", "label"), binned, "bin int, label int").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).toPandas().sort_values("bin")
     if len(counted):
         model.knots = isotonic((counted["bin"].to_numpy() + 0.5) / (BINS / 2) - 0.5, counted["good"].to_numpy(float), counted["n"].to_numpy(float))
     else:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import kept, map_arrow
 from .tokenizing import CACHE_CHARS, CACHE_CHUNKS, PLAIN, as_bytes, by_white_space, byte_characters
 
 _NEVER = np.iinfo(np.int64).max
@@ -284,6 +284,9 @@ def codec(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+kept(codec.cache_clear)
+
+
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text")
 

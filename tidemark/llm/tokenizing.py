@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Chunks kept per Python worker; the cache starts again when it is full.
 CACHE_CHUNKS = 500_000
 #: Chunks longer than this (characters) are not kept.
@@ -351,3 +353,6 @@ def library_cache(path: str, spaced: bool = True) -> ChunkCache:
         by_words.pre_tokenizer = pre_tokenizers.Split(chars[0], "isolated")
         cache.words = word_ids
     return cache
+
+
+kept(library_cache.cache_clear)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import kept, map_arrow
 from .folds import in_fold, labelled, sample_by_class
 
 #: The classifier is fitted on at most so many labelled documents of each class.
@@ -91,6 +91,9 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) >> (32 - FEATURE_BITS) for x in names)
 
 
+kept(word_features.cache_clear)
+
+
 def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
